@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def schema(df: DataFrame, *kept: str, **added: str) -> StructType:
     """The ``kept`` columns of ``df`` and new ones by name and type, all nullable."""
     out = StructType([StructField(c, df.schema[c].dataType) for c in kept])
     for name, kind in added.items():
-        out.add(name, kind)
+        out.add(name, DataType.fromDDL(kind))
     return out
 
 

@@ -51,7 +51,7 @@ class _Words(dict):
 class BacktrackingBpe:
     """Encoder and decoder for a rank file (lines of base64 token and rank) and a pattern that cuts text into pieces."""
 
-    def __init__(self, ranks_path: str, pattern: str, cache: int = 600_000):
+    def __init__(self, ranks_path: str, pattern: str, cache: int = 400_000):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))

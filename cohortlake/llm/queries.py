@@ -6,13 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ffd, rendezvous, simhash
+from . import bpe, ffd, forest, licenses, onebit, quotes, rendezvous, simhash, suffix, toxicity
 from ._common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(quotes.link(table(spark, sf_dir, "conversations")))
+
+
+def op2_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -37,14 +49,27 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return onebit.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {
-        "op4_rendezvous": op4_rendezvous,
-        "op5_packing": op5_packing,
-        "op6_simhash": op6_simhash,
-        "op7_bpe": op7_bpe,
-    }
+    return {q.__name__: q for q in (op1_quotes, op2_forest, op3_suffix, op4_rendezvous, op5_packing, op6_simhash, op7_bpe, op8_onebit, op9_licenses, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_forest": forest.ORACLE,
+        "op8_onebit": onebit.ORACLE,
+        "op9_licenses": licenses.oracle(),
+    }
