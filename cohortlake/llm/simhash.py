@@ -103,15 +103,15 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * over > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key`` and ``fp`` (the fingerprint's bits as a signed long) of every row; null texts count as empty."""
+def fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``fp`` (the fingerprint's bits as a signed long) of every row; null texts count as empty."""
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], [key, "fp"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp)], [*keep, "fp"])
 
-    source = df.select(key, F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(by_text("_text", run), schema(source, key, fp="long"))
+    source = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    return source.mapInArrow(by_text("_text", run), schema(source, *keep, fp="long"))
 
 
 def close_pairs(fps: np.ndarray, threshold: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,20 +196,20 @@ def near_links(distinct: DataFrame, threshold: int = 2) -> DataFrame:
     return dealt.mapInArrow(_compare(threshold), "src long, dst long")
 
 
-def near_duplicates(df: DataFrame, threshold: int = 2, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, fp, component_id`` of every row: near-duplicate classes of texts.
+def near_duplicates(df: DataFrame, threshold: int = 2, text_col: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns, ``fp, component_id`` and ``component`` of every row: near-duplicate classes of texts.
 
     Rows whose fingerprints differ in at most ``threshold`` bits are linked;
     ``component_id`` is the smallest key reachable (null keys are passed over;
-    null if there are no others). Rows with equal fingerprints count as copies
+    null if there are no others); ``component`` is the class's smallest fingerprint. Rows with equal fingerprints count as copies
     and are gathered before any comparison. Empty and null texts have
     fingerprint 0, a text of one or two words that of its word sequence.
     An empty table gives no rows; other columns are not read.
     """
-    docs = cut(fingerprints(df, text_col, key))
+    docs = cut(fingerprints(df, text_col, (key, *carry)))
     classes = docs.groupBy("fp").agg(F.min(key).alias("_least"))
     found = connected_components(near_links(classes.select("fp"), threshold)).select(F.col("node").alias("fp"), "component")
     labelled = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = labelled.groupBy("component").agg(F.min("_least").alias("component_id"))
-    by_fp = cut(labelled.join(least, "component").select("fp", "component_id"))
-    return docs.join(by_fp, "fp").select(key, "fp", "component_id")
+    by_fp = cut(labelled.join(least, "component").select("fp", "component_id", "component"))
+    return docs.join(by_fp, "fp").select(key, *carry, "fp", "component_id", "component")

@@ -220,7 +220,16 @@ def _sorted_shard(length: int, buckets: int):
     return run
 
 
-def _cut_out(length: int, names: list[str]):
+def whole_characters(data: memoryview, a: int, z: int) -> tuple[int, int]:
+    """The part of a byte range that holds whole UTF-8 characters."""
+    while a < z and data[a] & 0xC0 == 0x80:
+        a += 1
+    while a < z < len(data) and data[z] & 0xC0 == 0x80:
+        z -= 1
+    return a, z
+
+
+def _cut_out(length: int, names: list[str], whole: bool):
     """Cogroup of rows and repeated ranges of one bucket: spans and what is left of each text."""
 
     def run(rows: pa.Table, ranges: pa.Table) -> pa.Table:
@@ -235,6 +244,8 @@ def _cut_out(length: int, names: list[str]):
         spans, kept = [], []
         for k, text in zip(rows["uid"].to_pylist(), rows["_text"], strict=True):
             data, own = memoryview(text.as_buffer() or b""), by_row.get(k, [])
+            if whole:
+                own = [whole_characters(data, a, z) for a, z in own]
             edges = [0, *(x for s in own for x in s), len(data)]
             kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
             spans.append([{"start": a, "end": z} for a, z in own])
@@ -244,9 +255,10 @@ def _cut_out(length: int, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 50, shard_bytes: int = 16 << 20, sort_bytes: int = 4 << 20, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 50, shard_bytes: int = 16 << 20, sort_bytes: int = 4 << 20, key: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``spans`` (byte ranges that repeat earlier bytes) and ``kept`` (the other bytes).
 
+    With ``whole``, spans shrink to whole characters, so that the rest is text.
     Judged on the input: overlapping strings all count, whatever else goes.
     A null text is empty; texts shorter than ``length`` keep all bytes. Rows
     with null keys come before all others; rows with one key are ordered by
@@ -278,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 50, shard_byt
         marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards), "bucket int, blob binary"))
     rows = source.select(*docs.columns, bucket, "uid", F.col(text_col).cast("string").cast("binary").alias("_text"))
     out = schema(docs, *docs.columns, spans="array<struct<start:bigint,end:bigint>>", kept="binary")
-    return rows.groupBy("bucket").cogroup(cut(marks).groupBy("bucket")).applyInArrow(_cut_out(length, docs.columns), out)
+    return rows.groupBy("bucket").cogroup(cut(marks).groupBy("bucket")).applyInArrow(_cut_out(length, docs.columns, whole), out)
 
 
 def digest(removed: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

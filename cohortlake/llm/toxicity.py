@@ -9,7 +9,7 @@ never learns from a fit on the same document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,11 @@ def words(text: str) -> set[str]:
     return set(text.lower().translate(_BREAKS).split())
 
 
+def traits(word: str) -> tuple[str, ...]:
+    """A word and its longer beginnings (marked by ``*``), so that inflected forms count alike."""
+    return (word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k))
+
+
 @dataclass
 class Logistic:
     weights: np.ndarray
@@ -47,7 +52,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray, width: int, penalty: float = 1e-4, steps: int = 120) -> Logistic:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray, width: int, penalty: float = 3e-3, steps: int = 120) -> Logistic:
     """Logistic regression on binary word features and dense ``before``, by Adam on the whole batch, classes weighted to even halves."""
     n, k = len(y), before.shape[1]
     share = y.mean()
@@ -72,6 +77,7 @@ class ChainModel:
     names: tuple[str, ...]
     models: list[Logistic]
     threshold: float
+    seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def predict(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 0))
@@ -79,11 +85,20 @@ class ChainModel:
             out = np.c_[out, sigmoid(model.logit(rows, cols, n, out))]
         return out
 
+    def _columns(self, word: str) -> tuple[int, ...]:
+        if len(self.seen) >= 300_000:
+            self.seen.clear()
+        found = self.seen[word] = tuple(self.vocabulary[t] for t in traits(word) if t in self.vocabulary)
+        return found
+
     def score(self, texts: list[str]) -> np.ndarray:
-        known = self.vocabulary.keys()
-        hits = [words(t) & known for t in texts]
+        """Probabilities, one row for each text and one column for each category."""
+        hits = []
+        for t in texts:
+            found = words(t)
+            hits.append({c for w in found for c in (self.seen[w] if w in self.seen else self._columns(w))})
         rows = np.repeat(np.arange(len(texts)), [len(h) for h in hits])
-        cols = np.array([self.vocabulary[w] for h in hits for w in h], np.int64)
+        cols = np.array([c for h in hits for c in h], np.int64)
         return self.predict(rows, cols, len(texts))
 
 
@@ -118,11 +133,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 12_000, features: int = 4096, fewest: int = 4) -> ChainModel:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 12_000, features: int = 256, fewest: int = 6) -> ChainModel:
     """Fit the chain on at most ``sample`` labelled documents, chosen by a hash of their keys.
 
-    Words in at least ``fewest`` of them compete for ``features`` columns by
-    how unevenly they fall on the two classes. Only the sample's labels are
+    Words and beginnings of words in at least ``fewest`` of them compete for
+    ``features`` columns by the chi-square of their excess in toxic documents. Only the sample's labels are
     broadcast and only its sparse features (at most ``sample`` x ``features``
     short numbers) reach the driver. Labels that are null are left out, keys
     that repeat count once; without any labels every probability is 0.5.
@@ -134,15 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int =
     given = given.where(F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))], [key, "toxic", "words"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted({x for w in words(t) for x in traits(w)}) for t in texts], pa.list_(pa.string()))], [key, "toxic", "words"])
 
     picked = docs.select(key, F.col("text").alias("_text")).join(F.broadcast(given), key).select(key, "toxic", "_text").dropDuplicates([key])
     seen = cut(picked.mapInArrow(by_text("_text", run), schema(picked, key, "toxic", words="array<string>")))
     n1, n0 = (seen.where(F.col("toxic") == c).count() for c in (1, 0))
     in_toxic, in_clean = (F.count(F.when(F.col("toxic") == c, 1)) for c in (1, 0))
     counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(in_toxic.alias("a"), in_clean.alias("b")).where(F.col("a") + F.col("b") >= fewest)
-    uneven = F.abs(F.ln((F.col("a") + 0.5) / (n1 + 1)) - F.ln((F.col("b") + 0.5) / (n0 + 1))) * F.sqrt(F.col("a") + F.col("b"))
-    chosen = [r["word"] for r in counts.orderBy(uneven.desc(), "word").limit(features).collect()]
+    held, share = F.col("a") + F.col("b"), n1 / max(1, n1 + n0)
+    excess = F.col("a") - held * share
+    chi = excess * excess / (held * share) / (1 - held / F.lit(n1 + n0) + 1e-9)
+    chosen = [r["word"] for r in counts.where(excess > 0).orderBy(chi.desc(), "word").limit(features).collect()]
     vocabulary = {w: i for i, w in enumerate(chosen)}
     columns = spark.createDataFrame([(w, i) for w, i in vocabulary.items()] or [("", -1)], "word string, col int")
     kinds = [(F.arrays_overlap("words", F.array(*map(F.lit, k))) & (F.col("toxic") == 1)).cast("int").alias(n) for n, k in KINDS.items()]

@@ -8,14 +8,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import ffd, simhash
+from cohortlake.llm import ffd, simhash, suffix, toxicity
 from cohortlake.llm.queries import WORDS
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labels of the tables, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each class of near-duplicates."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each class of near-duplicates: that of smallest doc_id (null last), the first of equal ones."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = simhash.near_duplicates(rows, carry=("_row",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row")
+    return rows.join(found.groupBy("component").agg(first).select("_row"), "_row", "left_semi").select(docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 100 bytes or more that stand earlier in the corpus, cut at whole characters."""
+    removed = suffix.remove_repeats(docs, whole=True)
+    text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
+    return removed.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +38,17 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ffd.pack(ffd.tokenize(docs, WORDS), keep_ids=False)
 
 
-STAGES = [("simhash_dedup", simhash_dedup), ("packing", packing)]
+STAGES = [("toxicity", drop_toxic), ("simhash_dedup", simhash_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
+
+#: SQL has neither the classifier nor XXH64, so tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each is written as Parquet and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    """Apply all stages to documents; each is written as Parquet in the shared folder and read again."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
