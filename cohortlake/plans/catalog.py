@@ -1,19 +1,706 @@
-"""Registry of the queries over the test tables."""
+"""Queries over the test tables, each beside the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import noise, scalar
+from ..operators import align, bound, exact, families, models, windows
+from ..sources import tables
+from ..sources.tables import scan
+from . import release
+from .policy import Disclosure, Policy
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+CUSTOMER = Policy("c_custkey", 1 << 40, 64, {"c_acctbal": (-1000.0, 10000.0)}, {"c_mktsegment": SEGMENTS})
+ORDERS = Policy("o_custkey", 1 << 40, 64, {"o_totalprice": (0.0, 500000.0)}, {"o_orderstatus": ("F", "O", "P"), "o_orderpriority": PRIORITIES})
+ORDER = Policy("o_orderkey", 1 << 40, 64, {"o_totalprice": (0.0, 500000.0)}, {"o_orderpriority": PRIORITIES})
+LINES = Policy("l_orderkey", 1 << 40, 64, {"l_quantity": (0.0, 50.0), "l_extendedprice": (0.0, 120000.0)}, {"l_returnflag": ("A", "N", "R"), "l_linestatus": ("F", "O")})
+EVENTS = Policy("user_id", 1 << 40, 1 << 30, {"day": (0.0, 30.0)}, {"outcome": ("censored", "error")})
+DAYS = [5.0, 10.0, 15.0, 20.0, 25.0, 30.0]
+GUARD = Disclosure()
+SECRET = b"a fixed secret for tests"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def cells(name: str, body: str, columns: list[str]) -> str:
+    """SQL: one row of ``body`` as a block of coordinates."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS block, {i}::BIGINT AS coord, coalesce({c}, 0)::BIGINT AS value FROM ({body})" for i, c in enumerate(columns, 1))
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Sums of doubles without the last digits, which depend on the order of rows."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# ---- shared inputs -------------------------------------------------------------------------------
+
+
+def price_units(spark: SparkSession, sf: str) -> DataFrame:
+    return bound.bounded_numeric(scan(spark, sf, "orders"), ORDERS, "o_totalprice", digits=2)
+
+
+def both_units(spark: SparkSession, sf: str) -> DataFrame:
+    a = bound.bounded_numeric(scan(spark, sf, "customer"), CUSTOMER, "c_acctbal", digits=2, name="c_acctbal")
+    return a.join(price_units(spark, sf).withColumnRenamed("v", "o_totalprice"), "unit")
+
+
+BOTH = Policy("unit", 1 << 40, 1, {**CUSTOMER.bounds, **ORDERS.bounds})
+PRICE = "SELECT o_custkey AS unit, least(500000.0, greatest(0.0, sum(least(500000.0, greatest(0.0, o_totalprice))::DECIMAL(28,2))::DOUBLE / count(o_totalprice))) AS v FROM orders GROUP BY 1"
+BALANCE = "SELECT c_custkey AS unit, least(10000.0, greatest(-1000.0, sum(least(10000.0, greatest(-1000.0, c_acctbal))::DECIMAL(28,2))::DOUBLE / count(c_acctbal))) AS v FROM customer GROUP BY 1"
+ZP, ZB = "(v / 500000.0)", "((v + 1000.0) / 11000.0)"
+JOINED = f"SELECT (b.v + 1000.0) / 11000.0 AS a, p.v / 500000.0 AS b FROM ({BALANCE}) b JOIN ({PRICE}) p USING (unit)"
+
+
+def rint(x: str) -> str:
+    return f"round_even({x} * 65536.0, 0)::BIGINT"
+
+
+def event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e = scan(spark, sf, "events")
+    seconds = F.date_diff("ts", F.lit("2024-01-01").cast("date")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60
+    day = (seconds * 1000000 + (F.extract(F.lit("SECOND"), "ts") * 1000000).cast("long")) / F.lit(86400000000.0)
+    return e.select("user_id", day.alias("day"), F.when((F.col("event_type") == "error") & (F.col("value") > 200), "error").otherwise("censored").alias("outcome"))
+
+
+EVENT_ROWS = "SELECT user_id, (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS day, CASE WHEN event_type = 'error' AND value > 200 THEN 'error' ELSE 'censored' END AS outcome FROM events"
+SURVIVAL = f"SELECT user_id, CASE WHEN max(CASE WHEN outcome = 'error' THEN 1 ELSE 0 END) = 1 THEN 'error' ELSE 'censored' END AS outcome, coalesce(min(CASE WHEN outcome = 'error' THEN day END), max(day)) AS t FROM ({EVENT_ROWS}) GROUP BY 1"
+
+
+def bins(x: str, grid: list[float]) -> str:
+    return "1" + "".join(f" + CASE WHEN {x} > {g} THEN 1 ELSE 0 END" for g in grid[:-1])
+
+
+def survival_units(spark: SparkSession, sf: str) -> DataFrame:
+    return bound.survival_unit(event_rows(spark, sf), EVENTS, "day", "outcome", "censored")
+
+
+# ---- sources -------------------------------------------------------------------------------------
+
+
+@query("SELECT c_acctbal, c_custkey, c_mktsegment, c_name, c_nationkey FROM customer")
+def snapshot(spark, sf):
+    return tables.snapshot(scan(spark, sf, "customer"))
+
+
+@query("SELECT * FROM (VALUES ('c_acctbal','numeric','bounded'), ('c_custkey','identifier','unit'), ('c_mktsegment','categorical','declared')) t(\"column\", kind, role)")
+def catalogue(spark, sf):
+    return tables.catalogue(spark, CUSTOMER)
+
+
+@query("SELECT unnest(['F', 'O', 'P']) AS level")
+def outcome_levels(spark, sf):
+    return tables.declared_levels(spark, ORDERS, "o_orderstatus")
+
+
+@query()
+def snapshot_digest(spark, sf):
+    nation = scan(spark, sf, "nation").withColumn("row_pos", F.col("n_nationkey").cast("long"))
+    return tables.digest(nation, "row_pos")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def reset_columns(spark, sf):
+    return tables.drop_temporary(scan(spark, sf, "nation").select("n_nationkey", "n_name").withColumn("__tmp_a", F.lit(1)), "__tmp_")[0]
+
+
+# ---- filters and projections ---------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, upper((c_acctbal > 0)::VARCHAR) AS positive, c_nationkey::VARCHAR AS nation, 'R' || strlen(c_name) || ':' || c_name AS prefixed, CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR END AS whole FROM customer")
+def canonical_labels(spark, sf):
+    c = scan(spark, sf, "customer")
+    return c.select("c_custkey", scalar.label(F.col("c_acctbal") > 0, "boolean").alias("positive"), scalar.label(F.col("c_nationkey"), "int").alias("nation"), scalar.length_prefixed(F.col("c_name")).alias("prefixed"), scalar.label(F.col("c_acctbal"), "double", strict=False).alias("whole"))
+
+
+@query("SELECT c_custkey, sha256('key' || '¦' || 'study' || '¦' || c_name) AS pseudonym FROM customer")
+def pseudonyms(spark, sf):
+    return scan(spark, sf, "customer").select("c_custkey", scalar.pseudonym(F.col("c_name"), "key", "study").alias("pseudonym"))
+
+
+def with_gaps(spark, sf):
+    return scan(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+
+
+GAPS = "SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN value END AS value) FROM events"
+
+
+@query(f"SELECT CASE WHEN count(value) >= 5 THEN count(value) END AS n_obs FROM ({GAPS})")
+def obs_count(spark, sf):
+    return exact.observation_count(with_gaps(spark, sf), ["value"], GUARD)
+
+
+@query(f"SELECT count(*) AS n_before, count(value) AS n_after, count(*) - count(value) AS n_dropped FROM ({GAPS})")
+def na_omit(spark, sf):
+    return exact.complete_case_counts(with_gaps(spark, sf), ["value"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS \"p2.HIGH\", CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END AS \"p3.MEDIUM\", CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1 ELSE 0 END AS \"p4.NOT.SPECIFIED\", CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS \"p5.LOW\" FROM orders")
+def factor_dummies(spark, sf):
+    return exact.factor_dummies(scan(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", list(PRIORITIES), prefix="p").drop("o_orderpriority")
+
+
+@query("SELECT level, count(o_orderstatus) AS n FROM (SELECT unnest(['F', 'O', 'P']) AS level) LEFT JOIN orders ON o_orderstatus = level GROUP BY 1")
+def one_hot(spark, sf):
+    return exact.one_hot_margins(scan(spark, sf, "orders"), "o_orderstatus", ["F", "O", "P"], GUARD)
+
+
+STANDARD = "SELECT l_orderkey, l_linenumber, round({}, 8) AS l_quantity FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem)"
+
+
+@query(STANDARD.format("(l_quantity - m) / s"))
+def standardize_full(spark, sf):
+    return rounded(exact.standardise(scan(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"]), 8, "l_quantity")
+
+
+@query(STANDARD.format("l_quantity / s"))
+def standardize_scale_only(spark, sf):
+    return rounded(exact.standardise(scan(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_quantity"], "scale_only"), 8, "l_quantity")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal <= a THEN 'Q1' WHEN c_acctbal <= b THEN 'Q2' WHEN c_acctbal <= c THEN 'Q3' ELSE 'Q4' END AS q FROM customer, (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS b, quantile_cont(c_acctbal, 0.75) AS c FROM customer)")
+def quartile_bins(spark, sf):
+    return exact.quartiles(scan(spark, sf, "customer"), "c_acctbal", "q").select("c_custkey", "q")
+
+
+@query("SELECT o_orderkey, (o_orderkey // 13 + 1)::INTEGER AS cluster FROM orders")
+def block_clusters(spark, sf):
+    return exact.block_clusters(scan(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 13)
+
+
+@query()
+def hash_clusters(spark, sf):
+    return exact.hash_clusters(scan(spark, sf, "customer").select("c_custkey"), "c_custkey", 13)
+
+
+@query()
+def injected_nulls(spark, sf):
+    return exact.inject_nulls(scan(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 0.2, 7)
+
+
+@query()
+def synthetic_survival(spark, sf):
+    return exact.synthetic_survival(scan(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey")
+
+
+ETA = "(0.5 + 0.1 * l_discount + -0.2 * l_tax)"
+
+
+def lines_eta():
+    return scalar.linear([F.col("l_discount"), F.col("l_tax")], [0.1, -0.2], 0.5)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - {ETA}) * (l_quantity - {ETA}), 6) AS r2_gaussian, round(pow(l_quantity - exp(least({ETA}, 50.0)), 2) / exp(least({ETA}, 50.0)), 6) AS r2_poisson FROM lineitem")
+def pearson_r2(spark, sf):
+    d = scan(spark, sf, "lineitem")
+    y, eta = F.col("l_quantity"), lines_eta()
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", models.pearson_r2(y, eta, "gaussian").alias("r2_gaussian"), models.pearson_r2(y, eta, "poisson").alias("r2_poisson")), 6, "r2_gaussian", "r2_poisson")
+
+
+@query("SELECT doc_id, round(pow(toxic - 1 / (1 + exp(-(-2.0 + 0.3 * quality))), 2) / (1 / (1 + exp(-(-2.0 + 0.3 * quality))) * (1 - 1 / (1 + exp(-(-2.0 + 0.3 * quality))))), 6) AS r2 FROM labels")
+def pearson_r2_binomial(spark, sf):
+    eta = scalar.linear([F.col("quality").cast("double")], [0.3], -2.0)
+    return rounded(scan(spark, sf, "labels").select("doc_id", models.pearson_r2(F.col("toxic").cast("double"), eta, "binomial").alias("r2")), 6, "r2")
+
+
+@query("SELECT c_custkey, coalesce(w, 1.0)::DOUBLE AS w FROM customer LEFT JOIN (SELECT n_nationkey AS c_nationkey, n_nationkey / 10.0::DOUBLE AS w FROM nation WHERE n_nationkey < 20) USING (c_nationkey)")
+def cluster_weights(spark, sf):
+    w = scan(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("cluster"), (F.col("n_nationkey") / 10.0).alias("w"))
+    return exact.expand_cluster_weights(scan(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", w).select("c_custkey", "w")
+
+
+@query("SELECT c_custkey, c_acctbal + c_nationkey AS added, c_acctbal - c_nationkey AS less, c_acctbal * c_nationkey AS product, 2.5 * c_acctbal - 0.5 * c_nationkey + 1.0 AS combined, round(1 / (1 + exp(-(c_acctbal / 5000))), 10) AS sigmoid, round(greatest(c_acctbal / 500, 0.0) + ln(1 + exp(-abs(c_acctbal / 500))), 10) AS softplus, round(exp(least(8.0, greatest(-3.0, c_acctbal / 1000))), 6) AS expo, round(1 / least(500.0, greatest(0.01, c_acctbal)), 10) AS reciprocal, round(ln(least(100.0, greatest(0.01, c_acctbal))), 10) AS logged FROM customer")
+def scalar_functions(spark, sf):
+    x, n = F.col("c_acctbal"), F.col("c_nationkey")
+    d = scan(spark, sf, "customer").select("c_custkey", (x + n).alias("added"), (x - n).alias("less"), (x * n).alias("product"), (2.5 * x - 0.5 * n + 1.0).alias("combined"), scalar.sigmoid(x / 5000).alias("sigmoid"), scalar.softplus(x / 500).alias("softplus"), scalar.exp_clipped(x / 1000).alias("expo"), scalar.reciprocal(x).alias("reciprocal"), scalar.log_clipped(x).alias("logged"))
+    return rounded(rounded(d, 10, "sigmoid", "softplus", "reciprocal", "logged"), 6, "expo")
+
+
+# ---- joins ---------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS a_c_acctbal, o.o_orderkey AS b_o_orderkey, o.o_totalprice AS b_o_totalprice FROM customer JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) f ON c_custkey = f.o_custkey JOIN orders o ON o.o_orderkey = f.k")
+def align_customer_orders(spark, sf):
+    a = scan(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    b = scan(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return align.align([a, b], ["c_custkey", "o_custkey"], [["c_acctbal"], ["o_orderkey"]], ["a", "b"])
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey IN (SELECT user_id FROM events)")
+def align_three_way(spark, sf):
+    return align.matched_ids([scan(spark, sf, "customer"), scan(spark, sf, "orders"), scan(spark, sf, "events")], ["c_custkey", "o_custkey", "user_id"])
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_pos FROM orders")
+def row_positions(spark, sf):
+    d = scan(spark, sf, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("less"))
+    return align.row_positions(d, ["less", "o_orderkey"], parts=32).select("o_orderkey", F.col("row_pos").cast("long").alias("row_pos"))
+
+
+@query("SELECT c_custkey, dense_rank() OVER (ORDER BY c_nationkey)::INTEGER AS cluster FROM customer")
+def cluster_ids(spark, sf):
+    return windows.dense_ids(scan(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "cluster").select("c_custkey", "cluster")
+
+
+@query("SELECT n_nationkey, (24 - n_nationkey)::INTEGER AS row_pos FROM nation")
+def permuted(spark, sf):
+    d = scan(spark, sf, "nation").select("n_nationkey").withColumn("row_pos", F.col("n_nationkey"))
+    return windows.permute(d, "row_pos", d.select(F.col("row_pos").alias("source"), (24 - F.col("row_pos")).alias("target")))
+
+
+# ---- statistics of bounded units -----------------------------------------------------------------
+
+
+@query(cells("admitted_count", "SELECT count(DISTINCT o_custkey) AS n FROM orders", ["n"]))
+def admitted_count(spark, sf):
+    orders = scan(spark, sf, "orders")
+    bound.admit(orders, ORDERS)
+    return families.admitted_count(orders, ORDERS)
+
+
+MOMENTS = cells("numeric:o_totalprice", f"SELECT count(v) AS n, sum({rint(ZP)}) AS s, sum({rint(ZP + ' * ' + ZP)}) AS q FROM ({PRICE})", ["n", "s", "q"])
+
+
+@query(MOMENTS)
+def numeric_moments(spark, sf):
+    return families.moments(price_units(spark, sf), ORDERS, "o_totalprice")
+
+
+PAIR = cells("pair:c_acctbal,o_totalprice", f"SELECT count(*) AS n, sum({rint('a')}) AS x, sum({rint('b')}) AS y, sum({rint('a * a')}) AS xx, sum({rint('b * b')}) AS yy, sum({rint('a * b')}) AS xy FROM ({JOINED})", ["n", "x", "y", "xx", "yy", "xy"])
+
+
+@query(PAIR)
+def numeric_pair_moments(spark, sf):
+    return families.pair_moments(both_units(spark, sf), BOTH, "c_acctbal", "o_totalprice", "c_acctbal", "o_totalprice")
+
+
+@query(f"SELECT 'pair:c_acctbal,o_totalprice' AS block, n::BIGINT AS n, round((n * xy * 65536.0 - x * y) / sqrt((n * xx * 65536.0 - x * x) * (n * yy * 65536.0 - y * y)), 10) AS correlation FROM (SELECT count(*)::DOUBLE AS n, sum({rint('a')})::DOUBLE AS x, sum({rint('b')})::DOUBLE AS y, sum({rint('a * a')})::DOUBLE AS xx, sum({rint('b * b')})::DOUBLE AS yy, sum({rint('a * b')})::DOUBLE AS xy FROM ({JOINED}))")
+def correlation(spark, sf):
+    return rounded(families.correlation(numeric_pair_moments(spark, sf), BOTH.scale), 10, "correlation")
+
+
+GAUSS = cells("gaussian:o_totalprice", f"SELECT count(*) AS n, count(*) * 65536 AS a, sum({rint('a')}) AS b, sum({rint('a * a')}) AS c, sum({rint('b')}) AS d, sum({rint('a * b')}) AS e, sum({rint('b * b')}) AS f FROM ({JOINED})", list("nabcdef"))
+
+
+@query(GAUSS)
+def gaussian_same_owner(spark, sf):
+    return families.gaussian(both_units(spark, sf), BOTH, "o_totalprice", ["c_acctbal"])
+
+
+CROSS = cells("gaussian_cross:o_totalprice", f"SELECT count(*) * 65536 AS n, count(*) * 65536 AS a, sum(x) AS b, sum((x * x) >> 16) AS c, sum(y) AS d, sum((x * y) >> 16) AS e, sum((y * y) >> 16) AS f FROM (SELECT {rint('a')} AS x, {rint('b')} AS y FROM ({JOINED}))", list("nabcdef"))
+
+
+@query(CROSS)
+def gaussian_cross_owner(spark, sf):
+    return families.gaussian_cross(both_units(spark, sf), BOTH, "o_totalprice", ["c_acctbal"])
+
+
+GRID = [0.0, 2500.0, 5000.0, 7500.0, 10000.0]
+HIST = cells("histogram:c_acctbal", f"SELECT {', '.join(f'count(*) FILTER (WHERE b = {i}) AS b{i}' for i in range(1, 6))}, count(*) FILTER (WHERE v IS NULL) AS z FROM (SELECT v, CASE WHEN v IS NOT NULL THEN {bins('v', GRID)} END AS b FROM ({BALANCE}))", [*(f"b{i}" for i in range(1, 6)), "z"])
+
+
+@query(HIST)
+def histogram_fixed_grid(spark, sf):
+    return families.histogram(bound.bounded_numeric(scan(spark, sf, "customer"), CUSTOMER, "c_acctbal", digits=2), "c_acctbal", GRID)
+
+
+def one_level(column: str, unit: str, table: str) -> str:
+    return f"SELECT {unit} AS unit, CASE WHEN count(DISTINCT {column}) = 1 THEN min({column}) END AS level FROM {table} GROUP BY 1"
+
+
+MARGINALS = cells("categorical:c_mktsegment", f"SELECT {', '.join(f'''count(*) FILTER (WHERE level = '{s}') AS s{i}''' for i, s in enumerate(SEGMENTS))} FROM ({one_level('c_mktsegment', 'c_custkey', 'customer')})", [f"s{i}" for i in range(5)])
+
+
+@query(MARGINALS)
+def categorical_marginals(spark, sf):
+    return families.marginals(bound.bounded_category(scan(spark, sf, "customer"), CUSTOMER, "c_mktsegment"), CUSTOMER, "c_mktsegment")
+
+
+CELLS = [(r, c) for c in ("F", "O") for r in ("A", "N", "R")]
+PAIRS = cells("categories:l_returnflag,l_linestatus", f"SELECT {', '.join(f'''count(*) FILTER (WHERE r = '{r}' AND c = '{c}') AS x{i}''' for i, (r, c) in enumerate(CELLS))} FROM (SELECT l_orderkey, min(l_returnflag) AS r, min(l_linestatus) AS c FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag || l_linestatus) = 1)", [f"x{i}" for i in range(6)])
+
+
+@query(PAIRS)
+def categorical_pairs_same_owner(spark, sf):
+    return families.pairs(bound.bounded_pair(scan(spark, sf, "lineitem"), LINES, "l_returnflag", "l_linestatus"), LINES, "l_returnflag", "l_linestatus")
+
+
+PCELLS = [(r, c) for c in ("F", "O") for r in PRIORITIES]
+PAIRS_CROSS = cells("categories_cross:o_orderpriority,l_linestatus", f"SELECT {', '.join(f'''65536 * count(*) FILTER (WHERE a.level = '{r}' AND b.level = '{c}') AS x{i}''' for i, (r, c) in enumerate(PCELLS))} FROM ({one_level('o_orderpriority', 'o_orderkey', 'orders')}) a JOIN ({one_level('l_linestatus', 'l_orderkey', 'lineitem')}) b USING (unit)", [f"x{i}" for i in range(10)])
+
+
+@query(PAIRS_CROSS)
+def categorical_pairs_cross_owner(spark, sf):
+    return families.pairs_cross(scan(spark, sf, "orders"), ORDER, "o_orderpriority", scan(spark, sf, "lineitem"), LINES, "l_linestatus")
+
+
+DGRID = [100000.0, 200000.0, 300000.0, 400000.0, 500000.0]
+DESCRIBE = cells(
+    "describe:o_totalprice",
+    f"SELECT count(z) AS n, sum({rint('z')}) AS s, sum({rint('z * z')}) AS q, {', '.join(f'count(*) FILTER (WHERE b = {i}) AS b{i}' for i in range(1, 6))}, count(*) FILTER (WHERE z IS NULL) AS i FROM (SELECT z, {bins('z', [g / 500000.0 for g in DGRID])} AS b FROM (SELECT o_custkey, sum((least(500000.0, greatest(0.0, o_totalprice)) / 500000.0)::DECIMAL(28,8))::DOUBLE / count(o_totalprice) AS z FROM orders GROUP BY 1))",
+    ["n", "s", "q", *(f"b{i}" for i in range(1, 6)), "i"],
+)
+
+
+@query(DESCRIBE)
+def describe(spark, sf):
+    return families.describe(scan(spark, sf, "orders"), ORDERS, {"o_totalprice": DGRID}, digits=8)
+
+
+SURV_COLUMNS = ", ".join(f"count(*) FILTER (WHERE outcome = '{o}' AND b = {i}) AS {o}{i}" for o in ("censored", "error") for i in range(1, 7))
+SURVIVED = cells("survival", f"SELECT {SURV_COLUMNS}, 0 AS z FROM (SELECT outcome, {bins('t', DAYS)} AS b FROM ({SURVIVAL}))", [*(f"{o}{i}" for o in ("censored", "error") for i in range(1, 7)), "z"])
+
+
+@query(SURVIVED)
+def survival_histogram(spark, sf):
+    return families.survival(survival_units(spark, sf), EVENTS, "outcome", "censored", DAYS)
+
+
+DELAYED = cells(
+    "survival_delayed",
+    f"SELECT {', '.join(f'count(*) FILTER (WHERE e = {i}) AS e{i}' for i in range(1, 7))}, {SURV_COLUMNS}, 0 AS z FROM (SELECT outcome, {bins('t', DAYS)} AS b, {bins('f', DAYS)} AS e FROM ({SURVIVAL}) JOIN (SELECT user_id, min(day) AS f FROM ({EVENT_ROWS}) GROUP BY 1) USING (user_id))",
+    [*(f"e{i}" for i in range(1, 7)), *(f"{o}{i}" for o in ("censored", "error") for i in range(1, 7)), "z"],
+)
+
+
+@query(DELAYED)
+def survival_delayed_entry(spark, sf):
+    rows = event_rows(spark, sf)
+    first = rows.groupBy("user_id").agg(F.min("day").alias("entry"))
+    units = bound.survival_unit(rows.join(first, "user_id"), EVENTS, "day", "outcome", "censored", "entry")
+    return families.survival(units, EVENTS, "outcome", "censored", DAYS, delayed=True, name="survival_delayed")
+
+
+VECTOR = [("admitted_count", SQL["admitted_count"]), ("numeric_moments", MOMENTS), ("numeric_pair_moments", PAIR), ("gaussian_same_owner", GAUSS), ("gaussian_cross_owner", CROSS), ("histogram_fixed_grid", HIST), ("categorical_marginals", MARGINALS), ("categorical_pairs_same_owner", PAIRS), ("categorical_pairs_cross_owner", PAIRS_CROSS), ("survival_histogram", SURVIVED)]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS at, * FROM ({sql})" for i, (_, sql) in enumerate(VECTOR)))
+def capsule_vector(spark, sf):
+    return families.vector([QUERIES[name](spark, sf) for name, _ in VECTOR])
+
+
+@query(f"SELECT d.coord, d.level, count(c_custkey) AS n FROM (SELECT unnest(range(1, 6))::BIGINT AS coord, unnest([{', '.join(repr(s) for s in SEGMENTS)}]) AS level) d LEFT JOIN (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) ON c_mktsegment = level GROUP BY 1, 2")
+def frequency(spark, sf):
+    c = scan(spark, sf, "customer")
+    ids = align.matched_ids([c, scan(spark, sf, "orders")], ["c_custkey", "o_custkey"])
+    return families.frequency(c.join(ids, c.c_custkey == ids.id, "left_semi"), SEGMENTS, "c_mktsegment")
+
+
+@query("SELECT l_orderkey // 100 AS segment, sum(l_quantity) AS total FROM lineitem GROUP BY 1")
+def segment_sums(spark, sf):
+    return exact.segment_sums(scan(spark, sf, "lineitem"), "l_orderkey", "l_quantity", 100)
+
+
+# ---- releases ------------------------------------------------------------------------------------
+
+
+@query()
+def count_noised(spark, sf):
+    return release.noised(admitted_count(spark, sf), "count-1", SECRET, 1.0, 1.0)
+
+
+@query()
+def frequency_noised(spark, sf):
+    blocks = frequency(spark, sf).select(F.lit("frequency").alias("block"), "coord", F.col("n").alias("value"))
+    return release.noised(blocks, "frequency-1", SECRET, 1.0, 1.0, mechanism="convolution")
+
+
+@query()
+def vector_noised(spark, sf):
+    blocks = categorical_pairs_same_owner(spark, sf)
+    return release.noised(blocks, "vector-1", SECRET, 1.0, 1.0, mechanism="gaussian", sigma=noise.gaussian_sigma(1.0, 1.0, 1e-6))
+
+
+@query("SELECT 0::BIGINT AS different")
+def release_replay(spark, sf):
+    a, b = count_noised(spark, sf), count_noised(spark, sf)
+    return a.join(b, ["block", "coord", "value"], "full_outer").agg((F.count(F.lit(1)) - 1).alias("different"))
+
+
+@query("SELECT 'laplace' AS mechanism, floor(abs(ln(0.05 / n)) * 6.0 / eps + 0.5)::BIGINT AS radius, n::INTEGER AS n, eps FROM (VALUES (1, 1.0::DOUBLE), (10, 0.5::DOUBLE), (100, 2.0::DOUBLE)) t(n, eps)")
+def mechanism_choice(spark, sf):
+    rows = [(*noise.choose(n, 6.0, 6.0, eps, 0.0), n, eps) for n, eps in ((1, 1.0), (10, 0.5), (100, 2.0))]
+    return spark.createDataFrame(rows, "mechanism string, radius long, n int, eps double")
+
+
+# ---- exact aggregates ----------------------------------------------------------------------------
+
+CONTINGENCY = """WITH d AS (SELECT lang AS a, toxic::VARCHAR AS b FROM labels JOIN documents USING (doc_id)), c AS (SELECT a, b, count(*) AS n FROM d GROUP BY 1, 2),
+r AS (SELECT a, count(*) AS na FROM d GROUP BY 1), k AS (SELECT b, count(*) AS nb FROM d GROUP BY 1),
+x AS (SELECT r.a, k.b, coalesce(c.n, 0) AS n, coalesce(c.n, 0) BETWEEN 1 AND 2 OR na < 3 OR nb < 3 AS suppressed FROM r CROSS JOIN k LEFT JOIN c ON c.a = r.a AND c.b = k.b)
+SELECT a, b, CASE WHEN suppressed THEN 0 ELSE n END AS n, suppressed FROM x"""
+
+
+@query(CONTINGENCY)
+def contingency_exact(spark, sf):
+    d = scan(spark, sf, "labels").join(scan(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("toxic", F.col("toxic").cast("string"))
+    return exact.contingency(d, "lang", "toxic", GUARD)
+
+
+EDGES = [0.0, 0.02, 0.05, 0.08]
+
+
+@query("SELECT unnest([-1, 0, 1, 2, 3, 4]) AS bin, unnest([count(*) FILTER (WHERE x IS NULL), count(*) FILTER (WHERE x < 0), count(*) FILTER (WHERE x >= 0 AND x < 0.02), count(*) FILTER (WHERE x >= 0.02 AND x < 0.05), count(*) FILTER (WHERE x >= 0.05 AND x <= 0.08), count(*) FILTER (WHERE x > 0.08)]) AS n FROM (SELECT l_discount AS x FROM lineitem)")
+def histogram_exact(spark, sf):
+    return exact.histogram(scan(spark, sf, "lineitem"), "l_discount", EDGES, GUARD)
+
+
+@query("SELECT count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS sd, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer")
+def local_moments(spark, sf):
+    return rounded(exact.local_moments(scan(spark, sf, "customer"), "c_acctbal", GUARD, extrema=True), 6, "mean", "sd")
+
+
+@query("SELECT count(l_quantity) AS n, sum(l_quantity) AS sum_y, sum(l_quantity * l_quantity) AS sum_y2, round(avg(l_quantity), 8) AS mean, round(var_samp(l_quantity), 6) AS variance FROM lineitem")
+def nb_moments(spark, sf):
+    return rounded(rounded(exact.nb_moments(scan(spark, sf, "lineitem"), "l_quantity"), 8, "mean"), 6, "variance")
+
+
+@query("SELECT sum(n)::BIGINT AS n, round(sum(n * (psi + coalesce(list_sum(list_transform(range(0, y::BIGINT), lambda k: 1.0::DOUBLE / (2.5::DOUBLE + k))), 0))), 4) AS sum_psi, round(sum(n * (psi1 - coalesce(list_sum(list_transform(range(0, y::BIGINT), lambda k: 1.0::DOUBLE / ((2.5::DOUBLE + k) * (2.5::DOUBLE + k)))), 0))), 4) AS sum_psi1 FROM (SELECT l_quantity AS y, count(*) AS n FROM lineitem GROUP BY 1), (SELECT 0.7031566406452432::DOUBLE AS psi, 0.4903577561002348::DOUBLE AS psi1)")
+def nb_profile_sums(spark, sf):
+    return rounded(exact.nb_profile(scan(spark, sf, "lineitem"), "l_quantity", 2.5), 4, "sum_psi", "sum_psi1")
+
+
+LARGE = "(SELECT l.* FROM lineitem l WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 5))"
+
+
+def large(spark, sf):
+    return exact.with_large_clusters(scan(spark, sf, "lineitem"), "l_orderkey", 5)
+
+
+@query(f"SELECT l_orderkey AS cluster, count(*) AS n FROM {LARGE} GROUP BY 1")
+def cluster_sizes(spark, sf):
+    return exact.cluster_sizes(large(spark, sf), "l_orderkey", GUARD)
+
+
+RES = f"(l_quantity - {ETA})"
+
+
+@query(f"SELECT l_orderkey AS cluster, round(sum({RES}), 6) AS sum_r, round(sum({RES} * {RES}), 8) AS sum_r2, count(*) AS n FROM {LARGE} GROUP BY 1")
+def cluster_residuals(spark, sf):
+    return rounded(rounded(exact.cluster_residuals(large(spark, sf), "l_orderkey", F.col("l_quantity") - lines_eta()), 6, "sum_r"), 8, "sum_r2")
+
+
+@query(f"SELECT l_orderkey AS cluster, count(*)::DOUBLE AS z00, round(sum(l_discount), 8) AS z01, round(sum(l_discount * l_discount), 8) AS z11 FROM {LARGE} GROUP BY 1")
+def cluster_ztz(spark, sf):
+    return rounded(exact.cluster_ztz(large(spark, sf), "l_orderkey", [F.col("l_discount")]), 8, "z01", "z11")
+
+
+@query("SELECT count(*) AS k, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 8) AS mean, round(sum(w), 3) AS ssw, round(sum(s * s / n) - sum(s) * sum(s) / sum(n), 3) AS ssb FROM (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS s, var_pop(l_quantity) * count(*) AS w FROM lineitem GROUP BY 1)")
+def lmm_variance_components(spark, sf):
+    return rounded(rounded(exact.variance_components(scan(spark, sf, "lineitem"), "l_quantity", "l_orderkey"), 8, "mean"), 3, "ssw", "ssb")
+
+
+CENTRED = "SELECT l_quantity - avg(l_quantity) OVER w AS a, l_discount - avg(l_discount) OVER w AS b, count(*) OVER w AS n, l_orderkey FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)"
+
+
+@query(f"SELECT unnest([0, 0, 1]) AS i, unnest([0, 1, 1]) AS j, unnest([round(sum(a * a), 3), round(sum(a * b), 3), round(sum(b * b), 3)]) AS value, (count(*) - count(DISTINCT l_orderkey))::BIGINT AS df FROM ({CENTRED}) WHERE n > 1")
+def lmm_within_cov(spark, sf):
+    return rounded(exact.within_covariance(scan(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_orderkey"), 3, "value")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity - 0.4 * avg(l_quantity) OVER (PARTITION BY l_orderkey), 8) AS l_quantity_t, 0.6::DOUBLE AS intercept_t FROM lineitem")
+def gls_transform(spark, sf):
+    d = exact.gls_transform(scan(spark, sf, "lineitem"), ["l_quantity"], "l_orderkey", 0.4)
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity_t", "intercept_t"), 8, "l_quantity_t")
+
+
+@query("SELECT unnest([0, 0, 1, 0, 1, -1]) AS i, unnest([0, 1, 1, -1, -1, -1]) AS j, unnest([count(*)::DOUBLE, round(sum(l_discount), 4), round(sum(l_discount * l_discount), 4), round(sum(l_quantity), 4), round(sum(l_discount * l_quantity), 4), round(sum(l_quantity * l_quantity), 4)]) AS value FROM lineitem")
+def lmm_gram(spark, sf):
+    return rounded(exact.gram(scan(spark, sf, "lineitem"), [F.lit(1.0), F.col("l_discount")], F.col("l_quantity")), 4, "value")
+
+
+# ---- models --------------------------------------------------------------------------------------
+
+
+def labelled(spark, sf):
+    d = scan(spark, sf, "labels").join(scan(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return d.select(F.col("quality").cast("double").alias("q"), (F.col("n_chars") / 1000.0).alias("k"), F.col("toxic").cast("double").alias("y"))
+
+
+LABELLED = "(SELECT quality::DOUBLE AS q, n_chars / 1000.0::DOUBLE AS k, toxic::DOUBLE AS y FROM labels JOIN documents USING (doc_id))"
+LETA = "(-1.0 + 0.2 * q + 0.01 * k)"
+MEANS = {"gaussian": LETA, "binomial": f"(1 / (1 + exp(-{LETA})))", "poisson": f"exp(least(8.0, greatest(-3.0, {LETA})))"}
+
+
+def _gradient(family: str):
+    m = MEANS[family]
+    sql = f"SELECT unnest([0, 1, 2]) AS j, unnest([round(sum({m} - y), 5), round(sum(q * ({m} - y)), 5), round(sum(k * ({m} - y)), 5)]) AS value FROM {LABELLED}"
+
+    def run(spark, sf):
+        return rounded(models.gradient(labelled(spark, sf), [F.col("q"), F.col("k")], F.col("y"), family, [0.2, 0.01], -1.0), 5, "value")
+
+    run.__name__ = f"glm_gradient_{family}"
+    query(sql)(run)
+
+
+for _family in MEANS:
+    _gradient(_family)
+
+
+@query(f"SELECT round(sum(pow(y - {LETA}, 2)), 6) AS rss, round(sum(greatest({LETA}, 0.0) + ln(1 + exp(-abs({LETA})))), 6) AS sum_softplus, round(sum(y * {LETA}), 6) AS sum_y_eta, round(sum({MEANS['poisson']}), 6) AS sum_mu, round(sum(CASE WHEN y > 0 THEN y * ln(y) ELSE 0 END - y), 6) AS null_term FROM {LABELLED}")
+def glm_deviance(spark, sf):
+    d, y, eta = labelled(spark, sf), F.col("y"), scalar.linear([F.col("q"), F.col("k")], [0.2, 0.01], -1.0)
+    parts = [models.deviance_sums(d, y, eta, f) for f in ("gaussian", "binomial", "poisson")]
+    whole = parts[0].crossJoin(parts[1]).crossJoin(parts[2].drop("sum_y_eta"))  # single rows
+    return rounded(whole, 6, *whole.columns)
+
+
+@query("SELECT round(sum(l_discount * (25.5 - l_quantity)), 4) AS sum_wr, round(sum(sqrt(abs(l_discount)) * (25.5 - l_quantity)), 4) AS sum_rwr, round(sum(l_discount), 4) AS sum_w FROM lineitem")
+def weighted_residual(spark, sf):
+    d = models.weighted_sums(scan(spark, sf, "lineitem"), F.col("l_quantity"), F.lit(25.5), F.abs("l_discount"))
+    return rounded(d, 4, *d.columns)
+
+
+RISK_ROWS = f"SELECT t AS stop, outcome = 'error' AS died, (user_id % 2)::DOUBLE AS x FROM ({SURVIVAL})"
+GRID_SQL = f"(SELECT unnest({[float(g) for g in DAYS]}) AS tick)"
+LAST = "tick = (CASE " + " ".join(f"WHEN stop >= {g} THEN {g}" for g in reversed(DAYS)) + " END)"
+RISK = f"SELECT tick::DOUBLE AS tick, count(*) AS at_risk, count(*) FILTER (WHERE died AND {LAST}) AS events, sum(CASE WHEN died AND {LAST} THEN x ELSE 0 END) AS sum_x, round(sum(exp(0.3 * x)), 8) AS s0, round(sum(exp(0.3 * x) * x), 8) AS s1, round(sum(exp(0.3 * x) * x * x), 8) AS s2 FROM {GRID_SQL} JOIN ({RISK_ROWS}) ON stop >= tick GROUP BY 1"
+
+
+def risk(spark, sf):
+    u = survival_units(spark, sf).where("valid")
+    return windows.risk_sums(u, F.lit(-1.0), F.col("time"), F.col("outcome") == "error", (F.col("unit") % 2).cast("double"), 0.3, DAYS)
+
+
+@query(RISK)
+def cox_risk_sets(spark, sf):
+    return rounded(risk(spark, sf), 8, "s0", "s1", "s2")
+
+
+@query(f"SELECT round(sum(0.3 * sum_x - events * ln(s0)), 5) AS loglik, round(sum(sum_x - events * s1 / s0), 5) AS score, round(sum(events * (s2 / s0 - (s1 / s0) * (s1 / s0))), 5) AS information FROM ({RISK})")
+def cox_score(spark, sf):
+    got = models.cox_parts(risk(spark, sf), 0.3)
+    return rounded(spark.createDataFrame([tuple(map(float, got))], "loglik double, score double, information double"), 5, "loglik", "score", "information")
+
+
+@query(f"SELECT user_id AS unit, bin::INTEGER AS bin, (bin <= b)::INTEGER AS at_risk, (died AND bin = b)::INTEGER AS event FROM (SELECT user_id, outcome = 'error' AS died, {bins('t', DAYS)} AS b FROM ({SURVIVAL})), (SELECT unnest(range(1, 7)) AS bin)")
+def person_period(spark, sf):
+    d = windows.person_periods(survival_units(spark, sf).where("valid"), "time", F.col("outcome") == "error", DAYS)
+    return d.select("unit", "bin", "at_risk", "event")
+
+
+ORDERED = "l_shipdate, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
+
+
+def _running(name: str, strata: str, reverse: bool):
+    frame = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING" if reverse else "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    sql = f"SELECT l_orderkey, l_partkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY {strata} ORDER BY {ORDERED}, l_orderkey {frame}) AS running FROM lineitem"
+
+    def run(spark, sf):
+        d = windows.running_sum(scan(spark, sf, "lineitem"), F.col("l_quantity"), [*ORDERED.split(", "), "l_orderkey"], strata.split(", "), reverse)
+        return d.select("l_orderkey", "l_partkey", "l_linenumber", "running")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_running("cumsum_forward", "l_orderkey", False)
+_running("cumsum_reverse", "l_orderkey", True)
+_running("cumsum_stratified", "l_suppkey, l_returnflag", False)
+
+
+@query("SELECT l_shipdate AS key, sum(sum(l_quantity)) OVER (ORDER BY l_shipdate DESC) AS quantity FROM lineitem GROUP BY 1")
+def risk_set_totals(spark, sf):
+    return windows.grouped_running_sum(scan(spark, sf, "lineitem"), "l_shipdate", {"quantity": F.col("l_quantity")}, reverse=True)
+
+
+W = f"(PARTITION BY l_orderkey ORDER BY {ORDERED})"
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, coalesce(lag(l_quantity) OVER {W}, 0) AS lag, coalesce(lead(l_quantity) OVER {W}, 0) AS lead, CASE WHEN lag(1) OVER {W} IS NOT NULL THEN l_quantity ELSE 0 END AS nonfirst, CASE WHEN lead(1) OVER {W} IS NOT NULL THEN l_quantity ELSE 0 END AS nonlast, CASE WHEN lag(1) OVER {W} IS NOT NULL AND lead(1) OVER {W} IS NOT NULL THEN l_quantity ELSE 0 END AS interior FROM lineitem")
+def ar1_lead_lag(spark, sf):
+    d = scan(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", *[c for c in ORDERED.split(", ") if c != "l_linenumber"])
+    return windows.neighbours(d, "l_orderkey", ORDERED.split(", "), "l_quantity").drop("l_shipdate", "l_suppkey", "l_extendedprice")
+
+
+BETAS = {"F": [0.1, 0.2], "O": [-0.3, 0.1]}
+SM = {k: f"exp({b[0]} + {b[1]} * x)" for k, b in BETAS.items()}
+SMD = f"(1 + {SM['F']} + {SM['O']})"
+
+
+@query(f"SELECT unnest(['F', 'F', 'O', 'O']) AS level, unnest([0, 1, 0, 1]) AS j, unnest([{', '.join(f'''round(sum({x} * ({SM[k]} / {SMD} - CASE WHEN o_orderstatus = '{k}' THEN 1 ELSE 0 END)), 4)''' for k in BETAS for x in ('1', 'x'))}]) AS value FROM (SELECT o_orderstatus, o_totalprice / 500000.0 AS x FROM orders)")
+def multinomial_gradient(spark, sf):
+    d = scan(spark, sf, "orders").withColumn("x", F.col("o_totalprice") / 500000.0)
+    return rounded(models.softmax_gradient(d, [F.col("x")], F.col("o_orderstatus"), ["F", "O"], BETAS), 4, "value")
+
+
+@query("SELECT substr(o_orderpriority, 1, 1)::INTEGER AS class, count(*) AS n FROM orders GROUP BY 1")
+def ordinal_classes(spark, sf):
+    held = [F.col("o_orderpriority") <= p for p in PRIORITIES[:-1]]
+    return scan(spark, sf, "orders").groupBy(models.ordinal_class(held).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM ({GAPS}))), 8) AS filled FROM ({GAPS})")
+def impute_mean(spark, sf):
+    return rounded(models.impute_mean(with_gaps(spark, sf), "value", "filled").select("event_id", "filled"), 8, "filled")
+
+
+TYPED = "(SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM events)"
+
+
+@query(f"SELECT event_id, coalesce(event_type, (SELECT event_type FROM {TYPED} WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1)) AS filled FROM {TYPED}")
+def impute_mode(spark, sf):
+    d = scan(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"))
+    return models.impute_mode(d, "event_type", "filled").select("event_id", "filled")
+
+
+@query()
+def impute_ridge(spark, sf):
+    d = scan(spark, sf, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_partkey", "l_linenumber")).withColumn("l_quantity", F.when(F.col("id") % 5 != 0, F.col("l_quantity")))
+    return models.impute_ridge(d, "l_quantity", ["l_extendedprice", "l_discount"], "id", "filled").select("l_orderkey", "l_partkey", "l_linenumber", "filled")
+
+
+@query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS b0, round(regr_slope(l_extendedprice, l_quantity), 6) AS b1 FROM lineitem")
+def glm_fit_gaussian(spark, sf):
+    b = models.fit_glm(scan(spark, sf, "lineitem"), [F.col("l_quantity")], F.col("l_extendedprice"))
+    return rounded(rounded(spark.createDataFrame([tuple(map(float, b))], "b0 double, b1 double"), 4, "b0"), 6, "b1")
+
+
+@query("WITH t AS (SELECT quality AS q, avg(toxic) AS p FROM labels GROUP BY 1), l AS (SELECT q, ln(p / (1 - p)) AS z FROM t) SELECT round((SELECT z FROM l WHERE q = 0), 6) AS b0, round((SELECT z FROM l WHERE q = 1) - (SELECT z FROM l WHERE q = 0), 6) AS b1")
+def glm_fit_binomial(spark, sf):
+    b = models.fit_glm(scan(spark, sf, "labels"), [F.col("quality").cast("double")], F.col("toxic").cast("double"), "binomial")
+    return rounded(spark.createDataFrame([tuple(map(float, b))], "b0 double, b1 double"), 6, "b0", "b1")
+
+
+@query()
+def nb_fit_theta(spark, sf):
+    d = scan(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(float(models.fit_nb_theta(d, F.pow(F.col("n"), 2).cast("double"))),)], "theta double")
+
+
+@query()
+def cox_fit(spark, sf):
+    u = survival_units(spark, sf).where("valid")
+    b = models.fit_cox(u, F.lit(-1.0), F.col("time"), F.col("outcome") == "error", (F.col("unit") % 2).cast("double"), DAYS)
+    return spark.createDataFrame([(float(b),)], "beta double")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
+    """All exact blocks of a two-owner cohort as one vector of coordinates."""
+    return capsule_vector(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
