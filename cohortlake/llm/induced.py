@@ -188,8 +188,8 @@ def sort_suffixes(text: np.ndarray, depth: int, queue_tuples: int = 1 << 26) ->
     n, characters = len(text), int(text.max()) + 1
     padded = np.r_[text, np.zeros(depth + 8, np.uint8)]
     step = np.r_[np.diff(text.astype(np.int16)), 1]
-    turns = np.flatnonzero(step)
-    is_s = step[turns[np.searchsorted(turns, np.arange(n))]] > 0
+    turns = np.flatnonzero(step).astype(np.int32)
+    is_s = step[turns[np.cumsum(step != 0, dtype=np.int32) - (step != 0)]] > 0
     stars = np.flatnonzero(is_s & np.r_[False, ~is_s[:-1]])
     if not len(stars):
         return

@@ -34,6 +34,9 @@ from .induced import repeats
 #: Distinct surroundings of one gram from which its stretches are dealt by a longer string, so that a common phrase spreads over shards.
 HOT = 1024
 
+#: Bits of a gram's hash that travel; within a shard they tell grams apart, and two grams taken for one only cost time.
+GRAM_BITS = (1 << 40) - 1
+
 
 def _pack(columns: list[np.ndarray]) -> bytes:
     """Equally long int64 columns, as differences, compressed."""
@@ -98,7 +101,8 @@ def _scan(length: int, gram: int, shards: int):
         again = np.r_[False, (h[1:] == h[:-1]) & (s[1:] == s[:-1])]
         marked = _merged(u[again], lo[again], hi[again])
         rows = [(b, True, blob) for b, blob in _by_bucket(marked, marked[0] % shards)]
-        rows += [(b, False, blob) for b, blob in _by_bucket([c[~again] for c in (h, s, has, d, u, lo, hi, p)], h[~again].view(np.uint64) % np.uint64(shards))]
+        first = [c[~again] for c in (h & GRAM_BITS, s, has, d, u, lo, hi, p)]
+        rows += [(b, False, blob) for b, blob in _by_bucket(first, h[~again].view(np.uint64) % np.uint64(shards))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["shard", "marked", "blob"])
 
     return run
@@ -149,36 +153,59 @@ def _lengths(columns: list[np.ndarray], buckets: int, length: int) -> np.ndarray
     return np.bincount(bucket, columns[2] - columns[1] + length)[np.unique(bucket)]
 
 
+def _dealt(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
+    """Rows by bucket of their row number: ``bucket, blob``, each blob a compressed Arrow stream of the rows of one part."""
+
+    def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        bucket = part.column(part.schema.get_field_index("__uid")).to_numpy() % buckets
+        order = np.argsort(bucket, kind="stable")
+        part, bucket = part.take(pa.array(order)), bucket[order]
+        heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = []
+        for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as writer:
+                writer.write_batch(part.slice(a, z - a))
+            blobs.append(zstandard.compress(sink.getvalue(), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    return df.mapInArrow(by_text(text_col, run), "bucket int, blob binary")
+
+
+def _rows(t: pa.Table) -> list[pa.Table]:
+    """The rows of the blobs of :func:`_dealt`, part by part."""
+    return [pa.ipc.open_stream(zstandard.decompress(b.as_buffer())).read_all() for b in t["blob"]]
+
+
 def _stretches(length: int, gram: int, shards: int):
     """Cogroup of texts and stretches of one bucket: the stretches' bytes, by shard of their gram (or of a longer string, if it is hot)."""
     digest = xxhash.xxh3_64_intdigest
+    side = (length - gram) // 2
 
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in range(6)]
         if texts.num_rows and wanted.num_rows:
-            u, lo, hi, p, h, hot = _gather(wanted["blob"].to_pylist(), 6)
-            at = {k: i for i, k in enumerate(texts["uid"].to_pylist())}
-            side = (length - gram) // 2
-            last, data = None, b""
-            for row in np.lexsort((lo, u)).tolist():
-                if u[row] != last:
-                    last = u[row]
-                    i = at[int(last)]
-                    data, doc = (texts["_text"][i].as_py() or "").encode(), texts["_key"][i].as_py()
-                a, z, q = int(lo[row]), int(hi[row]), int(p[row])
-                parts = [(a, z, int(h[row]))]
-                if hot[row]:  # each window has `side` bytes on one side of the gram at least
-                    split = q - side
-                    parts = []
-                    if a <= split:
-                        parts.append((a, min(z, split), digest(data[split : q + gram], 2)))
-                    if z > split:
-                        parts.append((max(a, split + 1), z, digest(data[q : q + gram + side], 3)))
-                for a, z, key in parts:
-                    for column, v in zip(out, (int(key) % shards, int(last), doc, a, z - a + 1, data[a : z + length]), strict=True):
-                        column.append(v)
+            columns = _gather(wanted["blob"].to_pylist(), 6)
+            order = np.lexsort((columns[1], columns[0]))
+            u, lo, hi, p, h, hot = (c[order] for c in columns)
+            for part in _rows(texts):
+                for uid, doc, text in zip(part["__uid"].to_pylist(), part["_key"].to_pylist(), part["__text"], strict=True):
+                    first, last = np.searchsorted(u, [uid, uid + 1])
+                    if first == last:
+                        continue
+                    data = text.as_buffer().to_pybytes()
+                    for a, z, q, key, many in zip(*(c[first:last].tolist() for c in (lo, hi, p, h, hot)), strict=True):
+                        parts = [(a, z, key)]
+                        if many:  # each window has `side` bytes on one side of the gram at least
+                            split = q - side
+                            parts = [(a, min(z, split), digest(data[split : q + gram], 2))] if a <= split else []
+                            if z > split:
+                                parts.append((max(a, split + 1), z, digest(data[q : q + gram + side], 3)))
+                        for a_, z_, k in parts:
+                            for column, v in zip(out, (k % shards, uid, doc, a_, z_ - a_ + 1, data[a_ : z_ + length]), strict=True):
+                                column.append(v)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["shard", "uid", "doc", "lo", "n", "data"])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["shard", "__uid", "doc", "lo", "n", "data"])
 
     return run
 
@@ -196,7 +223,7 @@ def _sorted_shard(length: int, buckets: int):
         used[255] = False
         codes = np.cumsum(used).astype(np.uint8) * used
         text = codes[text]
-        lo, n, uid = (t[c].to_numpy().astype(np.int64) for c in ("lo", "n", "uid"))
+        lo, n, uid = (t[c].to_numpy().astype(np.int64) for c in ("lo", "n", "__uid"))
         doc, has = t["doc"].fill_null(0).to_numpy().astype(np.int64), t["doc"].is_valid().to_numpy().astype(np.int64)
         first_of = np.empty(len(uid), np.int64)
         first_of[np.lexsort((lo, uid, doc, has))] = np.arange(len(uid))  # stretches in the order of their places
@@ -232,37 +259,41 @@ def whole_characters(data: memoryview, a: int, z: int) -> tuple[int, int]:
 def _cut_out(length: int, names: list[str], whole: bool):
     """Cogroup of rows and repeated ranges of one bucket: spans and what is left of each text."""
 
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(rows: pa.Table, ranges: pa.Table) -> pa.Table:
         u, lo, hi = _merged(*_gather(ranges["blob"].to_pylist(), 3))
         hi = hi + length
         new = np.r_[True, (u[1:] != u[:-1]) | (lo[1:] > hi[:-1])] if len(u) else np.empty(0, bool)  # touching spans are one run
         heads = np.flatnonzero(new)
         ends = hi[np.r_[heads[1:], len(u)] - 1] if len(u) else hi
-        by_row: dict[int, list[tuple[int, int]]] = {}
-        for k, a, z in zip(u[heads].tolist(), lo[heads].tolist(), ends.tolist(), strict=True):
-            by_row.setdefault(k, []).append((a, z))
-        spans, kept = [], []
-        for k, text in zip(rows["uid"].to_pylist(), rows["_text"], strict=True):
-            data, own = memoryview(text.as_buffer() or b""), by_row.get(k, [])
-            if whole:
-                own = [whole_characters(data, a, z) for a, z in own]
-            edges = [0, *(x for s in own for x in s), len(data)]
-            kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
-            spans.append([{"start": a, "end": z} for a, z in own])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.Table.from_arrays([*(rows[c] for c in names), pa.array(spans, kind), pa.array(kept, pa.binary())], [*names, "spans", "kept"])
+        u, lo = u[heads], lo[heads]
+        done = []
+        for part in _rows(rows):
+            spans, kept = [], []
+            for uid, text in zip(part["__uid"].to_pylist(), part["__text"], strict=True):
+                first, last = np.searchsorted(u, [uid, uid + 1])
+                data, own = memoryview(text.as_buffer() or b""), list(zip(lo[first:last].tolist(), ends[first:last].tolist(), strict=True))
+                if whole:
+                    own = [whole_characters(data, a, z) for a, z in own]
+                edges = [0, *(x for s in own for x in s), len(data)]
+                kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+                spans.append([{"start": a, "end": z} for a, z in own])
+            done.append(pa.Table.from_arrays([*(part[c] for c in names), pa.array(spans, kind), pa.array(kept, pa.binary())], [*names, "spans", "kept"]))
+        return pa.concat_tables(done)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 50, shard_bytes: int = 16 << 20, sort_bytes: int = 4 << 20, key: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_bytes: int = 8 << 20, sort_bytes: int = 3 << 20, key: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``spans`` (byte ranges that repeat earlier bytes) and ``kept`` (the other bytes).
 
     With ``whole``, spans shrink to whole characters, so that the rest is text.
     Judged on the input: overlapping strings all count, whatever else goes.
     A null text is empty; texts shorter than ``length`` keep all bytes. Rows
     with null keys come before all others; rows with one key are ordered by
-    their place in the input. All other columns stay as they are. Texts must be
+    their place in the input. All other columns stay as they are (``spans`` and
+    ``kept`` of the input are replaced). Texts must be
     read in the same order each time (as files are); write other inputs first.
 
     Shards, buckets and sorting jobs are sized by bytes, so each fits a task at
@@ -270,27 +301,28 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 50, shard_byt
     exchange; a gram with many different surroundings is dealt over shards by a
     longer string. The marks are checkpointed; texts are exchanged twice.
     """
-    source = docs.withColumn("uid", F.monotonically_increasing_id())
-    narrow = source.select(F.col(key).cast("long").alias("_key"), "uid", F.col(text_col).cast("string").alias("_text"))
+    source = docs.withColumn("__uid", F.monotonically_increasing_id())
+    narrow = source.select(F.col(key).cast("long").alias("_key"), "__uid", F.col(text_col).cast("string").alias("__text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
-    occurrences = narrow.mapInArrow(by_text("_text", _scan(length, gram, shards)), "shard int, marked boolean, blob binary")
+    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards)), "shard int, marked boolean, blob binary")
     dealt = occurrences.repartition("shard").sortWithinPartitions("shard")
     matched = cut(dealt.mapInArrow(_match(shards, length), "bucket int, marked boolean, blob binary, n_bytes long"))
 
     todo = matched.where("not marked").select("bucket", "blob")
     to_sort = matched.agg(F.sum("n_bytes")).first()[0] or 0
     jobs = max(1, -(-to_sort // sort_bytes))
-    bucket = F.pmod(F.col("uid"), F.lit(shards)).cast("int").alias("bucket")
     marks = matched.where("marked").select("bucket", "blob")
     if to_sort:
-        texts = narrow.select(bucket, "uid", "_key", "_text")
-        stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, uid long, doc long, lo long, n long, data binary")
+        texts = _dealt(narrow, "__text", shards)
+        stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, __uid long, doc long, lo long, n long, data binary")
         marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards), "bucket int, blob binary"))
-    rows = source.select(*docs.columns, bucket, "uid", F.col(text_col).cast("string").cast("binary").alias("_text"))
-    out = schema(docs, *docs.columns, spans="array<struct<start:bigint,end:bigint>>", kept="binary")
-    return rows.groupBy("bucket").cogroup(cut(marks).groupBy("bucket")).applyInArrow(_cut_out(length, docs.columns, whole), out)
+    names = [c for c in docs.columns if c not in ("spans", "kept")]
+    rows = source.select(*names, "__uid", F.col(text_col).cast("string").cast("binary").alias("__text"))
+    out = schema(docs, *names, spans="array<struct<start:bigint,end:bigint>>", kept="binary")
+    repeated = cut(marks)
+    return _dealt(rows, "__text", shards).groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut_out(length, names, whole), out)
 
 
 def digest(removed: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
