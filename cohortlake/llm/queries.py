@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ffd, forest, licenses, onebit, quotes, rendezvous, simhash, suffix, toxicity
+from . import bpe, ffd, forest, licenses, onebit, quotes, rendezvous, simhash, suffix, suffix_sql, toxicity
 from ._common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_forest": forest.ORACLE,
+        "op3_suffix": suffix_sql.ORACLE,
+        "op4_rendezvous": rendezvous.oracle(),
         "op8_onebit": onebit.ORACLE,
         "op9_licenses": licenses.oracle(),
     }

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ._common import by_text, cut, schema
 
+ADDED = ("body", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth")
 _MARKS = re.compile(r"\s{0,3}((?:>\s?)+)")
 _INTRODUCTION = re.compile(r"^(on .{3,200} wrote|.{1,80} (?:wrote|said|writes)|-+ ?original message ?-+)\s*:?\s*$", re.IGNORECASE)
 
@@ -64,12 +65,12 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text_co
     Ordering a conversation by ``root_turn, turn`` gives every message after
     the one it answers. Ties between originals go to the later message.
 
-    Null texts are empty. Rows of a null conversation or turn are kept without
+    Input columns of the added names are replaced. Null texts are empty. Rows of a null conversation or turn are kept without
     links. Rows that repeat a turn count as one message when linking, and each
     gets the links. Lines are pre-aggregated to their first message, so a line
     that a third of all messages share is one row on that side of the join.
     """
-    extra = [c for c in messages.columns if c not in (conv, turn, text_col)]
+    extra = [c for c in messages.columns if c not in (conv, turn, text_col, *ADDED)]
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lines = [passages(t) for t in texts]

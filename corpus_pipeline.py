@@ -20,10 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that of smallest doc_id (null last), the first of equal ones."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = simhash.near_duplicates(rows, carry=("_row",))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row")
-    return rows.join(found.groupBy("component").agg(first).select("_row"), "_row", "left_semi").select(docs.columns)
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    found = simhash.near_duplicates(rows, carry=("__row",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).getField("__row").alias("__row")
+    return rows.join(found.groupBy("component").agg(first).select("__row"), "__row", "left_semi").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
