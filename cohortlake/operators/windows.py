@@ -71,10 +71,12 @@ def risk_sums(df: DataFrame, entry: Column, stop: Column, event: Column, x: Colu
     Ticks are few and public: each row is exploded only to the ticks at which
     it is at risk, then summed by tick, which combines before the exchange.
     """
-    ticks = F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: (entry < g) & (stop >= g))
-    d = df.select(stop.alias("stop"), event.alias("event"), x.alias("x"), F.explode(ticks).alias("tick"))
+    ticks = F.array_compact(F.array(*[F.when((entry < g) & (stop >= g), F.lit(float(g))) for g in grid]))
+    final = F.array_max(F.array(*[F.when(stop >= g, F.lit(float(g))) for g in grid]))
+    rows = df.select(final.alias("final"), event.alias("event"), x.alias("x"), ticks.alias("ticks"))
+    d = rows.select("final", "event", "x", F.explode("ticks").alias("tick"))
     w = F.exp(F.lit(float(beta)) * F.col("x"))
-    last = F.col("tick") == F.element_at(F.array_sort(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda g: g <= F.col("stop"))), -1)
+    last = F.col("tick") == F.col("final")
     dies = F.col("event") & last
     return d.groupBy("tick").agg(F.count(F.lit(1)).alias("at_risk"), F.count_if(dies).alias("events"), F.sum(F.when(dies, F.col("x")).otherwise(0.0)).alias("sum_x"), F.sum(w).alias("s0"), F.sum(w * F.col("x")).alias("s1"), F.sum(w * F.col("x") * F.col("x")).alias("s2"))
 
