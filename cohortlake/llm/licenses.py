@@ -56,14 +56,13 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _base(text: Column) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base_labels of a text."""
-    words = F.split(_lower(text), SEPARATOR)
-    lead = (F.get(words, F.lit(0)) == "").cast("int")  # before a leading separator stands an empty string, likewise at the end
-    tail = ((F.element_at(words, -1) == "") & (F.size(words) > 1)).cast("int")
-    hint = F.array_contains(words, "license") | F.array_contains(words, "cc")
-
-    def starts(i: Column) -> Column:
+def _base(text: Column) -> Column:
+    """A struct of n_words and the hits (word number and label) of the base phrases.
+
+    The words are bound as a lambda's variable, so the text is split once.
+    """
+
+    def label_at(words: Column, i: Column) -> Column:
         label = F.lit(None).cast("string")
         for phrase, name in PHRASES.items():
             first, *rest = phrase.split()
@@ -73,8 +72,14 @@ def _base(text: Column) -> dict[str, Column]:
             label = F.when(test, F.lit(name)).otherwise(label)
         return label
 
-    hits = F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.struct((i - lead).cast("long").alias("at"), starts(i).alias("label"))), lambda h: h.label.isNotNull())
-    return {"n_words": (F.size(words) - lead - tail).cast("long"), "_hits": F.when(hint, hits)}
+    def found(words: Column) -> Column:
+        lead = (F.get(words, F.lit(0)) == "").cast("int")  # before a leading separator stands an empty string, likewise at the end
+        tail = ((F.element_at(words, -1) == "") & (F.size(words) > 1)).cast("int")
+        hint = F.array_contains(words, "license") | F.array_contains(words, "cc")
+        hits = F.filter(F.transform(words, lambda _, i: F.struct((i - lead).cast("long").alias("at"), label_at(words, i).alias("label"))), lambda h: h.label.isNotNull())
+        return F.struct((F.size(words) - lead - tail).cast("long").alias("n_words"), F.when(hint, hits).alias("hits"))
+
+    return F.get(F.transform(F.array(F.split(_lower(text), SEPARATOR)), found), F.lit(0))
 
 
 def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -112,15 +117,15 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
     overlap = F.size(F.array_intersect("block", "template"))
     found = candidates.where(overlap >= F.col("need")).groupBy("doc_id", "_text").agg(F.collect_set("label").alias("_labels"), F.max(overlap / F.col("size")).alias("_score"))
 
-    base = docs.select("doc_id", key, *[c.alias(n) for n, c in _base(F.col("text")).items()])
+    base = docs.select("doc_id", key, _base(F.col("text")).alias("_b"))
     base = base.select(
         "doc_id",
         "_text",
-        "n_words",
-        F.coalesce(F.size("_hits"), F.lit(0)).cast("long").alias("n_base"),
-        F.array_min("_hits.at").alias("first_word"),
-        F.array_max("_hits.at").alias("last_word"),
-        F.coalesce(F.array_sort(F.array_distinct("_hits.label")), F.array().cast("array<string>")).alias("_base"),
+        "_b.n_words",
+        F.coalesce(F.size("_b.hits"), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min("_b.hits.at").alias("first_word"),
+        F.array_max("_b.hits.at").alias("last_word"),
+        F.coalesce(F.array_sort(F.array_distinct("_b.hits.label")), F.array().cast("array<string>")).alias("_base"),
     ).withColumn("n_base", F.greatest("n_base", F.lit(0).cast("long")))
     a, b = base.alias("a"), found.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._text") == F.col("b._text")), "left")
