@@ -8,6 +8,7 @@ never learns from a fit on the same document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -148,29 +149,43 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int =
     share = min(1.0, sample / max(1, total))
     given = given.where(F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
 
-    def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted({x for w in words(t) for x in traits(w)}) for t in texts], pa.list_(pa.string()))], [key, "toxic", "words"])
+    def split(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))], [key, "toxic", "words"])
 
     picked = docs.select(key, F.col("text").alias("_text")).join(F.broadcast(given), key).select(key, "toxic", "_text").dropDuplicates([key])
-    seen = cut(picked.mapInArrow(by_text("_text", run), schema(picked, key, "toxic", words="array<string>")))
-    n1, n0 = (seen.where(F.col("toxic") == c).count() for c in (1, 0))
-    in_toxic, in_clean = (F.count(F.when(F.col("toxic") == c, 1)) for c in (1, 0))
-    counts = seen.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(in_toxic.alias("a"), in_clean.alias("b")).where(F.col("a") + F.col("b") >= fewest)
+    seen = cut(picked.mapInArrow(by_text("_text", split), schema(picked, key, "toxic", words="array<string>")))
+    n1, n0 = seen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+
+    def count(batches):
+        for b in batches:
+            held = Counter(), Counter()
+            for toxic, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                held[toxic].update({t for w in own for t in traits(w)})
+            both = list(held[0].keys() | held[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([held[c][t] for t in both], pa.int64()) for c in (1, 0))], ["trait", "a", "b"])
+
+    counts = seen.mapInArrow(count, "trait string, a long, b long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= fewest)
     held, share = F.col("a") + F.col("b"), n1 / max(1, n1 + n0)
     excess = F.col("a") - held * share
     chi = excess * excess / (held * share) / (1 - held / F.lit(n1 + n0) + 1e-9)
-    chosen = [r["word"] for r in counts.where(excess > 0).orderBy(chi.desc(), "word").limit(features).collect()]
-    vocabulary = {w: i for i, w in enumerate(chosen)}
-    columns = spark.createDataFrame([(w, i) for w, i in vocabulary.items()] or [("", -1)], "word string, col int")
-    kinds = [(F.arrays_overlap("words", F.array(*map(F.lit, k))) & (F.col("toxic") == 1)).cast("int").alias(n) for n, k in KINDS.items()]
-    sparse = seen.select(key, "toxic", *kinds, F.explode_outer("words").alias("word")).join(F.broadcast(columns), "word", "left").groupBy(key, "toxic", *KINDS).agg(F.sort_array(F.collect_list("col")).alias("cols")).orderBy(F.xxhash64(key), key)
-    got = sparse.select("cols", *CHAIN).toArrow()
+    chosen = [r["trait"] for r in counts.where(excess > 0).orderBy(chi.desc(), "trait").limit(features).collect()]
+    vocabulary = {t: i for i, t in enumerate(chosen)}
+
+    def encode(batches):
+        for b in batches:
+            cols, kinds = [], []
+            for toxic, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                cols.append(sorted({vocabulary[t] for w in own for t in traits(w) if t in vocabulary}))
+                kinds.append([int(toxic and not set(k).isdisjoint(own)) for k in KINDS.values()] + [toxic])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int32()))], [key, "cols", "kinds"])
+
+    got = seen.mapInArrow(encode, schema(seen, key, cols="array<int>", kinds="array<int>")).orderBy(F.xxhash64(key), key).toArrow()
     if not got.num_rows:
         return ChainModel({}, CHAIN, [Logistic(np.zeros(0), 0.0, np.zeros(i)) for i in range(len(CHAIN))], 1.0)
     lists = got["cols"].to_pylist()
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     cols = np.array([c for x in lists for c in x], np.int64)
-    return fit_chain(rows, cols, np.column_stack([got[c].to_numpy() for c in CHAIN]), vocabulary, CHAIN)
+    return fit_chain(rows, cols, np.array(got["kinds"].to_pylist()), vocabulary, CHAIN)
 
 
 def classify(docs: DataFrame, model: ChainModel, key: str = "doc_id", text_col: str = "text") -> DataFrame:
