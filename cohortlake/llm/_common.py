@@ -48,14 +48,14 @@ def slices(batch: pa.RecordBatch, sizes: list[int], most: int = 8 << 20) -> Iter
         yield batch.slice(start)
 
 
-def by_text(text_col: str, fn: Callable[[list, pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A mapInArrow function that calls ``fn(texts, part)`` on parts of bounded bytes; a null text is empty."""
+def by_text(text_col: str, fn: Callable[[list, pa.RecordBatch], Iterator[pa.RecordBatch]], most: int = 8 << 20):
+    """A mapInArrow function that calls ``fn(texts, part)`` on parts of about ``most`` bytes; a null text is empty."""
 
     def run(batches):
         for batch in batches:
             i = batch.schema.get_field_index(text_col)
             lengths = [n or 0 for n in pa.compute.binary_length(batch.column(i)).to_pylist()]
-            for part in slices(batch, lengths):
+            for part in slices(batch, lengths, most):
                 yield from fn([t or "" for t in part.column(i).to_pylist()], part)
 
     return run

@@ -8,6 +8,7 @@ tree over the bins' free room finds in logarithmic time.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,7 +54,12 @@ def first_fit_decreasing(sizes: list[int], room: int) -> list[int]:
 
 
 class _Chunks(dict):
-    """Ids of chunks between spaces; at most ``most`` chunks are kept."""
+    """Ids of chunks between spaces; at most ``most`` chunks are kept.
+
+    New words of letters only are encoded many at a time, joined by spaces, and
+    their ids are told apart by the tokens that end a word. Other chunks, and
+    groups in which a letter's lower case is no letter, are encoded one by one.
+    """
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
@@ -61,17 +67,55 @@ class _Chunks(dict):
         super().__init__({"": b""})
         self.most, self.tokenizer = most, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self) + len(chunks) > self.most:
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._encode([m])[0] for m in ",."}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str], group: int = 512) -> None:
+        groups = [words[i : i + group] for i in range(0, len(words), group)]
+        for own, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(stops) != len(own):
+                self.update(zip(own, self._encode(own), strict=True))
+                continue
+            at = [0, *stops.tolist()]
+            for word, a, z in zip(own, at, at[1:], strict=False):
+                self[word] = ids[a:z]
+
+    def learn(self, new: set[str]) -> None:
+        """Encode these chunks."""
+        if len(self) + len(new) > self.most:
             self.clear()
             self[""] = b""
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(e.ids, "<u4").tobytes()
+        marked = [c for c in new if c[-1] in self.marks and c[:-1].isalpha()]
+        words = {c for c in new if c.isalpha()} | {c[:-1] for c in marked if c[:-1] not in self}
+        self._words(list(words))
+        for c in marked:
+            self[c] = self[c[:-1]] + self.marks[c[-1]]
+        rest = [c for c in new if c not in self]
+        self.update(zip(rest, self._encode(rest), strict=True))
+
+    def encode(self, texts: list[str]) -> list[list[bytes]]:
+        """Ids of each text's chunks. Every chunk is looked up once; the new ones are encoded together."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(self.get, s)) for s in split]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {s[i] for s, g in zip(split, gaps, strict=True) for i in g}
+        if new:
+            self.learn(new)
+        for s, f, g in zip(split, found, gaps, strict=True):
+            for i in g:
+                f[i] = self[s[i]]
+        return found
 
 
 @lru_cache(maxsize=1)
 def _chunks(path: str, most: int) -> _Chunks:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return _Chunks(path, most)
 
 
@@ -85,14 +129,11 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_co
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known = _chunks(tokenizer_path, cache)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known.learn(list({c for s in split for c in s if c not in known}))
-        ids = [b"".join(map(known.__getitem__, s)) + end for s in split]
+        ids = [b"".join([*chunks, end]) for chunks in _chunks(tokenizer_path, cache).encode(texts)]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
     source = df.select(key, F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(by_text("_text", run), schema(source, key, ids="binary"))
+    return source.mapInArrow(by_text("_text", run, 512 << 10), schema(source, key, ids="binary"))
 
 
 def _pieces(key: str, room: int, keep_ids: bool):
