@@ -119,7 +119,7 @@ def _chunks(path: str, most: int) -> _Chunks:
     return _Chunks(path, most)
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_col: str = "text", key: str = "doc_id", cache: int = 600_000) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_col: str = "text", key: str = "doc_id", cache: int = 1_200_000) -> DataFrame:
     """``key`` and ``ids`` (binary, little-endian unsigned 32-bit, with ``end_id`` at the end).
 
     For tokenizers that cut at white space and drop it: ids of chunks between
