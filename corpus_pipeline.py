@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import ffd, simhash, suffix, toxicity
+from cohortlake.llm import ffd, similar, suffix, toxicity
 from cohortlake.llm.queries import WORDS
 
 
@@ -19,9 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of smallest doc_id (null last), the first of equal ones."""
+    """One document of each class of near-duplicates (5-word shingles, similarity 0.8): that of smallest doc_id (null last), the first of equal ones."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = simhash.near_duplicates(rows, carry=("__row",))
+    found = similar.similar_documents(rows, "__row", ("doc_id",))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).getField("__row").alias("__row")
     return rows.join(found.groupBy("component").agg(first).select("__row"), "__row", "left_semi").select(docs.columns)
 
