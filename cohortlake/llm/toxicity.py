@@ -34,6 +34,13 @@ def words(text: str) -> set[str]:
     return set(text.lower().translate(_BREAKS).split())
 
 
+def passages(text: str, most: int = 400) -> list[set[str]]:
+    """Distinct words of even parts of at most ``most`` words; one empty part if there are none."""
+    found = text.lower().translate(_BREAKS).split()
+    n = max(1, -(-len(found) // most))
+    return [set(found[i * len(found) // n : (i + 1) * len(found) // n]) for i in range(n)]
+
+
 def traits(word: str) -> tuple[str, ...]:
     """A word and its longer beginnings (marked by ``*``), so that inflected forms count alike."""
     return (word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k))
@@ -53,7 +60,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray, width: int, penalty: float = 3e-3, steps: int = 120) -> Logistic:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray, width: int, penalty: float = 1e-3, steps: int = 120) -> Logistic:
     """Logistic regression on binary word features and dense ``before``, by Adam on the whole batch, classes weighted to even halves."""
     n, k = len(y), before.shape[1]
     share = y.mean()
@@ -93,32 +100,53 @@ class ChainModel:
         return found
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Probabilities, one row for each text and one column for each category."""
-        hits = []
-        for t in texts:
-            found = words(t)
-            hits.append({c for w in found for c in (self.seen[w] if w in self.seen else self._columns(w))})
-        rows = np.repeat(np.arange(len(texts)), [len(h) for h in hits])
-        cols = np.array([c for h in hits for c in h], np.int64)
-        return self.predict(rows, cols, len(texts))
-
+        """Probabilities, one row for each text and one column for each category: those of its worst passage.
 
-def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, vocabulary: dict[str, int], names: tuple[str, ...], folds: int = 5, seed: int = 3) -> ChainModel:
-    """Fit the chain on sparse word features; ``labels`` has one 0/1 column for each name, in the chain's order."""
+        So words that are met by chance do not add up with a text's length.
+        """
+        hits, sizes = [], []
+        for t in texts:
+            parts = passages(t)
+            sizes.append(len(parts))
+            for found in parts:
+                hits.append({c for w in found for c in (self.seen[w] if w in self.seen else self._columns(w))})
+        rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+        cols = np.fromiter((c for h in hits for c in h), np.int64, len(rows))
+        return self.worst(self.predict(rows, cols, len(hits)), np.array(sizes, np.int64))
+
+    @staticmethod
+    def worst(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of runs of ``sizes`` rows, the first row of the highest probability in the last column."""
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((-p[:, -1], own))
+        return p[order[np.cumsum(sizes) - sizes]]
+
+
+def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, vocabulary: dict[str, int], names: tuple[str, ...], folds: int = 5, seed: int = 3, parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> ChainModel:
+    """Fit the chain on sparse word features; ``labels`` has one 0/1 column for each name, in the chain's order.
+
+    ``parts``: rows and columns of the texts' passages and the number of each
+    text's, on which held-out probabilities for the threshold are taken, as in
+    :meth:`ChainModel.score`; without them texts are one passage.
+    """
     n, width = len(labels), len(vocabulary)
+    part_rows, part_cols, sizes = parts or (rows, cols, np.ones(n, np.int64))
+    owner = np.repeat(np.arange(n), sizes)
     fold = np.random.default_rng(seed).permutation(n) % folds
-    before, models = np.zeros((n, 0)), []
+    before, models, judged = np.zeros((n, 0)), [], np.zeros((len(owner), 0))
     for c in range(len(names)):
-        y, held_out = labels[:, c].astype(float), np.zeros(n)
+        y, held_out, by_part = labels[:, c].astype(float), np.zeros(n), np.zeros(len(owner))
         for f in range(folds):
             train = fold != f
             inner = train[rows]
             renumber = np.cumsum(train) - 1
             part = fit_logistic(renumber[rows[inner]], cols[inner], before[train], y[train], width)
             held_out[~train] = sigmoid(part.logit(rows, cols, n, before))[~train]
+            out = ~train[owner]
+            by_part[out] = sigmoid(part.logit(part_rows, part_cols, len(owner), judged))[out]
         models.append(fit_logistic(rows, cols, before, y, width))
-        before = np.c_[before, held_out]
-    return ChainModel(vocabulary, names, models, best_threshold(before[:, -1], labels[:, -1]) if n else 0.5)
+        before, judged = np.c_[before, held_out], np.c_[judged, by_part]
+    return ChainModel(vocabulary, names, models, best_threshold(ChainModel.worst(judged, sizes)[:, -1], labels[:, -1]) if n else 0.5)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -134,11 +162,11 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 12_000, features: int = 256, fewest: int = 6) -> ChainModel:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 12_000, features: int = 4096, fewest: int = 6) -> ChainModel:
     """Fit the chain on at most ``sample`` labelled documents, chosen by a hash of their keys.
 
     Words and beginnings of words in at least ``fewest`` of them compete for
-    ``features`` columns by the chi-square of their excess in toxic documents. Only the sample's labels are
+    ``features`` columns by the chi-square of their excess in toxic or clean documents. Only the sample's labels are
     broadcast and only its sparse features (at most ``sample`` x ``features``
     short numbers) reach the driver. Labels that are null are left out, keys
     that repeat count once; without any labels every probability is 0.5.
@@ -150,10 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int =
     given = given.where(F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
 
     def split(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string()))], [key, "toxic", "words"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), pa.array([[sorted(x) for x in passages(t)] for t in texts], pa.list_(pa.list_(pa.string())))], [key, "toxic", "words", "parts"])
 
     picked = docs.select(key, F.col("text").alias("_text")).join(F.broadcast(given), key).select(key, "toxic", "_text").dropDuplicates([key])
-    seen = cut(picked.mapInArrow(by_text("_text", split), schema(picked, key, "toxic", words="array<string>")))
+    seen = cut(picked.mapInArrow(by_text("_text", split), schema(picked, key, "toxic", words="array<string>", parts="array<array<string>>")))
     n1, n0 = seen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
 
     def count(batches):
@@ -164,28 +192,32 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int =
             both = list(held[0].keys() | held[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([held[c][t] for t in both], pa.int64()) for c in (1, 0))], ["trait", "a", "b"])
 
-    counts = seen.mapInArrow(count, "trait string, a long, b long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= fewest)
+    counts = seen.drop("parts").mapInArrow(count, "trait string, a long, b long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= fewest)
     held, share = F.col("a") + F.col("b"), n1 / max(1, n1 + n0)
     excess = F.col("a") - held * share
-    chi = excess * excess / (held * share) / (1 - held / F.lit(n1 + n0) + 1e-9)
-    chosen = [r["trait"] for r in counts.where(excess > 0).orderBy(chi.desc(), "trait").limit(features).collect()]
+    chi = excess * excess / (held * max(share, 1e-9)) / (1 - held / F.lit(n1 + n0) + 1e-9)
+    chosen = [r["trait"] for r in counts.orderBy(chi.desc(), "trait").limit(features).collect()]
     vocabulary = {t: i for i, t in enumerate(chosen)}
 
     def encode(batches):
         for b in batches:
-            cols, kinds = [], []
-            for toxic, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                cols.append(sorted({vocabulary[t] for w in own for t in traits(w) if t in vocabulary}))
+            cols, kinds, parts = [], [], []
+            for toxic, own, split_up in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                held = {w: [vocabulary[t] for t in traits(w) if t in vocabulary] for w in own}
+                cols.append(sorted({c for x in held.values() for c in x}))
+                parts.append([sorted({c for w in x for c in held[w]}) for x in split_up])
                 kinds.append([int(toxic and not set(k).isdisjoint(own)) for k in KINDS.values()] + [toxic])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int32()))], [key, "cols", "kinds"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.list_(pa.int32())))], [key, "cols", "kinds", "parts"])
 
-    got = seen.mapInArrow(encode, schema(seen, key, cols="array<int>", kinds="array<int>")).orderBy(F.xxhash64(key), key).toArrow()
+    got = seen.mapInArrow(encode, schema(seen, key, cols="array<int>", kinds="array<int>", parts="array<array<int>>")).orderBy(F.xxhash64(key), key).toArrow()
     if not got.num_rows:
         return ChainModel({}, CHAIN, [Logistic(np.zeros(0), 0.0, np.zeros(i)) for i in range(len(CHAIN))], 1.0)
-    lists = got["cols"].to_pylist()
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.array([c for x in lists for c in x], np.int64)
-    return fit_chain(rows, cols, np.array(got["kinds"].to_pylist()), vocabulary, CHAIN)
+    def sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([c for x in lists for c in x], np.int64)
+
+    parts = got["parts"].to_pylist()
+    sizes = np.array([len(x) for x in parts], np.int64)
+    return fit_chain(*sparse(got["cols"].to_pylist()), np.array(got["kinds"].to_pylist()), vocabulary, CHAIN, parts=(*sparse([x for p in parts for x in p]), sizes))
 
 
 def classify(docs: DataFrame, model: ChainModel, key: str = "doc_id", text_col: str = "text") -> DataFrame:
