@@ -145,7 +145,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, trees: int = 10, leaf:
     null or non-finite components link with nothing. Copies (equal label and
     vector) are gathered first and counted, never compared or paired. The trees'
     splits are fitted on at most ``sample`` vectors; every vector is routed.
-    Leaves larger than ``block`` are compared block against block, so neither a
+    Lengths beyond the first 64 found have no trees: all their vectors are one leaf. Leaves larger than ``block`` are compared block against block, so neither a
     hot label nor a dense region has to fit a task. An empty table gives no rows.
     """
     ok = usable(vector) & F.col(label).isNotNull() & F.col(key).isNotNull()
@@ -169,10 +169,12 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, trees: int = 10, leaf:
                 part = b.filter(pa.array(lengths == n))
                 x = unit(matrix(part.column(2)))
                 at, to = [], []
-                for number, tree in enumerate(shared.value[int(n)]):
+                for number, tree in enumerate(shared.value.get(int(n), [])):
                     r, f = tree.leaves(x)
                     at.append(r)
                     to.append(f + (number << 20))
+                if not at:  # a length without a forest is one leaf
+                    at, to = [np.arange(len(x))], [np.zeros(len(x), np.int64)]
                 at, to = np.concatenate(at), np.concatenate(to)
                 order = np.lexsort((to, at))
                 at, to = at[order], to[order]
