@@ -24,9 +24,10 @@ def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(n, -1) if n else np.empty((0, 0), dtype)
 
 
-def hashed_sample(df: DataFrame, key: str, vector: str, most: int, total: int) -> np.ndarray:
-    """At most ``most`` vectors, chosen by a hash of the key, so the same for the same rows."""
-    share = min(1.0, most / max(1, total))
-    picked = df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else df
-    rows = picked.select(vector).limit(most).toArrow()
-    return matrix(rows[vector])
+def hashed_sample(df: DataFrame, key: str, vector: str, most: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of the ``most`` rows of least hash of the key, of ``total`` rows: the same for the same rows, whatever tasks read them."""
+    h = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40))
+    share = min(1.0, (most + 6 * most**0.5 + 64) / max(1, total))  # all but surely enough rows
+    picked = df.select(h.alias("_h"), F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v")).where(F.col("_h") < int(share * (1 << 40)))
+    rows = picked.orderBy("_h", "_k", "_v").limit(most).toArrow()
+    return rows["_k"].to_numpy(), matrix(rows["_v"])
