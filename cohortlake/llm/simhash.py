@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,10 @@ def _golay(h: int) -> list[np.ndarray]:
     ``x ^ error`` runs over the codewords at that distance of x. Rows hold the
     errors of one syndrome and are filled up with -1.
     """
-    words = np.arange(1 << 23, dtype=np.int64)
-    weight = np.bitwise_count(words)
-    syndrome = _syndrome(words)
     out = []
     for e in range(h + 1):
-        picked = words[weight <= 3] if e == 0 else words[weight == 3 + e]
-        s = syndrome[picked]
+        picked = np.concatenate([_weighing(23, w) for w in range(4)]) if e == 0 else _weighing(23, 3 + e)
+        s = _syndrome(picked)
         order = np.argsort(s, kind="stable")
         picked, s = picked[order], s[order]
         counts = np.bincount(s, minlength=2048)
@@ -50,6 +48,11 @@ def _golay(h: int) -> list[np.ndarray]:
     return out
 
 
+def _weighing(bits: int, weight: int) -> np.ndarray:
+    """The words of ``weight`` ones on ``bits`` bits."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(bits), weight)], np.int64)
+
+
 def _syndrome(words: np.ndarray) -> np.ndarray:
     r = words.copy()
     for bit in range(22, 10, -1):
@@ -60,9 +63,7 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=4)
 def _flips(h: int) -> list[np.ndarray]:
     """By weight 0..h, the words of that weight on 18 bits."""
-    words = np.arange(1 << 18, dtype=np.int64)
-    weight = np.bitwise_count(words)
-    return [words[weight == e] for e in range(h + 1)]
+    return [_weighing(18, e) for e in range(h + 1)]
 
 
 def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
