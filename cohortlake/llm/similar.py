@@ -54,7 +54,7 @@ def _hashed(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int) ->
         yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists([shingles(t, width) for t in texts])], [*keep, "hashes"])
 
     source = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(by_text("_text", run), schema(source, *keep, hashes="array<long>"))
+    return source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, hashes="array<long>"))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -87,7 +87,7 @@ def _rows(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int, frequ
         yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, (ids, sizes, fps)), _lists([_prefix(s, shared.value) for s in sets])], [*keep, "id", "n", "fp", "prefix"])
 
     source = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return cut(source.mapInArrow(by_text("_text", run), schema(source, *keep, id="long", n="long", fp="long", prefix="array<long>")))
+    return cut(source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, id="long", n="long", fp="long", prefix="array<long>")))
 
 
 def _groups(batches, make):

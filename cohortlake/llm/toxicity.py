@@ -1,16 +1,17 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other: each logistic model sees the
-words of the text and the probabilities that the models before it gave. For
-training, those probabilities are out-of-fold predictions, so a later model
-never learns from a fit on the same document.
+Categories, columns of the given labels, are predicted one after the other:
+each logistic model sees the words of the text and the probabilities that the
+models before it gave. For training, those probabilities are out-of-fold
+predictions, so a later model never learns from a fit on the same document.
+The last category decides.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,8 @@ from pyspark.sql import functions as F
 
 from ._common import by_text, cut, schema
 
-# Words that tell apart the kinds of abuse within documents labelled toxic.
-KINDS = {
-    "insult": ["clown", "idiot", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "pathetic", "scum", "trash", "worthless"],
-}
-CHAIN = (*KINDS, "toxic")
+#: Columns of the labels (0 or 1) in the chain's order; the last one decides.
+CHAIN = ("quality", "toxic")
 
 _BREAKS = {c: " " for c in range(0x80) if not chr(c).isalnum()} | {ord(c): " " for c in "‘’“”–—…«»"}
 
@@ -43,7 +40,7 @@ def passages(text: str, most: int = 400) -> list[set[str]]:
 
 def traits(word: str) -> tuple[str, ...]:
     """A word and its longer beginnings (marked by ``*``), so that inflected forms count alike."""
-    return (word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k))
+    return (word, *(f"{word[:k]}*" for k in range(4, 9) if len(word) > k))
 
 
 @dataclass
@@ -85,7 +82,6 @@ class ChainModel:
     names: tuple[str, ...]
     models: list[Logistic]
     threshold: float
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def predict(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 0))
@@ -93,23 +89,28 @@ class ChainModel:
             out = np.c_[out, sigmoid(model.logit(rows, cols, n, out))]
         return out
 
-    def _columns(self, word: str) -> tuple[int, ...]:
-        if len(self.seen) >= 300_000:
-            self.seen.clear()
-        found = self.seen[word] = tuple(self.vocabulary[t] for t in traits(word) if t in self.vocabulary)
-        return found
-
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str], seen: dict[str, tuple[int, ...]] | None = None, most: int = 100_000) -> np.ndarray:
         """Probabilities, one row for each text and one column for each category: those of its worst passage.
 
         So words that are met by chance do not add up with a text's length.
+        ``seen`` keeps the columns of up to ``most`` words from call to call.
         """
-        hits, sizes = [], []
+        seen, known, hits, sizes = {} if seen is None else seen, self.vocabulary, [], []
         for t in texts:
             parts = passages(t)
             sizes.append(len(parts))
             for found in parts:
-                hits.append({c for w in found for c in (self.seen[w] if w in self.seen else self._columns(w))})
+                own: set[int] = set()
+                for w in found:
+                    cols = seen.get(w)
+                    if cols is None:
+                        cols = tuple(known[x] for x in traits(w) if x in known)
+                        if len(w) <= 40:  # longer ones hardly come again
+                            if len(seen) >= most:
+                                seen.clear()
+                            seen[w] = cols
+                    own.update(cols)
+                hits.append(own)
         rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
         cols = np.fromiter((c for h in hits for c in h), np.int64, len(rows))
         return self.worst(self.predict(rows, cols, len(hits)), np.array(sizes, np.int64))
@@ -122,6 +123,24 @@ class ChainModel:
         return p[order[np.cumsum(sizes) - sizes]]
 
 
+def held_out(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray, width: int, fold: np.ndarray, parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of every text, and of each of its passages, from a model fitted on the other folds.
+
+    ``parts``: the passages' rows, columns, owners and earlier probabilities.
+    """
+    part_rows, part_cols, owner, judged = parts
+    whole, by_part = np.zeros(len(y)), np.zeros(len(owner))
+    for f in np.unique(fold):
+        train = fold != f
+        inner = train[rows]
+        renumber = np.cumsum(train) - 1
+        model = fit_logistic(renumber[rows[inner]], cols[inner], before[train], y[train], width)
+        whole[~train] = sigmoid(model.logit(rows, cols, len(y), before))[~train]
+        out = ~train[owner]
+        by_part[out] = sigmoid(model.logit(part_rows, part_cols, len(owner), judged))[out]
+    return whole, by_part
+
+
 def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, vocabulary: dict[str, int], names: tuple[str, ...], folds: int = 5, seed: int = 3, parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> ChainModel:
     """Fit the chain on sparse word features; ``labels`` has one 0/1 column for each name, in the chain's order.
 
@@ -135,17 +154,10 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, vocabulary
     fold = np.random.default_rng(seed).permutation(n) % folds
     before, models, judged = np.zeros((n, 0)), [], np.zeros((len(owner), 0))
     for c in range(len(names)):
-        y, held_out, by_part = labels[:, c].astype(float), np.zeros(n), np.zeros(len(owner))
-        for f in range(folds):
-            train = fold != f
-            inner = train[rows]
-            renumber = np.cumsum(train) - 1
-            part = fit_logistic(renumber[rows[inner]], cols[inner], before[train], y[train], width)
-            held_out[~train] = sigmoid(part.logit(rows, cols, n, before))[~train]
-            out = ~train[owner]
-            by_part[out] = sigmoid(part.logit(part_rows, part_cols, len(owner), judged))[out]
+        y = labels[:, c].astype(float)
+        whole, by_part = held_out(rows, cols, before, y, width, fold, (part_rows, part_cols, owner, judged))
         models.append(fit_logistic(rows, cols, before, y, width))
-        before, judged = np.c_[before, held_out], np.c_[judged, by_part]
+        before, judged = np.c_[before, whole], np.c_[judged, by_part]
     return ChainModel(vocabulary, names, models, best_threshold(ChainModel.worst(judged, sizes)[:, -1], labels[:, -1]) if n else 0.5)
 
 
@@ -162,37 +174,56 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][at] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 12_000, features: int = 4096, fewest: int = 6) -> ChainModel:
-    """Fit the chain on at most ``sample`` labelled documents, chosen by a hash of their keys.
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts' words are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 12_000, features: int = 4096, fewest: int = 4, categories: tuple[str, ...] = CHAIN) -> ChainModel:
+    """Fit the chain on at most ``sample`` labelled documents, those of least hash of their keys.
 
     Words and beginnings of words in at least ``fewest`` of them compete for
-    ``features`` columns by the chi-square of their excess in toxic or clean documents. Only the sample's labels are
-    broadcast and only its sparse features (at most ``sample`` x ``features``
-    short numbers) reach the driver. Labels that are null are left out, keys
-    that repeat count once; without any labels every probability is 0.5.
+    ``features`` columns by the chi-square of their excess in documents with or
+    without the last category. Only the sample's labels are broadcast and only
+    its sparse features (at most ``sample`` x ``features`` short numbers) reach
+    the driver. Rows with a null key or category are left out, keys that repeat
+    count once (the largest label, the first text in order); without any labels
+    nothing is marked.
     """
-    spark = docs.sparkSession
-    given = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    total = given.count()
-    share = min(1.0, sample / max(1, total))
-    given = given.where(F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
+    last = categories[-1]
+    usable = F.col(key).isNotNull()
+    for c in categories:
+        usable = usable & F.col(c).isin(0, 1)
+    given = labels.where(usable).groupBy(key).agg(*[F.max(c).cast("int").alias(f"_{i}") for i, c in enumerate(categories)])
+    total, h = given.count(), F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1 << 40))
+    share = min(1.0, (sample + 6 * sample**0.5) / max(1, total))
+    given = given.where(h < int(share * (1 << 40))).orderBy(h, key).limit(sample)
+    given = given.select(key, F.array(*[f"_{i}" for i in range(len(categories))]).alias("_labels"))
 
     def split(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([sorted(words(t)) for t in texts], pa.list_(pa.string())), pa.array([[sorted(x) for x in passages(t)] for t in texts], pa.list_(pa.list_(pa.string())))], [key, "toxic", "words", "parts"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([[sorted(x) for x in passages(t)] for t in texts], pa.list_(pa.list_(pa.string())))], [key, "labels", "parts"])
 
-    picked = docs.select(key, F.col("text").alias("_text")).join(F.broadcast(given), key).select(key, "toxic", "_text").dropDuplicates([key])
-    seen = cut(picked.mapInArrow(by_text("_text", split), schema(picked, key, "toxic", words="array<string>", parts="array<array<string>>")))
-    n1, n0 = seen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    picked = docs.select(key, F.col("text").cast("string").alias("_text")).join(F.broadcast(given), key).groupBy(key).agg(F.first("_labels").alias("_labels"), F.min("_text").alias("_text"))
+    seen = cut(picked.mapInArrow(by_text("_text", split, 1 << 20), schema(picked, key, labels="array<int>", parts="array<array<string>>")))
+    n1, n0 = seen.agg(F.count_if(F.get("labels", F.lit(len(categories) - 1)) == 1), F.count_if(F.get("labels", F.lit(len(categories) - 1)) == 0)).first()
 
     def count(batches):
-        for b in batches:
-            held = Counter(), Counter()
-            for toxic, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held[toxic].update({t for w in own for t in traits(w)})
+        def rows() -> pa.RecordBatch:
             both = list(held[0].keys() | held[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([held[c][t] for t in both], pa.int64()) for c in (1, 0))], ["trait", "a", "b"])
-
-    counts = seen.drop("parts").mapInArrow(count, "trait string, a long, b long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= fewest)
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([held[c][t] for t in both], pa.int64()) for c in (1, 0))], ["trait", "a", "b"])
+
+        held = Counter(), Counter()
+        for b in _few(batches):
+            for marks, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                held[marks[-1]].update({t for x in parts for w in x for t in traits(w)})
+            if len(held[0]) + len(held[1]) > 200_000:
+                yield rows()
+                held = Counter(), Counter()
+        yield rows()
+
+    counts = seen.mapInArrow(count, "trait string, a long, b long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= fewest)
     held, share = F.col("a") + F.col("b"), n1 / max(1, n1 + n0)
     excess = F.col("a") - held * share
     chi = excess * excess / (held * max(share, 1e-9)) / (1 - held / F.lit(n1 + n0) + 1e-9)
@@ -200,54 +231,63 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int =
     vocabulary = {t: i for i, t in enumerate(chosen)}
 
     def encode(batches):
-        for b in batches:
-            cols, kinds, parts = [], [], []
-            for toxic, own, split_up in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                held = {w: [vocabulary[t] for t in traits(w) if t in vocabulary] for w in own}
+        for b in _few(batches):
+            cols, parts = [], []
+            for split_up in b.column(2).to_pylist():
+                held = {w: [vocabulary[t] for t in traits(w) if t in vocabulary] for w in set().union(*split_up)}
                 cols.append(sorted({c for x in held.values() for c in x}))
                 parts.append([sorted({c for w in x for c in held[w]}) for x in split_up])
-                kinds.append([int(toxic and not set(k).isdisjoint(own)) for k in KINDS.values()] + [toxic])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.list_(pa.int32())))], [key, "cols", "kinds", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.list_(pa.int32())))], [key, "labels", "cols", "parts"])
 
-    got = seen.mapInArrow(encode, schema(seen, key, cols="array<int>", kinds="array<int>", parts="array<array<int>>")).orderBy(F.xxhash64(key), key).toArrow()
+    got = seen.mapInArrow(encode, schema(seen, key, "labels", cols="array<int>", parts="array<array<int>>")).orderBy(F.xxhash64(key), key).toArrow()
     if not got.num_rows:
-        return ChainModel({}, CHAIN, [Logistic(np.zeros(0), 0.0, np.zeros(i)) for i in range(len(CHAIN))], 1.0)
+        return ChainModel({}, categories, [Logistic(np.zeros(0), 0.0, np.zeros(i)) for i in range(len(categories))], 1.0)
+
     def sparse(lists: list) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([c for x in lists for c in x], np.int64)
 
     parts = got["parts"].to_pylist()
     sizes = np.array([len(x) for x in parts], np.int64)
-    return fit_chain(*sparse(got["cols"].to_pylist()), np.array(got["kinds"].to_pylist()), vocabulary, CHAIN, parts=(*sparse([x for p in parts for x in p]), sizes))
+    return fit_chain(*sparse(got["cols"].to_pylist()), np.array(got["labels"].to_pylist()), vocabulary, categories, parts=(*sparse([x for p in parts for x in p]), sizes))
+
+
+def _judge(model, text_col: str, rows):
+    """mapInArrow: ``rows(p, marked, part)`` of each part; columns of words are kept for the length of the task only."""
+
+    def run(batches):
+        seen: dict[str, tuple[int, ...]] = {}
+
+        def part_of(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            p = model.value.score(texts, seen)
+            yield rows(p, (p[:, -1] >= model.value.threshold) & np.array([bool(t) for t in texts], bool), part)
+
+        yield from by_text(text_col, part_of, 1 << 20)(batches)
+
+    return run
 
 
 def classify(docs: DataFrame, model: ChainModel, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key``, a probability ``p_<category>`` for each category, and ``is_toxic`` for every row.
 
-    Whole texts are read; null and empty texts have no words and are judged by
-    the models' constants alone, which mark nothing. Repeated rows and null
-    keys stay. The model (``features`` numbers for each category) is broadcast.
+    Whole texts are read, very long ones passage by passage; null and empty
+    texts have no words and are judged by the models' constants alone, which
+    mark nothing. Repeated rows and null keys stay; an empty table gives no
+    rows; other columns are not read. The model (``features`` numbers for each
+    category) is broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"p_{n}" for n in model.names]
 
-    def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        p = shared.value.score(texts)
-        bad = (p[:, -1] >= shared.value.threshold) & np.array([bool(t) for t in texts], bool)
-        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(bad)], [key, *names, "is_toxic"])
+    def rows(p: np.ndarray, bad: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(bad)], [key, *names, "is_toxic"])
 
     source = docs.select(key, F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(by_text("_text", run), schema(source, key, **dict.fromkeys(names, "double"), is_toxic="boolean"))
+    return source.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model), "_text", rows), schema(source, key, **dict.fromkeys(names, "double"), is_toxic="boolean"))
 
 
 def keep_clean(docs: DataFrame, model: ChainModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that the chain does not mark as toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        bad = (shared.value.score(texts)[:, -1] >= shared.value.threshold) & np.array([bool(t) for t in texts], bool)
-        yield part.filter(pa.array(~bad))
-
-    return docs.mapInArrow(by_text(docs.columns[at], run), schema(docs, *docs.columns))
+    """The rows of ``docs``, all columns as they are, that the chain does not mark as toxic; null and empty texts stay."""
 
+    def rows(p: np.ndarray, bad: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        return part.filter(pa.array(~bad))
 
+    return docs.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model), text_col, rows), schema(docs, *docs.columns))
