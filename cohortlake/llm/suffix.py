@@ -6,7 +6,9 @@ earlier (smaller doc_id, or the same document further left).
 1. Every window of ``length`` bytes is assigned to a gram chosen by content
    (:mod:`_windows`), so equal windows meet in the shard of their gram. Only
    hashes and positions travel. Occurrences with the same surrounding bytes
-   are copies: all but the first are repeated as a whole.
+   are copies: all but the first are repeated as a whole. Grams of common
+   phrases, found in a bounded sample, are chosen last, so that what stands
+   around such a phrase is dealt by other grams.
 2. What differs around a gram that occurs more than once is cut out of the
    texts: one stretch of bytes for each different surrounding.
 3. Each shard of stretches is sorted by external induced sorting
@@ -77,7 +79,16 @@ def _by_bucket(columns: list[np.ndarray], bucket: np.ndarray) -> Iterator[tuple[
         yield int(bucket[a]), _pack([c[order[a:z]] for c in columns])
 
 
-def _scan(length: int, gram: int, shards: int):
+def _common(narrow: DataFrame, gram: int, total: int, sample_bytes: int) -> np.ndarray:
+    """Grams in 0.5 % (and 8 at least) of a sample of about ``sample_bytes`` of texts' beginnings. They are only chosen last, which is right for any list."""
+    share = min(1.0, sample_bytes / max(1, total))
+    picked = narrow.where(F.pmod(F.xxhash64("__uid", F.lit("hot")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = picked.select(F.substring("__text", 1, 8192).alias("t")).limit(max(64, sample_bytes // 256)).toArrow()["t"]
+    texts = [t.encode() for t in rows.to_pylist() if t]
+    return _windows.common_grams(texts, gram, max(8, len(texts) // 200))
+
+
+def _scan(length: int, gram: int, shards: int, common):
     """Occurrences of one part's texts, as blobs by shard; those that repeat another one of the part are only marked."""
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -86,9 +97,10 @@ def _scan(length: int, gram: int, shards: int):
         ids = doc.fill_null(0).to_numpy().astype(np.int64)
         uid = part.column(1).to_numpy()
         found: list[list[np.ndarray]] = [[] for _ in range(8)]
+        hot = _windows.Hot(common.value) if len(common.value) else None
         for row, text in enumerate(texts):
             data = text.encode()
-            p, lo, hi = _windows.occurrences(data, length, gram)
+            p, lo, hi = _windows.occurrences(data, length, gram, hot)
             if len(p):
                 h, s = _windows.keys(data, p, lo, hi, length, gram)
                 for column, v in zip(found, (h.view(np.int64), s.view(np.int64), np.full(len(p), known[row]), np.full(len(p), ids[row]), np.full(len(p), uid[row]), lo, hi, p), strict=True):
@@ -210,7 +222,7 @@ def _stretches(length: int, gram: int, shards: int):
     return run
 
 
-def _sorted_shard(length: int, buckets: int):
+def _sorted_shard(length: int, buckets: int, queue_tuples: int):
     """applyInArrow over one shard of stretches: ranges of repeated windows, by bucket of their rows."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -228,14 +240,16 @@ def _sorted_shard(length: int, buckets: int):
         first_of = np.empty(len(uid), np.int64)
         first_of[np.lexsort((lo, uid, doc, has))] = np.arange(len(uid))  # stretches in the order of their places
         marked = []
-        for same in repeats(text, length):
+        for same, heads in repeats(text, length, queue_tuples):
+            number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(same))))
             owner = np.searchsorted(starts, same, side="right") - 1
             offset = same - starts[owner]
             inside = offset < n[owner]
-            owner, offset = owner[inside], offset[inside]
-            if len(owner) > 1:
-                place = first_of[owner] * (int(sizes.max()) + 1) + offset
-                marked.append(np.delete(np.column_stack([uid[owner], lo[owner] + offset]), np.argmin(place), axis=0))
+            number, owner, offset = number[inside], owner[inside], offset[inside]
+            order = np.lexsort((offset, first_of[owner], number))  # the first of each class stays
+            number, owner, offset = number[order], owner[order], offset[order]
+            again = np.flatnonzero(number[1:] == number[:-1]) + 1
+            marked.append(np.column_stack([uid[owner[again]], lo[owner[again]] + offset[again]]))
         rows = []
         if marked:
             u, at = np.concatenate(marked).T
@@ -285,7 +299,7 @@ def _cut_out(length: int, names: list[str], whole: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_bytes: int = 8 << 20, sort_bytes: int = 3 << 20, key: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_bytes: int = 8 << 20, sort_bytes: int = 8 << 20, queue_tuples: int = 1 << 18, sample_bytes: int = 4 << 20, key: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``spans`` (byte ranges that repeat earlier bytes) and ``kept`` (the other bytes).
 
     With ``whole``, spans shrink to whole characters, so that the rest is text.
@@ -296,17 +310,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     ``kept`` of the input are replaced). Texts must be
     read in the same order each time (as files are); write other inputs first.
 
-    Shards, buckets and sorting jobs are sized by bytes, so each fits a task at
-    any scale. Equal occurrences are reduced to one within each part before any
-    exchange; a gram with many different surroundings is dealt over shards by a
-    longer string. The marks are checkpointed; texts are exchanged twice.
+    Shards, buckets and sorting jobs are sized by bytes. A sorting job holds at
+    most ``queue_tuples`` tuples of a queue in memory, the rest on disk. Equal
+    occurrences are reduced to one within each part before any exchange; a gram
+    with many different surroundings is dealt over shards by a longer string.
+    The marks are checkpointed; texts are exchanged twice. Columns of the input
+    named ``__uid``, ``__text`` or ``_key`` come through as well.
     """
+    clash = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c in ("__uid", "__text", "_key")}
+    if clash:
+        renamed = docs.withColumnsRenamed(clash)
+        done = remove_repeats(renamed, length, gram, shard_bytes, sort_bytes, queue_tuples, sample_bytes, clash.get(key, key), clash.get(text_col, text_col), whole)
+        return done.withColumnsRenamed({v: k for k, v in clash.items()})
     source = docs.withColumn("__uid", F.monotonically_increasing_id())
     narrow = source.select(F.col(key).cast("long").alias("_key"), "__uid", F.col(text_col).cast("string").alias("__text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
-    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards)), "shard int, marked boolean, blob binary")
+    common = docs.sparkSession.sparkContext.broadcast(_common(narrow, gram, total, sample_bytes))  # at most 65,536 hashes
+    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards, common), 4 << 20), "shard int, marked boolean, blob binary")
     dealt = occurrences.repartition("shard").sortWithinPartitions("shard")
     matched = cut(dealt.mapInArrow(_match(shards, length), "bucket int, marked boolean, blob binary, n_bytes long"))
 
@@ -317,7 +339,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     if to_sort:
         texts = _dealt(narrow, "__text", shards)
         stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, __uid long, doc long, lo long, n long, data binary")
-        marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards), "bucket int, blob binary"))
+        marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards, queue_tuples), "bucket int, blob binary"))
     names = [c for c in docs.columns if c not in ("spans", "kept")]
     rows = source.select(*names, "__uid", F.col(text_col).cast("string").cast("binary").alias("__text"))
     out = schema(docs, *names, spans="array<struct<start:bigint,end:bigint>>", kept="binary")

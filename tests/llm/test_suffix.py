@@ -99,3 +99,65 @@ def test_equal_windows_choose_equal_grams():
         start = t.index(passage)
         chosen.append([int(p[np.searchsorted(hi, s)]) - start for s in range(start, start + len(passage) - 99)])
     assert chosen[0] == chosen[1]
+
+
+def test_shard_many_times_larger_than_the_queues(monkeypatch):
+    monkeypatch.setattr(induced, "CHUNK", 2000)
+    stored, held = [], []
+    store, push = induced.TupleStore._store, induced.TupleStore.push
+
+    def counted(self, zone):
+        stored.append(self.sizes[zone])
+        store(self, zone)
+
+    def watched(self, tuples):
+        push(self, tuples)
+        held.append(self.held)
+
+    monkeypatch.setattr(induced.TupleStore, "_store", counted)
+    monkeypatch.setattr(induced.TupleStore, "push", watched)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    parts = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 200))) for _ in range(120)]
+    parts += [p[rng.randint(0, 9) :] + p[:150] for p in parts[:40]]
+    raw = np.frombuffer(("\0".join(parts) + "\0").encode(), np.uint8)
+    codes = np.unique(raw, return_inverse=True)[1].astype(np.uint8)
+    found = []
+    for suffixes, heads in induced.repeats(codes, 100, 1000):
+        found += [frozenset(x.tolist()) for x in np.split(suffixes, heads[1:])]
+    want = {}
+    data = codes.tobytes() + b"\0" * 100
+    for i in range(len(codes) - 1):
+        want.setdefault(data[i : i + 100], []).append(i)
+    assert sorted(map(sorted, found)) == sorted(v for v in want.values() if len(v) > 1)
+    assert len(codes) > 80 * 1000 and max(held) <= 1000 and sum(stored) > len(codes)
+
+
+def test_common_grams_are_chosen_last():
+    rng = random.Random(12)
+    phrase = prose(rng, 30).encode()[:150]
+    texts = [prose(rng, 40).encode() + phrase + prose(rng, 40).encode() for _ in range(50)]
+    hot = _windows.Hot(_windows.common_grams(texts, 44, 20))
+    assert len(hot.hashes) == len(phrase) - 43
+    inside = 0
+    for t in texts:
+        start = t.index(phrase)
+        p, lo, hi = _windows.occurrences(t, 100, 44, hot)
+        assert lo[0] == 0 and hi[-1] == len(t) - 100 and (lo[1:] == hi[:-1] + 1).all()
+        for a, z, q in zip(lo.tolist(), hi.tolist(), p.tolist(), strict=True):
+            if start <= q <= start + len(phrase) - 44:
+                inside += 1
+                assert a >= start and z + 100 <= start + len(phrase)
+    assert inside >= 50
+
+
+def test_clashing_columns_and_spilling_queues(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 40) + passage[i : i + 140] + prose(rng, 20), "a", "b", "c") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __uid string, __text string, _key string")
+    removed = suffix.remove_repeats(df, queue_tuples=500, sample_bytes=2000)
+    assert removed.columns == ["doc_id", "text", "__uid", "__text", "_key", "spans", "kept"]
+    got = sorted((r.doc_id, tuple(r)[1:]) for r in suffix.digest(removed).collect())
+    assert got == sorted((r[0], w) for r, w in zip(rows, naive([r[1] for r in rows]), strict=True))
+    assert {(r["__uid"], r["__text"], r["_key"]) for r in removed.collect()} == {("a", "b", "c")}
