@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import noise, scalar
-from ..operators import align, bound, exact, families, models, windows
+from ..operators import align, bound, capsule, exact, families, models, windows
 from ..sources import tables
 from ..sources.tables import scan
 from . import release
@@ -392,7 +392,74 @@ VECTOR = [("admitted_count", SQL["admitted_count"]), ("numeric_moments", MOMENTS
 
 @query(" UNION ALL ".join(f"SELECT {i} AS at, * FROM ({sql})" for i, (_, sql) in enumerate(VECTOR)))
 def capsule_vector(spark, sf):
-    return families.vector([QUERIES[name](spark, sf) for name, _ in VECTOR])
+    customer = capsule.Owner("customer", scan(spark, sf, "customer"), CUSTOMER).numeric("c_acctbal", "c_acctbal", 2).category("segment", "c_mktsegment")
+    orders = capsule.Owner("orders", scan(spark, sf, "orders"), ORDERS).numeric("o_totalprice", "o_totalprice", 2)
+    own = F.col(customer.rows).isNotNull()
+    by_customer = [
+        (0, "admitted_count", [F.count(orders.rows)]),
+        (1, "numeric:o_totalprice", families.moments_terms(ORDERS, "o_totalprice", "o_totalprice")),
+        (2, "pair:c_acctbal,o_totalprice", families.pair_terms(BOTH, "c_acctbal", "o_totalprice", "c_acctbal", "o_totalprice")),
+        (3, "gaussian:o_totalprice", families.gaussian_terms(BOTH, "o_totalprice", ["c_acctbal"])),
+        (4, "gaussian_cross:o_totalprice", families.gaussian_cross_terms(BOTH, "o_totalprice", ["c_acctbal"])),
+        (5, "histogram:c_acctbal", families.histogram_terms(GRID, "c_acctbal", own)),
+        (6, "categorical:c_mktsegment", families.marginals_terms(CUSTOMER, "c_mktsegment", "segment")),
+    ]
+    lines = capsule.Owner("lines", scan(spark, sf, "lineitem"), LINES).category("pair", "l_returnflag", "l_linestatus").category("status", "l_linestatus")
+    order = capsule.Owner("order", scan(spark, sf, "orders"), ORDER).category("priority", "o_orderpriority")
+    by_order = [
+        (7, "categories:l_returnflag,l_linestatus", families.pairs_terms(LINES.levels["l_returnflag"], LINES.levels["l_linestatus"], "pair.l_returnflag", "pair.l_linestatus")),
+        (8, "categories_cross:o_orderpriority,l_linestatus", families.pairs_terms(ORDER.levels["o_orderpriority"], LINES.levels["l_linestatus"], "priority", "status", ORDER.scale)),
+    ]
+    joined = capsule.capsule([([customer, orders], by_customer), ([order, lines], by_order)])
+    return joined.unionByName(families.survival(survival_units(spark, sf), EVENTS, "outcome", "censored", DAYS).withColumn("at", F.lit(9)))
+
+
+MEASURES = {"quantity": (0.0, 50.0), "extendedprice": (0.0, 120000.0), "discount": (0.0, 1.0), "tax": (0.0, 1.0)}
+GROUPS = {"all": None, "A": "l_returnflag", "N": "l_returnflag", "R": "l_returnflag", "F": "l_linestatus", "O": "l_linestatus"}
+WIDE = [(f"{m}_{g}", m, g) for m in MEASURES for g in GROUPS]
+PARTS = Policy("l_partkey", 1 << 40, 1 << 20, {name: MEASURES[m] for name, m, _ in WIDE})
+
+
+def _wide_sql() -> str:
+    def value(m: str, g: str) -> str:
+        x = f"least({MEASURES[m][1]}, greatest({MEASURES[m][0]}, l_{m}))"
+        return x if GROUPS[g] is None else f"CASE WHEN {GROUPS[g]} = '{g}' THEN {x} END"
+
+    means = ", ".join(f"sum(({value(m, g)})::DECIMAL(28,4))::DOUBLE / nullif(count({value(m, g)}), 0) / {MEASURES[m][1]} AS {name}" for name, m, g in WIDE)
+    names, values = ", ".join(repr(n) for n, _, _ in WIDE), ", ".join(n for n, _, _ in WIDE)
+    cells = "[n, x, xx]", "[n, x, y, xx, yy, xy]"
+    return f"""WITH u AS (SELECT l_partkey AS unit, {means} FROM lineitem GROUP BY 1),
+l AS (SELECT unit, unnest(range(0, {len(WIDE)})) AS k, unnest([{names}]) AS name, unnest([{values}]) AS z FROM u),
+d AS (SELECT unnest(range(0, {len(WIDE)})) AS k, unnest([{names}]) AS name),
+m AS (SELECT k, count(z) AS n, sum({rint('z')}) AS x, sum({rint('z * z')}) AS xx FROM l GROUP BY k),
+q AS (SELECT a.k AS i, b.k AS j, count(*) AS n, sum({rint('a.z')}) AS x, sum({rint('b.z')}) AS y, sum({rint('a.z * a.z')}) AS xx, sum({rint('b.z * b.z')}) AS yy, sum({rint('a.z * b.z')}) AS xy FROM l a JOIN l b USING (unit) WHERE a.k < b.k AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT d.k AS "at", 'numeric:' || d.name AS block, {cells[0]} AS v FROM d LEFT JOIN m USING (k)
+  UNION ALL SELECT row_number() OVER (ORDER BY a.k, b.k) - 1 + {len(WIDE)}, 'pair:' || a.name || ',' || b.name, {cells[1]} FROM d a JOIN d b ON a.k < b.k LEFT JOIN q ON q.i = a.k AND q.j = b.k)
+SELECT "at"::INTEGER AS "at", block, unnest(range(1, len(v) + 1))::BIGINT AS coord, coalesce(unnest(v), 0)::BIGINT AS value FROM r"""
+
+
+@query(_wide_sql())
+def capsule_wide(spark, sf):
+    """Moments of 24 columns and of their 276 pairs, over parts."""
+    lines = scan(spark, sf, "lineitem")
+    rows = lines.select("l_partkey", *[(F.col(f"l_{m}") if GROUPS[g] is None else F.when(F.col(GROUPS[g]) == g, F.col(f"l_{m}"))).alias(name) for name, m, g in WIDE])
+    names = [name for name, _, _ in WIDE]
+    return families.all_moments(bound.bounded_numerics(rows, PARTS, {n: n for n in names}, digits=4), PARTS, names)
+
+
+BY_CATEGORY = cells("numeric_by_category:c_acctbal,c_mktsegment", "SELECT " + ", ".join(f"count(*) FILTER (WHERE g = '{s}') AS n{i}, sum({rint('z')}) FILTER (WHERE g = '{s}') AS s{i}, sum({rint('z * z')}) FILTER (WHERE g = '{s}') AS q{i}" for i, s in enumerate(SEGMENTS)) + f" FROM (SELECT (b.v + 1000.0) / 11000.0 AS z, c.level AS g FROM ({BALANCE}) b JOIN ({one_level('c_mktsegment', 'c_custkey', 'customer')}) c USING (unit))", [f"{x}{i}" for i in range(5) for x in "nsq"])
+
+
+@query(BY_CATEGORY)
+def numeric_by_category(spark, sf):
+    c = scan(spark, sf, "customer")
+    units = bound.bounded_numeric(c, CUSTOMER, "c_acctbal", digits=2).join(bound.bounded_category(c, CUSTOMER, "c_mktsegment"), "unit")
+    return families.numeric_by_category(units, CUSTOMER, "c_acctbal", "c_mktsegment")
+
+
+@query(cells("numeric_cross_moment:c_acctbal,o_totalprice", f"SELECT count(*) AS n, sum({rint('a * b')}) AS xy FROM ({JOINED})", ["n", "xy"]))
+def numeric_cross_moment(spark, sf):
+    return families.cross_moment(both_units(spark, sf), BOTH, "c_acctbal", "o_totalprice")
 
 
 @query(f"SELECT d.coord, d.level, count(c_custkey) AS n FROM (SELECT unnest(range(1, 6))::BIGINT AS coord, unnest([{', '.join(repr(s) for s in SEGMENTS)}]) AS level) d LEFT JOIN (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) ON c_mktsegment = level GROUP BY 1, 2")

@@ -24,12 +24,15 @@ class Policy:
     levels: dict[str, tuple[str, ...]] = field(default_factory=dict)
     grid_bits: int = 16
     adjacency: str = "add_remove"
+    cohort: int | None = None  # the fixed number of units, if there is one
 
     def __post_init__(self):
         if not 8 <= self.grid_bits <= 18:
             raise ValueError("grid_bits must be from 8 to 18")
         if self.adjacency not in ("add_remove", "replace_one"):
             raise ValueError("adjacency must be add_remove or replace_one")
+        if self.adjacency == "replace_one" and self.cohort is not None and not 0 < self.cohort <= self.capacity:
+            raise ValueError("a fixed cohort must fit the capacity")
         for name, (lo, hi) in self.bounds.items():
             if not (isfinite(lo) and isfinite(hi) and hi > lo and isfinite((hi - lo) ** 2)):
                 raise ValueError(f"bounds of {name} must be finite and of positive width")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.operators import bound, families
+from cohortlake.operators import bound, capsule, families
 from cohortlake.plans.policy import Policy, Refused
 
 INF, NAN = float("inf"), float("nan")
@@ -107,3 +107,59 @@ def test_gaussian_cross_floors(spark):
     s, xs, ys = 256, [77, 230], [179, 51]
     want = [2 * s, 2 * s, sum(xs), sum(a * a // s for a in xs), sum(ys), sum(a * b // s for a, b in zip(xs, ys)), sum(b * b // s for b in ys)]
     assert values(families.gaussian_cross(df, policy, "y", ["x"])) == want
+
+
+def refused(df):
+    with pytest.raises(Exception, match="does not meet its policy"):
+        df.collect()
+
+
+@pytest.mark.parametrize("rows", [[(None, 1.0, "a", "b")], [(" ", 1.0, "a", "b")], [("a", 1.0, "a", "b")] * 3, [("a", 1.0, "a", "b"), ("b", 1.0, "a", "b"), ("c", 1.0, "a", "b")]])
+def test_every_family_refuses(spark, rows):
+    policy = Policy("u", 2, 2, {"x": (0, 2)}, {"g": ("a", "b"), "h": ("b",)}, grid_bits=8)
+    df = spark.createDataFrame([("d", 1.0, "a", "b"), *rows][1 if len(rows) > 1 else 0 :], "u string, x double, g string, h string")
+    good = spark.createDataFrame([("a", 1.0, "a", "b"), ("d", 1.0, "a", "b")], df.schema)
+    x, ok = bound.bounded_numeric(df, policy, "x"), bound.bounded_numeric(good, policy, "x", name="y")
+    refused(families.admitted_count(df, policy))
+    refused(families.moments(x, policy, "x"))
+    refused(families.histogram(x, "x", [1.0, 2.0]))
+    refused(families.all_moments(bound.bounded_numerics(df, policy, {"x": "x"}), policy, ["x"]))
+    both = Policy("unit", 9, 9, {"v": (0, 2), "y": (0, 2)}, grid_bits=8)
+    joined = x.join(ok, "unit")
+    refused(families.pair_moments(joined, both, "v", "y", "v", "y"))
+    refused(families.gaussian(joined, both, "y", ["v"]))
+    refused(families.gaussian_cross(joined, both, "y", ["v"]))
+    refused(families.marginals(bound.bounded_category(df, policy, "g"), policy, "g"))
+    refused(families.pairs(bound.bounded_pair(df, policy, "g", "h"), policy, "g", "h"))
+    refused(families.pairs_cross(good, policy, "g", df, policy, "h"))
+    refused(families.describe(df, policy, {"x": [1.0, 2.0]}))
+    refused(families.survival(bound.survival_unit(df, Policy("u", 2, 2, {"x": (0, 2)}, {"g": ("a", "b")}), "x", "g", "a"), policy, "g", "a", [1.0, 2.0]))
+    owners = [capsule.Owner("l", good, policy).category("g", "g"), capsule.Owner("r", df, policy).category("h", "h")]
+    refused(capsule.space(owners, [("n", families.marginals_terms(policy, "g", "g"))]))
+    assert values(families.moments(ok, policy, "x", "y")) == [2, 256, 128]
+
+
+def test_fixed_cohort(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "u string, x double")
+    assert values(families.admitted_count(df, Policy("u", 5, 2, adjacency="replace_one", cohort=2))) == [2]
+    refused(families.admitted_count(df, Policy("u", 5, 2, adjacency="replace_one", cohort=3)))
+
+
+def test_all_moments_are_the_single_ones(frame):
+    columns = ["entry", "time", "x"]
+    got = {}
+    for r in families.all_moments(bound.bounded_numerics(frame, POLICY, {c: c for c in columns}), POLICY, columns).orderBy("at", "coord").collect():
+        got.setdefault(r.block, []).append(r.value)
+    u = units(frame, *columns)
+    want = {f"numeric:{c}": values(families.moments(u, POLICY, c, c)) for c in columns}
+    want |= {f"pair:{a},{b}": values(families.pair_moments(u, POLICY, a, b, a, b)) for a, b in (("entry", "time"), ("entry", "x"), ("time", "x"))}
+    assert got == want and list(got) == list(want)
+
+
+def test_capsule_space_is_the_single_blocks(frame):
+    owner = capsule.Owner("all", frame, POLICY).numeric("x", "x").numeric("time", "time").category("a", "cat_a").category("p", "cat_a", "cat_b")
+    got = {}
+    parts = [("x", families.moments_terms(POLICY, "x", "x")), ("xt", families.pair_terms(POLICY, "time", "x", "time", "x")), ("a", families.marginals_terms(POLICY, "cat_a", "a")), ("ab", families.pairs_terms(("A", "B"), ("L", "R"), "p.cat_a", "p.cat_b")), ("h", families.histogram_terms([5.0, 10.0], "x"))]
+    for r in capsule.space([owner], parts).orderBy("at", "coord").collect():
+        got.setdefault(r.block, []).append(r.value)
+    assert got == {"x": [2, 384, 320], "xt": [2, 410, 384, 348, 320, 333], "a": [1, 1], "ab": [1, 0, 0, 1], "h": [1, 1, 1]}
