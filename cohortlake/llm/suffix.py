@@ -11,9 +11,10 @@ earlier (smaller doc_id, or the same document further left).
    around such a phrase is dealt by other grams.
 2. What differs around a gram that occurs more than once is cut out of the
    texts: one stretch of bytes for each different surrounding.
-3. Each shard of stretches is sorted by external induced sorting
-   (:mod:`induced`). Suffixes with a common prefix of ``length`` bytes are the
-   same window; all but the first are repeated.
+3. Each shard of stretches, less those whose windows can be in no other, is
+   sorted by external induced sorting (:mod:`induced`). Suffixes with a common
+   prefix of ``length`` bytes are the same window; all but the first are
+   repeated.
 4. The spans are united per document and cut out.
 """
 
@@ -195,7 +196,7 @@ def _stretches(length: int, gram: int, shards: int):
     side = (length - gram) // 2
 
     def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(8)]
         if texts.num_rows and wanted.num_rows:
             columns = _gather(wanted["blob"].to_pylist(), 6)
             order = np.lexsort((columns[1], columns[0]))
@@ -207,36 +208,71 @@ def _stretches(length: int, gram: int, shards: int):
                         continue
                     data = text.as_buffer().to_pybytes()
                     for a, z, q, key, many in zip(*(c[first:last].tolist() for c in (lo, hi, p, h, hot)), strict=True):
-                        parts = [(a, z, key)]
+                        parts = [(a, z, key, q, gram)]
                         if many:  # each window has `side` bytes on one side of the gram at least
                             split = q - side
-                            parts = [(a, min(z, split), digest(data[split : q + gram], 2))] if a <= split else []
+                            parts = [(a, min(z, split), digest(data[split : q + gram], 2), split, gram + side)] if a <= split else []
                             if z > split:
-                                parts.append((max(a, split + 1), z, digest(data[q : q + gram + side], 3)))
-                        for a_, z_, k in parts:
-                            for column, v in zip(out, (k % shards, uid, doc, a_, z_ - a_ + 1, data[a_ : z_ + length]), strict=True):
+                                parts.append((max(a, split + 1), z, digest(data[q : q + gram + side], 3), q, gram + side))
+                        for a_, z_, k, core, wide in parts:
+                            for column, v in zip(out, (k % shards, uid, doc, a_, z_ - a_ + 1, core - a_, wide, data[a_ : z_ + length]), strict=True):
                                 column.append(v)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["shard", "__uid", "doc", "lo", "n", "data"])
+        kinds = (pa.int32(), *(pa.int64(),) * 6, pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["shard", "__uid", "doc", "lo", "n", "core", "wide", "data"])
 
     return run
 
 
+def _likely(t: pa.Table, length: int, ranges: int = 8) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Stretches that can hold a window of another one: rows of ``t``, first windows in them, bytes and numbers of windows.
+
+    The windows of a stretch hold its common string (``core``, ``wide``) and
+    ``length - wide`` bytes around it. Those with about as many bytes on the
+    left hold one longer string together, and only windows whose longer string
+    stands in two stretches can be equal.
+    """
+    digest, found = xxhash.xxh3_64_intdigest, []
+    for row, (data, n, core, wide) in enumerate(zip(t["data"], *(t[c].to_pylist() for c in ("n", "core", "wide")), strict=True)):
+        data, free = data.as_buffer().to_pybytes(), length - wide
+        step = -(-(free + 1) // ranges)
+        for j in range(ranges):
+            left, most = j * step, min(free, (j + 1) * step - 1)  # bytes on the left of the string
+            first, last = max(0, core - most), min(n - 1, core - left)
+            if left <= most and first <= last:
+                found.append((row, first, last, digest(data[core - left : core + wide + free - most], j)))
+    if not found:
+        return (*np.empty((2, 0), np.int64), [], np.empty(0, np.int64))
+    row, first, last, key = (np.array(c, np.uint64 if i == 3 else np.int64) for i, c in enumerate(zip(*found, strict=True)))
+    _, which, many = np.unique(key, return_inverse=True, return_counts=True)
+    kept = many[which] > 1
+    row, first, last = row[kept], first[kept], last[kept]
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order], last[order]
+    heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)]) if len(row) else np.empty(0, np.int64)
+    row, first, last = row[heads], first[heads], last[np.append(heads[1:], len(row)) - 1] if len(heads) else last
+    data = [t["data"][i].as_buffer()[a : z + length].to_pybytes() for i, a, z in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
+    return row, first, data, last - first + 1
+
+
 def _sorted_shard(length: int, buckets: int, queue_tuples: int):
     """applyInArrow over one shard of stretches: ranges of repeated windows, by bucket of their rows."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        sizes = np.array([len(x.as_buffer()) for x in t["data"]], np.int64)
+        row, first, pieces, n = _likely(t, length)
+        if not len(row):
+            return pa.Table.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "blob"])
+        sizes = np.array(list(map(len, pieces)), np.int64)
         starts = np.r_[0, np.cumsum(sizes + 1)]
-        text = np.frombuffer(b"".join(x for d in t["data"] for x in (d.as_buffer(), b"\xff")), np.uint8)  # UTF-8 has no byte 255
+        text = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)  # UTF-8 has no byte 255
+        lo, uid = (t[c].to_numpy().astype(np.int64)[row] for c in ("lo", "__uid"))
+        lo += first
+        doc, has = t["doc"].fill_null(0).to_numpy().astype(np.int64)[row], t["doc"].is_valid().to_numpy().astype(np.int64)[row]
         used = np.zeros(256, bool)
         used[np.unique(text)] = True
         used[255] = False
         codes = np.cumsum(used).astype(np.uint8) * used
         text = codes[text]
-        lo, n, uid = (t[c].to_numpy().astype(np.int64) for c in ("lo", "n", "__uid"))
-        doc, has = t["doc"].fill_null(0).to_numpy().astype(np.int64), t["doc"].is_valid().to_numpy().astype(np.int64)
         first_of = np.empty(len(uid), np.int64)
         first_of[np.lexsort((lo, uid, doc, has))] = np.arange(len(uid))  # stretches in the order of their places
         marked = []
@@ -328,7 +364,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     shards = max(1, -(-total // shard_bytes))
 
     common = docs.sparkSession.sparkContext.broadcast(_common(narrow, gram, total, sample_bytes))  # at most 65,536 hashes
-    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards, common), 4 << 20), "shard int, marked boolean, blob binary")
+    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards, common)), "shard int, marked boolean, blob binary")
     dealt = occurrences.repartition("shard").sortWithinPartitions("shard")
     matched = cut(dealt.mapInArrow(_match(shards, length), "bucket int, marked boolean, blob binary, n_bytes long"))
 
@@ -338,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     marks = matched.where("marked").select("bucket", "blob")
     if to_sort:
         texts = _dealt(narrow, "__text", shards)
-        stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, __uid long, doc long, lo long, n long, data binary")
+        stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, __uid long, doc long, lo long, n long, core long, wide long, data binary")
         marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards, queue_tuples), "bucket int, blob binary"))
     names = [c for c in docs.columns if c not in ("spans", "kept")]
     rows = source.select(*names, "__uid", F.col(text_col).cast("string").cast("binary").alias("__text"))
