@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,50 @@ def by_text(text_col: str, fn: Callable[[list, pa.RecordBatch], Iterator[pa.Reco
     return run
 
 
+def sieve(ids: DataFrame, column: str, bits: int = 1 << 26, segments: int = 64):
+    """A broadcast bitmap of ``bits`` bits, whatever the number of ``ids``: the hashes of all of them are set.
+
+    With few ids for its size it lets little else through; with too many it
+    lets all through, which is right as well. Built segment by segment.
+    """
+    wide = bits // segments
+
+    def build(t: pa.Table) -> pa.Table:
+        held = np.zeros(wide, bool)
+        held[t["at"].to_numpy() % wide] = True
+        return pa.table([pa.array([t["at"][0].as_py() // wide], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], names=["segment", "held"])
+
+    places = ids.select(_place(column, bits).alias("at")).distinct().withColumn("segment", F.floor(F.col("at") / wide))
+    whole = np.zeros(bits // 8, np.uint8)
+    for segment, held in places.groupBy("segment").applyInArrow(build, "segment long, held binary").collect():  # bits / 8 bytes in all
+        whole[segment * wide // 8 : (segment + 1) * wide // 8] = np.frombuffer(held, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(whole)
+
+
+def _place(column: str, bits: int):
+    return F.pmod(F.xxhash64(column, F.lit("sieve")), F.lit(bits))
+
+
+def sifted(df: DataFrame, column: str, held, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` that may be in the sieve, or those that surely are not."""
+    bits = 8 * len(held.value)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy()
+            hit = (held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            rows = b.filter(pa.array(hit if inside else ~hit))
+            yield rows.select(range(b.num_columns - 1))
+
+    return df.withColumn("_place", _place(column, bits)).mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not in ``gone``: only those that a sieve lets through are exchanged."""
+    held = sieve(gone, key)
+    return sifted(df, key, held, False).unionByName(sifted(df, key, held).join(gone, key, "left_anti"))
+
+
 def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """Connected components of an undirected edge list by alternating large and small stars.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_text, connected_components, cut, schema
+from ._common import by_text, connected_components, cut, schema, sieve, sifted
 from .simhash import near_links
 
 PERCENT = 80  # least similarity, in whole numbers
@@ -192,6 +192,10 @@ def _counted(pairs: DataFrame, sets: DataFrame, column: str, unread: bool) -> Da
     return cut(pairs.join(a, "a").join(b, "b").where(close & ((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b")))).select("a", "b"))
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 def _labelled(links: DataFrame) -> DataFrame:
     return connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
 
@@ -205,7 +209,7 @@ def similar_documents(df: DataFrame, row: str, carry: tuple[str, ...] = (), text
     becomes one component, then all pairs of a group that are not in one
     component yet: only groups of many different, unlike documents of much the
     same length that share a rare shingle cost their square.
-    Whole sets are kept only for documents with a possible partner. An empty table gives no rows.
+    Sets are kept only for candidates. An empty table gives no rows.
     """
     rows = _rows(df, text_col, (row, *carry), width, _frequent(df, text_col, width, sample))
     prefixes = rows.select(F.posexplode("prefix").alias("at", "h"), "id", "n").select("h", "id", "n", F.col("at").cast("long").alias("at"))
@@ -215,16 +219,15 @@ def similar_documents(df: DataFrame, row: str, carry: tuple[str, ...] = (), text
     near = near_links(fps.select("fp"), threshold).join(fps.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
     closest = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    maybe = shared.select("id").unionByName(closest.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    firsts = rows.select("id", "n", row).join(maybe, "id", "left_semi").groupBy("id", "n").agg(F.min(row).alias(row))
-    sets = cut(_hashed(df.select(row, text_col).join(firsts, row), text_col, ("id", "n"), width))  # texts are exchanged once
-
     def similar(pairs: DataFrame) -> DataFrame:
-        """The similar ones of ``pairs``: first by prefixes, then by whole sets."""
+        """The similar ones of ``pairs``: first by prefixes, then by whole sets, for which the texts of likely rows are exchanged."""
         pairs = cut(pairs.distinct())
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        likely = _counted(pairs, rows.select("id", "n", "prefix").join(ids, "id", "left_semi").dropDuplicates(["id"]), "prefix", True)
-        return _counted(likely, sets, "hashes", False)
+        wanted = cut(_ids(pairs))
+        own = sifted(rows.select("id", "n", "prefix"), "id", sieve(wanted, "id"))
+        likely = _counted(pairs, own.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "prefix", True)
+        firsts = cut(rows.select("id", "n", row).join(_ids(likely), "id", "left_semi").groupBy("id", "n").agg(F.min(row).alias(row)))
+        texts = sifted(df.select(row, text_col), row, sieve(firsts, row)).join(firsts, row)
+        return _counted(likely, cut(_hashed(texts, text_col, ("id", "n"), width)), "hashes", False)
 
     links = similar(closest.unionByName(shared.mapInArrow(_stars, "a long, b long")))
     known = shared.join(_labelled(links), "id", "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("component"))
