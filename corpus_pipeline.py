@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import ffd, similar, suffix, toxicity
+from cohortlake.llm._common import cut, without
 from cohortlake.llm.queries import WORDS
 
 
@@ -23,7 +24,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     found = similar.similar_documents(rows, "__row", ("doc_id",))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).getField("__row").alias("__row")
-    return rows.join(found.groupBy("component").agg(first).select("__row"), "__row", "left_semi").select(docs.columns)
+    gone = found.join(found.groupBy("component").agg(first), "__row", "left_anti").select("__row")
+    return without(rows, "__row", cut(gone)).select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
