@@ -57,8 +57,8 @@ def _hashed(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int) ->
     return source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, hashes="array<long>"))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(np.concatenate(arrays)))
+def _lists(arrays: list[np.ndarray], kind=np.int64) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(np.concatenate(arrays).astype(kind)))
 
 
 def _frequent(df: DataFrame, text_col: str, width: int, sample: int, fewest: int = 4, most: int = 100_000) -> np.ndarray:
@@ -76,18 +76,24 @@ def _prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return (np.r_[hashes[~last], hashes[last]] if last.any() else hashes)[: n - (PERCENT * n + 99) // 100 + 1]
 
 
+def _brief(prefix: np.ndarray) -> np.ndarray:
+    """Distinct values of the hashes' low 16 bits, ascending."""
+    return np.unique(prefix.astype(np.int16))
+
+
 def _rows(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int, frequent: np.ndarray) -> DataFrame:
-    """The ``keep`` columns, the set's hash ``id``, its size ``n``, fingerprint ``fp`` and ``prefix`` of every row."""
+    """The ``keep`` columns, the set's hash ``id``, its size ``n``, fingerprint ``fp``, ``prefix``, and that in ``brief`` of every row."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t, width) for t in texts]
         ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         sizes, fps = np.array([len(s) for s in sets], np.int64), np.array([_fingerprint(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, (ids, sizes, fps)), _lists([_prefix(s, shared.value) for s in sets])], [*keep, "id", "n", "fp", "prefix"])
+        prefixes = [_prefix(s, shared.value) for s in sets]
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, (ids, sizes, fps)), _lists(prefixes), _lists([_brief(p) for p in prefixes], np.int16)], [*keep, "id", "n", "fp", "prefix", "brief"])
 
     source = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return cut(source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, id="long", n="long", fp="long", prefix="array<long>")))
+    return cut(source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, id="long", n="long", fp="long", prefix="array<long>", brief="array<short>")))
 
 
 def _groups(batches, make):
@@ -142,7 +148,12 @@ def _shared(batches, block: int = 1024):
     yield from _batched(_groups(batches, make), ["h", "id", "n", "at"])
 
 
-def _stars(batches):
+def _place(h: int, *at: int) -> int:
+    """A number for what is compared together, from a shingle and the blocks of its rows."""
+    return xxhash.xxh3_64_intdigest(np.array([h, *at], np.int64).tobytes()) - (1 << 63)
+
+
+def _stars(batches, block: int = 1024):
     """Of each shingle's sets, by length: the pair of each with the first id of those it can be similar to."""
 
     def make(rows):
@@ -153,11 +164,12 @@ def _stars(batches):
             first = a + int(np.argmin(rows[a:z, 1]))
             others = rows[a:z][_possible(rows[first : first + 1], rows[a:z])[0], 1]
             others = others[others != rows[first, 1]]
-            if len(others):
-                yield np.column_stack([np.full(len(others), rows[first, 1]), others])
+            for at in range(0, len(others), block):
+                own = others[at : at + block]
+                yield np.column_stack([np.full(len(own), rows[first, 1]), own, np.full(len(own), _place(int(rows[0, 0]), a, at))])
             a = z
 
-    yield from _batched(_groups(batches, make), ["a", "b"])
+    yield from _batched(_groups(batches, make), ["a", "b", "g"])
 
 
 def _remaining(batches, block: int = 1024):
@@ -177,19 +189,62 @@ def _remaining(batches, block: int = 1024):
                 x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
                 if len(x):
                     x, y = id_[i][x], id_[j][y]
-                    yield np.column_stack([np.minimum(x, y), np.maximum(x, y)])
-
-    yield from _batched(_groups(batches, make), ["a", "b"])
-
-
-def _counted(pairs: DataFrame, sets: DataFrame, column: str, unread: bool) -> DataFrame:
-    """The ``pairs`` whose sets can be similar by what they share in ``column``; ``unread``: a prefix, behind which all of the shorter rest may agree."""
-    a, b = (sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"h_{x}")) for x in "ab")
-    most = F.size(F.array_intersect("h_a", "h_b"))
-    if unread:  # shared ones up to where the first of both prefixes ends stand in both; behind it is the rest of that set
-        most += F.greatest(F.col("n_a") - F.size("h_a"), F.col("n_b") - F.size("h_b"))
-    close = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return cut(pairs.join(a, "a").join(b, "b").where(close & ((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b")))).select("a", "b"))
+                    yield np.column_stack([np.minimum(x, y), np.maximum(x, y), np.full(len(x), _place(int(rows[0, 0]), a, b))])
+
+    yield from _batched(_groups(batches, make), ["a", "b", "g"])
+
+
+def _held(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values of ``x`` are in ``y``, both ascending and distinct."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+
+
+def _compare(unread: bool):
+    """Cogroup of the pairs and the sets of one bucket: the pairs that can be (``unread``) or are similar."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        out = pairs.select(["a", "b"])
+        if not (pairs.num_rows and sets.num_rows):
+            return out.slice(0, 0)
+        ids, n = sets["id"].to_numpy(), sets["n"].to_numpy()
+        lists = sets["h"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+        spare = sets["spare"].to_numpy()
+        order = np.argsort(ids)
+        place = [order[np.minimum(np.searchsorted(ids[order], pairs[c].to_numpy()), len(ids) - 1)] for c in "ab"]
+        kept = []
+        for a, b in zip(*(p.tolist() for p in place), strict=True):
+            small, large = min(n[a], n[b]), max(n[a], n[b])
+            most = 0
+            if 100 * small >= PERCENT * large:
+                x, y = flat[ends[a] : ends[a + 1]], flat[ends[b] : ends[b + 1]]
+                most = _held(x, y) if len(x) <= len(y) else _held(y, x)
+                if unread:  # values may stand for several shingles; behind the prefix that ends first, all of that set's rest may agree
+                    most += min(spare[a], spare[b]) + max(n[a] - len(x) - spare[a], n[b] - len(y) - spare[b])
+            kept.append((100 + PERCENT) * most >= PERCENT * (n[a] + n[b]))
+        whole = [ids[p] == pairs[c].to_numpy() for p, c in zip(place, "ab", strict=True)]
+        return out.filter(pa.array(np.array(kept, bool) & whole[0] & whole[1]))
+
+    return run
+
+
+def _counted(pairs: DataFrame, sets: DataFrame, unread: bool, at_once: int = 4096) -> DataFrame:
+    """The ``pairs`` (a, b, and g: what they are compared with together) whose ``sets`` (id, n, h, spare) are similar, or can be.
+
+    Pairs of about ``at_once`` are one bucket, by their place, so that sets in
+    many pairs of a group travel once.
+    """
+    buckets = max(1, -(-pairs.count() // at_once))
+    placed = pairs.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    wanted = placed.select(F.col("bucket").alias("to"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    near = wanted.join(sets, "id").groupBy("to")
+    found = placed.groupBy("bucket").cogroup(near).applyInArrow(_compare(unread), "a long, b long")
+    if unread:
+        found = found.join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "g"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).select("a", "b", "g")
+    return cut(found)
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -217,20 +272,22 @@ def similar_documents(df: DataFrame, row: str, carry: tuple[str, ...] = (), text
     fps = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("first"))
     same = rows.select("id", "n", "fp").join(fps, "fp").where("n > 0 and id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
     near = near_links(fps.select("fp"), threshold).join(fps.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(fps.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
-    closest = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    closest = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("a", "b").alias("g"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The similar ones of ``pairs``: first by prefixes, then by whole sets, for which the texts of likely rows are exchanged."""
-        pairs = cut(pairs.distinct())
+        pairs = cut(pairs.groupBy("a", "b").agg(F.min("g").alias("g")))
         wanted = cut(_ids(pairs))
-        own = sifted(rows.select("id", "n", "prefix"), "id", sieve(wanted, "id"))
-        likely = _counted(pairs, own.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "prefix", True)
+        spare = (F.size("prefix") - F.size("brief")).cast("long").alias("spare")
+        own = sifted(rows.select("id", "n", F.col("brief").alias("h"), spare), "id", sieve(wanted, "id"))
+        likely = _counted(pairs, own.join(wanted, "id", "left_semi").dropDuplicates(["id"]), True, 16_384)
         firsts = cut(rows.select("id", "n", row).join(_ids(likely), "id", "left_semi").groupBy("id", "n").agg(F.min(row).alias(row)))
         texts = sifted(df.select(row, text_col), row, sieve(firsts, row)).join(firsts, row)
-        return _counted(likely, cut(_hashed(texts, text_col, ("id", "n"), width)), "hashes", False)
+        whole = _hashed(texts, text_col, ("id", "n"), width).select("id", "n", F.col("hashes").alias("h"), F.lit(0).cast("long").alias("spare"))
+        return _counted(likely, whole, False)
 
-    links = similar(closest.unionByName(shared.mapInArrow(_stars, "a long, b long")))
+    links = similar(closest.unionByName(shared.mapInArrow(_stars, "a long, b long, g long")))
     known = shared.join(_labelled(links), "id", "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("component"))
-    rest = similar(known.repartition("h").sortWithinPartitions("h").mapInArrow(_remaining, "a long, b long"))
+    rest = similar(known.repartition("h").sortWithinPartitions("h").mapInArrow(_remaining, "a long, b long, g long"))
     found = _labelled(links.unionByName(rest))
     return rows.select(row, *carry, "id").join(found, "id", "left").select(row, *carry, F.coalesce("component", "id").alias("component"))
