@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.policy import Refused
+from . import ranges
 
 
 def valid_id(x: Column) -> Column:
@@ -68,12 +70,81 @@ def align(tables: list[DataFrame], ids: list[str], orders: list[list[str]], name
 
 def row_positions(df: DataFrame, order: list[str], name: str = "row_pos", parts: int = 200) -> DataFrame:
     """Number rows from 0 in ``order``: ranges are sorted apart and start where the range before ends."""
-    d = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order)
-    d = d.withColumn("_at", F.row_number().over(within) - 1)
-    counts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # at most one row for each of ``parts``
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return d.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    return ranges.numbered(df, order, name, parts)
+
+
+def align_to(reference: DataFrame, id_col: str, order: list[str], others: dict[str, tuple[DataFrame, str, list[str]]], name: str = "reference", missing: str = "id_only", parts: int = 200) -> DataFrame:
+    """:func:`align` with ``row_pos``: the rows of the reference table in its own order, numbered from 0 over the matched ones.
+
+    Every other table gives one row for each identifier; if one gave more, the
+    query would fail (``one row for each identifier``).
+    """
+    tables, ids, orders = [reference], [id_col], [order]
+    for table, own_id, own_order in others.values():
+        tables.append(table)
+        ids.append(own_id)
+        orders.append(own_order)
+    joined = align(tables, ids, orders, [name, *others], missing)
+    return row_positions(joined, [f"{name}_{c}" for c in order if c != id_col] + ["id"], parts=parts)
+
+
+def manifest(aligned: DataFrame, id_col: str = "id", position: str = "row_pos", key: str = "") -> DataFrame:
+    """One row that binds the aligned rows and their order: ``n_rows``, and ``order_hash`` of all (position, identifier).
+
+    A sum of keyed hashes, so rows combine before the exchange, in whole
+    numbers of 128 bits; a lost, added or moved row changes it.
+    """
+    h = F.sha2(F.concat_ws("|", F.lit(key), F.col(position).cast("string"), F.octet_length(F.col(id_col).cast("string")).cast("string"), F.col(id_col).cast("string")), 256)
+    low, high = (F.conv(F.substring(h, a, 12), 16, 10).cast("decimal(38,0)") for a in (1, 13))
+    got = aligned.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(low), F.lit(0)).alias("a"), F.coalesce(F.sum(high), F.lit(0)).alias("b"), F.coalesce(F.max(position), F.lit(-1)).alias("last"))
+    return got.select("n_rows", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"), F.col("last").cast("string")).alias("order_hash"))
+
+
+def check_manifest(aligned: DataFrame, expected: DataFrame, id_col: str = "id", position: str = "row_pos", key: str = "") -> None:
+    """Refuse an aligned table that lost, gained or moved rows since its manifest."""
+    if manifest(aligned, id_col, position, key).first() != expected.select("n_rows", "order_hash").first():
+        raise Refused("the aligned table has changed")
+
+
+def check_consistent(left: DataFrame, right: DataFrame, key: str = "") -> None:
+    """Refuse two owners' aligned tables that are not of one alignment."""
+    check_manifest(left, manifest(right, key=key), key=key)
+
+
+@dataclass(frozen=True)
+class Offer:
+    """What a peer declares before an alignment."""
+
+    peer: str
+    rows: int
+
+
+def contract(offers: list[Offer]) -> tuple[str, int]:
+    """The reference peer (the first by name) and the capacity (the most rows any peer offers)."""
+    if not offers or len({o.peer for o in offers}) != len(offers) or any(o.rows < 0 for o in offers):
+        raise ValueError("offers must be of different peers, with rows from 0")
+    return min(o.peer for o in offers), max(o.rows for o in offers)
+
+
+def shuffled(df: DataFrame, id_col: str, seed: str, name: str = "row_pos", parts: int = 200) -> DataFrame:
+    """Rows numbered in the order of a keyed hash of their identifier: a permutation that anyone with the key can repeat."""
+    d = df.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256))
+    return ranges.numbered(d, ["_h", id_col], name, parts).drop("_h")
+
+
+def packed_selection(rows: DataFrame, capacity: int, position: str = "row_pos") -> DataFrame:
+    """Positions as one bit vector of fixed length ``capacity`` (binary, the first position in the lowest bit): ``bits, n_set``.
+
+    Its size is that of the capacity, whatever is selected; bytes are summed
+    from at most eight positions each, then put in order by chunks of 4,096.
+    """
+    n_bytes = -(-capacity // 8)
+    d = rows.select(F.col(position).cast("long").alias("p")).distinct()
+    chunks = d.groupBy(F.floor(F.col("p") / 8).alias("at")).agg(F.sum(F.pow(F.lit(2), F.col("p") % 8)).cast("int").alias("byte"), F.count(F.lit(1)).alias("n"))
+    spark = rows.sparkSession
+    whole = spark.range(n_bytes).withColumnRenamed("id", "at").join(chunks, "at", "left")
+    lines = whole.groupBy(F.floor(F.col("at") / 4096).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.lpad(F.hex(F.coalesce("byte", F.lit(0))), 2, "0").alias("h")))), lambda x: x.h), "").alias("h"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return lines.agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "h"))), lambda x: x.h), "")).alias("bits"), F.sum("n").alias("n_set"))
 
 
 def gather(df: DataFrame, order: DataFrame, position: str = "row_pos") -> DataFrame:

@@ -209,6 +209,14 @@ def correlation(block: DataFrame, scale: int) -> DataFrame:
     return wide.select("block", F.col("n").cast("long").alias("n"), (c("x", "y", "xy") / F.sqrt(c("x", "x", "xx") * c("y", "y", "yy"))).alias("correlation"))
 
 
+def one_row_a_unit(df: DataFrame, unit: str, most: int) -> DataFrame:
+    """``df``, refused if a unit is null, blank or has several rows, or if there are more than ``most`` rows."""
+    per = df.groupBy(F.col(unit).alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    over = (F.count_if(bound.blank(F.col("u"))) > 0) | (F.coalesce(F.max("n"), F.lit(0)) > 1) | (F.count(F.lit(1)) > most)
+    passed = bound.refused_if(F.col("_bad"), "rows must be of different units") & (F.spark_partition_id() >= 0)
+    return df.crossJoin(F.broadcast(per.agg(over.alias("_bad")))).where(passed).drop("_bad")  # one row
+
+
 def frequency(df: DataFrame, levels: tuple[str, ...], column: str) -> DataFrame:
     """``level, n`` for every declared level; other values are passed over."""
     spark: SparkSession = df.sparkSession

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ..operators import align, bound, capsule, exact, families, models, windows
 from ..sources import tables
 from ..sources.tables import scan
 from . import release
-from .policy import Disclosure, Policy
+from .policy import CoxSpec, DatasetDescriptor, DescribeSpec, Disclosure, GlmSpec, Policy
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -109,10 +111,41 @@ def outcome_levels(spark, sf):
     return tables.declared_levels(spark, ORDERS, "o_orderstatus")
 
 
-@query()
+DIGEST_COLUMNS = ("c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey")
+DIGEST = f"""WITH r AS (SELECT c_custkey AS p, sha256({' || '.join(f"coalesce('v' || strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in DIGEST_COLUMNS)}) AS h FROM customer),
+b AS (SELECT p // 256 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT p // 4 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM b GROUP BY 1),
+d AS (SELECT p // 4 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM c GROUP BY 1)
+SELECT sha256('{','.join(DIGEST_COLUMNS)}' || string_agg(h, '' ORDER BY p)) AS sha256, sum(n)::BIGINT AS n_rows FROM d"""
+
+
+@query(DIGEST)
 def snapshot_digest(spark, sf):
-    nation = scan(spark, sf, "nation").withColumn("row_pos", F.col("n_nationkey").cast("long"))
-    return tables.digest(nation, "row_pos")
+    c = scan(spark, sf, "customer")
+    return tables.digest(c.withColumn("row_pos", F.col("c_custkey")), "row_pos", block=256, fan=4)
+
+
+@query("SELECT c_acctbal, c_custkey, c_mktsegment, c_name, c_nationkey FROM customer")
+def frozen_snapshot(spark, sf):
+    session, table = tables.Session(spark), scan(spark, sf, "customer").withColumn("row_pos", F.col("c_custkey"))
+    session.assign("customer_table", table)
+    expected = tables.digest(table, "row_pos").first()["sha256"]
+    return session.snapshot("customer_table", DatasetDescriptor("customer", "1"), "row_pos", expected).drop("row_pos")
+
+
+@query("SELECT c_mktsegment AS level, count(*) AS n FROM customer GROUP BY 1")
+def named_domains(spark, sf):
+    c, levels = scan(spark, sf, "customer"), CUSTOMER.levels["c_mktsegment"]
+    domain = spark.createDataFrame([(x,) for x in levels], "level string")
+    n = c.groupBy(F.col("c_mktsegment").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    return domain.join(n, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT count(c_acctbal) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS below, count(*) FILTER (WHERE c_acctbal > 5000) AS above FROM customer")
+def numeric_bounds(spark, sf):
+    lo, hi = Policy("c_custkey", 1 << 40, 64, {"c_acctbal": (0.0, 5000.0)}).bounds["c_acctbal"]
+    x = F.col("c_acctbal")
+    return scan(spark, sf, "customer").agg(F.count(x).alias("n"), F.count_if(x < lo).alias("below"), F.count_if(x > hi).alias("above"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -129,11 +162,20 @@ def canonical_labels(spark, sf):
     return c.select("c_custkey", scalar.label(F.col("c_acctbal") > 0, "boolean").alias("positive"), scalar.label(F.col("c_nationkey"), "int").alias("nation"), scalar.length_prefixed(F.col("c_name")).alias("prefixed"), scalar.label(F.col("c_acctbal"), "double", strict=False).alias("whole"))
 
 
-@query("SELECT c_custkey, sha256('key' || '¦' || 'study' || '¦' || c_name) AS pseudonym FROM customer")
+HMAC = "sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({message}))))"
+PADS = {name: bytes(b ^ x for b in b"key".ljust(64, b"\0")).hex() for name, x in (("inner", 0x36), ("outer", 0x5C))}
+
+
+@query("SELECT c_custkey, " + HMAC.format(**PADS, message="'R5:study' || 'R' || strlen(c_name) || ':' || c_name") + " AS pseudonym FROM customer")
 def pseudonyms(spark, sf):
     return scan(spark, sf, "customer").select("c_custkey", scalar.pseudonym(F.col("c_name"), "key", "study").alias("pseudonym"))
 
 
+@query("SELECT c_custkey, rtrim(replace(replace(base64(encode(c_name)), '+', '-'), '/', '_'), '=') AS b64, lower(hex(encode(c_mktsegment))) AS bytes FROM customer")
+def encoded_names(spark, sf):
+    return scan(spark, sf, "customer").select("c_custkey", scalar.base64url(F.col("c_name").cast("binary")).alias("b64"), F.lower(F.hex(F.col("c_mktsegment").cast("binary"))).alias("bytes"))
+
+
 def with_gaps(spark, sf):
     return scan(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
 
@@ -151,9 +193,25 @@ def na_omit(spark, sf):
     return exact.complete_case_counts(with_gaps(spark, sf), ["value"])
 
 
+@query(f"SELECT event_id, value FROM ({GAPS}) WHERE value IS NOT NULL")
+def na_omit_rows(spark, sf):
+    return exact.complete_cases(with_gaps(spark, sf).select("event_id", "value"), ["value"])
+
+
+@query(f"SELECT event_id, user_id, value FROM ({GAPS}) WHERE value IS NOT NULL AND event_id IS NOT NULL")
+def analysis_rows(spark, sf):
+    return align.analysis_rows(with_gaps(spark, sf).select("event_id", "user_id", "value"), "event_id")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END AS \"p2.HIGH\", CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1 ELSE 0 END AS \"p3.MEDIUM\", CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1 ELSE 0 END AS \"p4.NOT.SPECIFIED\", CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END AS \"p5.LOW\" FROM orders")
 def factor_dummies(spark, sf):
-    return exact.factor_dummies(scan(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", list(PRIORITIES), prefix="p").drop("o_orderpriority")
+    return exact.factor_dummies(scan(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", list(PRIORITIES), GUARD, prefix="p").drop("o_orderpriority")
+
+
+@query("SELECT o_orderkey, concat_ws('', (o_orderstatus = 'F')::INTEGER, (o_orderstatus = 'O')::INTEGER, (o_orderstatus = 'P')::INTEGER) AS one_hot FROM orders WHERE o_orderstatus IS NOT NULL")
+def one_hot_matrix(spark, sf):
+    d = exact.one_hot(scan(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"], GUARD)
+    return d.select("o_orderkey", F.array_join(F.col("one_hot").cast("array<string>"), "").alias("one_hot"))
 
 
 @query("SELECT level, count(o_orderstatus) AS n FROM (SELECT unnest(['F', 'O', 'P']) AS level) LEFT JOIN orders ON o_orderstatus = level GROUP BY 1")
@@ -184,19 +242,36 @@ def block_clusters(spark, sf):
     return exact.block_clusters(scan(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 13)
 
 
-@query()
+def md5_share(x: str, salt: str) -> str:
+    """SQL: the whole number below 2^48 that a salted MD5 gives."""
+    return f"('0x' || substr(md5('{salt}' || {x}), 1, 12))::BIGINT"
+
+
+@query(f"SELECT c_custkey, ({md5_share('c_custkey', '')} % 13 + 1)::INTEGER AS cluster FROM customer")
 def hash_clusters(spark, sf):
     return exact.hash_clusters(scan(spark, sf, "customer").select("c_custkey"), "c_custkey", 13)
 
 
-@query()
+@query(f"SELECT c_custkey, CASE WHEN {md5_share('c_custkey', '7|')} % 1000000 >= 200000 THEN c_acctbal END AS c_acctbal FROM customer")
 def injected_nulls(spark, sf):
     return exact.inject_nulls(scan(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 0.2, 7)
 
 
-@query()
+@query("SELECT c_custkey, c_nationkey, round(-ln((" + md5_share("c_custkey", "13|1|") + " + 0.5) / 281474976710656.0) * 20.0 * exp(-0.05 * c_nationkey), 8) AS time, ((" + md5_share("c_custkey", "13|2|") + " + 0.5) / 281474976710656.0 < 0.6)::INTEGER AS event FROM customer")
 def synthetic_survival(spark, sf):
-    return exact.synthetic_survival(scan(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey")
+    return rounded(exact.synthetic_survival(scan(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey"), 8, "time")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity - l_tax, 8) AS centred, l_quantity - (SELECT avg(l_quantity) FROM lineitem) < 0 AS below FROM lineitem")
+def standardize_none(spark, sf):
+    d = exact.standardise(scan(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax"), ["l_quantity", "l_tax"], "none")
+    mean = scan(spark, sf, "lineitem").agg(F.avg("l_quantity")).first()[0]
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") - F.col("l_tax")).alias("centred"), (F.col("l_quantity") < mean).alias("below")), 8, "centred")
+
+
+@query(f"SELECT event_id, round((coalesce(value, m) - m) / s, 8) AS value FROM ({GAPS}), (SELECT avg(value) AS m, stddev_samp(value) AS s FROM ({GAPS}))")
+def standardize_mean(spark, sf):
+    return rounded(exact.standardise(with_gaps(spark, sf).select("event_id", "value"), ["value"], missing="mean"), 8, "value")
 
 
 ETA = "(0.5 + 0.1 * l_discount + -0.2 * l_tax)"
@@ -232,6 +307,44 @@ def scalar_functions(spark, sf):
     return rounded(rounded(d, 10, "sigmoid", "softplus", "reciprocal", "logged"), 6, "expo")
 
 
+@query("SELECT c_custkey, round(exp(c_acctbal / 500) / 1e6, 6) AS expo, round(ln(least(10.0, greatest(1.0, c_acctbal / 900))), 10) AS shifted, round(ln(least(1000.0, greatest(0.1, c_acctbal / 9))), 10) AS wide, round(1 - 1 / (1 + exp(-(c_acctbal / 5000))), 10) AS complement, (c_acctbal < 100)::INTEGER AS small, (round_even(c_acctbal * 65536.0, 0)::BIGINT >> 8) AS truncated, round_even(c_acctbal * 65536.0, 0)::BIGINT AS lattice FROM customer")
+def scalar_ranges(spark, sf):
+    x = F.col("c_acctbal")
+    whole = scalar.lattice(x, 65536)
+    d = scan(spark, sf, "customer").select("c_custkey", (scalar.exp_extended(x / 500) / 1e6).alias("expo"), scalar.log_shift(x / 900).alias("shifted"), scalar.log_shift_wide(x / 9).alias("wide"), scalar.one_minus(scalar.sigmoid(x / 5000)).alias("complement"), (x < 100).cast("int").alias("small"), scalar.rescaled(whole, 256).alias("truncated"), whole.alias("lattice"))
+    return rounded(rounded(d, 6, "expo"), 10, "shifted", "wide", "complement")
+
+
+@query("SELECT o_custkey, string_agg(lpad(hex(b), 2, '0'), '' ORDER BY i) AS bits FROM (SELECT o_custkey, i, sum(v << k)::UTINYINT AS b FROM (SELECT o_custkey, p // 8 AS i, p % 8 AS k, v FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p, (o_orderkey % 2)::INTEGER AS v FROM orders)) GROUP BY 1, 2) GROUP BY 1")
+def packed_bits(spark, sf):
+    lists = scan(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", (F.col("o_orderkey") % 2).cast("int").alias("v")))).alias("own"))
+    return lists.select("o_custkey", F.hex(scalar.pack_bits(F.transform("own", lambda x: x.v))).alias("bits"))
+
+
+MATRIX = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS a, l_discount AS b, l_tax AS c FROM lineitem"
+
+
+@query(f"SELECT unnest([0, 1, 2]) AS j, unnest([round(sum(a), 4), round(sum(b), 4), round(sum(c), 4)]) AS value FROM ({MATRIX})")
+def column_sums(spark, sf):
+    d = scan(spark, sf, "lineitem").select(F.array("l_quantity", "l_discount", "l_tax").alias("x"))
+    return rounded(exact.column_sums(d, "x", GUARD), 4, "value")
+
+
+@query("SELECT c_custkey, c_acctbal AS first, o_totalprice AS last, 4 AS width FROM customer JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) ON c_custkey = o_custkey JOIN orders o ON o.o_orderkey = k")
+def bound_columns(spark, sf):
+    first = align.select_rows(scan(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", ["o_orderkey"])
+    left = scan(spark, sf, "customer").select("c_custkey", F.array("c_acctbal", F.col("c_nationkey").cast("double")).alias("x"))
+    right = first.select(F.col("o_custkey").alias("c_custkey"), F.array(F.col("o_orderkey").cast("double"), "o_totalprice").alias("x"))
+    d = models.bind_columns(left, right, "c_custkey")
+    return d.select("c_custkey", models.column("x", 0).alias("first"), models.column("x", 3).alias("last"), F.size("x").alias("width"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_tax AS x1, l_discount AS x2, l_extendedprice AS x3, l_quantity AS y FROM lineitem")
+def reordered_design(spark, sf):
+    d = models.design(scan(spark, sf, "lineitem"), ["l_discount", "l_extendedprice", "l_tax"], "l_quantity", ("l_orderkey", "l_linenumber", "l_partkey"), order=["l_tax", "l_discount", "l_extendedprice"])
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", *[models.column("x", i).alias(f"x{i}") for i in (1, 2, 3)], "y")
+
+
 # ---- joins ---------------------------------------------------------------------------------------
 
 
@@ -253,11 +366,70 @@ def row_positions(spark, sf):
     return align.row_positions(d, ["less", "o_orderkey"], parts=32).select("o_orderkey", F.col("row_pos").cast("long").alias("row_pos"))
 
 
+@query("SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row_pos, c_custkey AS id, c_acctbal AS customer_c_acctbal, o_orderkey AS orders_o_orderkey, o_totalprice AS orders_o_totalprice FROM customer JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) f ON c_custkey = f.o_custkey JOIN orders o ON o.o_orderkey = f.k")
+def align_in_reference_order(spark, sf):
+    return aligned(spark, sf)
+
+
+def aligned(spark, sf):
+    reference = scan(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    orders = scan(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return align.align_to(reference, "c_custkey", ["c_acctbal"], {"orders": (orders, "o_custkey", ["o_orderkey"])}, "customer")
+
+
+ORDERED_IDS = "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row_pos, c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"
+BOUND = "sha256('k' || '|' || row_pos || '|' || strlen(id::VARCHAR) || '|' || id)"
+
+
+@query(f"SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR || '-' || max(row_pos) AS order_hash FROM (SELECT row_pos, {BOUND} AS h FROM ({ORDERED_IDS}))")
+def alignment_manifest(spark, sf):
+    rows = aligned(spark, sf)
+    left, right = rows.select("row_pos", "id", "customer_c_acctbal"), rows.select("row_pos", "id", "orders_o_totalprice")
+    align.check_consistent(left, right, key="k")
+    return align.manifest(left, key="k")
+
+
+@query(f"SELECT row_pos, id FROM ({ORDERED_IDS})")
+def aligned_sink(spark, sf):
+    session = tables.Session(spark)
+    session.assign("aligned_customers", aligned(spark, sf).select("row_pos", "id"))
+    return spark.sql("SELECT row_pos, id FROM aligned_customers")
+
+
+@query(f"SELECT string_agg(lpad(hex(b), 2, '0'), '' ORDER BY i) AS bits, sum(n)::BIGINT AS n_set FROM (SELECT i, coalesce(sum(1 << k), 0)::UTINYINT AS b, count(k) AS n FROM (SELECT unnest(range(0, 20000)) AS i) LEFT JOIN (SELECT (id // 8) AS i, (id % 8)::INTEGER AS k FROM ({ORDERED_IDS})) USING (i) GROUP BY 1)")
+def packed_selection(spark, sf):
+    ids = align.matched_ids([scan(spark, sf, "customer"), scan(spark, sf, "orders")], ["c_custkey", "o_custkey"])
+    got = align.packed_selection(ids, 160_000, "id")
+    return got.select(F.hex("bits").alias("bits"), "n_set")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY sha256('seed' || '|' || c_custkey), c_custkey) - 1 AS row_pos FROM customer")
+def shuffled(spark, sf):
+    return align.shuffled(scan(spark, sf, "customer").select("c_custkey"), "c_custkey", "seed")
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey DESC) - 1 AS target, c_custkey, c_name FROM customer")
+def gathered(spark, sf):
+    c = align.row_positions(scan(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    n = c.count()
+    return align.gather(c, c.select((F.lit(n - 1) - F.col("row_pos")).alias("target"), F.col("row_pos").alias("source"))).select("target", "c_custkey", "c_name")
+
+
 @query("SELECT c_custkey, dense_rank() OVER (ORDER BY c_nationkey)::INTEGER AS cluster FROM customer")
 def cluster_ids(spark, sf):
     return windows.dense_ids(scan(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "cluster").select("c_custkey", "cluster")
 
 
+@query("SELECT o_orderkey, cluster_id FROM orders JOIN (SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment)::INTEGER AS cluster_id FROM customer) ON o_custkey = c_custkey")
+def broadcast_cluster_ids(spark, sf):
+    return windows.broadcast_clusters(scan(spark, sf, "customer"), "c_custkey", "c_mktsegment", scan(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", GUARD).select("o_orderkey", "cluster_id")
+
+
+@query("SELECT count(*) AS n, round(sum(l_quantity * p_retailprice), 2) AS xy FROM lineitem JOIN part ON l_partkey = p_partkey")
+def cross_product(spark, sf):
+    return rounded(exact.cross_product(scan(spark, sf, "lineitem"), "l_partkey", "l_quantity", scan(spark, sf, "part"), "p_partkey", "p_retailprice", GUARD), 2, "xy")
+
+
 @query("SELECT n_nationkey, (24 - n_nationkey)::INTEGER AS row_pos FROM nation")
 def permuted(spark, sf):
     d = scan(spark, sf, "nation").select("n_nationkey").withColumn("row_pos", F.col("n_nationkey"))
@@ -462,11 +634,30 @@ def numeric_cross_moment(spark, sf):
     return families.cross_moment(both_units(spark, sf), BOTH, "c_acctbal", "o_totalprice")
 
 
+SHIFTED = {"admitted_count": [16], "numeric:o_totalprice": [16, 0, 0], "pair:c_acctbal,o_totalprice": [16, *[0] * 5], "gaussian:o_totalprice": [16, *[0] * 6], "gaussian_cross:o_totalprice": [0] * 7, "histogram:c_acctbal": [16] * 6, "categorical:c_mktsegment": [16] * 5, "categories:l_returnflag,l_linestatus": [16] * 6, "categories_cross:o_orderpriority,l_linestatus": [0] * 10, "survival": [16] * 13}
+UPPER = 1 << 50
+MOVED = " UNION ALL ".join(f"SELECT '{b}' AS block, {i}::BIGINT AS coord, {x}::INTEGER AS shift" for b, own in SHIFTED.items() for i, x in enumerate(own, 1))
+
+
+@query(f"SELECT v.block, v.coord, v.value << shift AS value, {UPPER}::BIGINT AS upper FROM ({SQL['capsule_vector']}) v JOIN ({MOVED}) USING (block, coord)")
+def lattice_vector(spark, sf):
+    return release.on_lattice(capsule_vector(spark, sf), 16, SHIFTED, {b: [UPPER] * len(x) for b, x in SHIFTED.items()})
+
+
 @query(f"SELECT d.coord, d.level, count(c_custkey) AS n FROM (SELECT unnest(range(1, 6))::BIGINT AS coord, unnest([{', '.join(repr(s) for s in SEGMENTS)}]) AS level) d LEFT JOIN (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) ON c_mktsegment = level GROUP BY 1, 2")
 def frequency(spark, sf):
     c = scan(spark, sf, "customer")
     ids = align.matched_ids([c, scan(spark, sf, "orders")], ["c_custkey", "o_custkey"])
-    return families.frequency(c.join(ids, c.c_custkey == ids.id, "left_semi"), SEGMENTS, "c_mktsegment")
+    matched = c.join(ids, c.c_custkey == ids.id, "left_semi")
+    return families.frequency(families.one_row_a_unit(matched, "c_custkey", 1 << 40), SEGMENTS, "c_mktsegment")
+
+
+PLANNED = DescribeSpec({"o_totalprice": tuple(DGRID)})
+
+
+@query("SELECT variable, unnest(range(1, 10))::INTEGER AS coord, 0.25::DOUBLE AS epsilon, unnest([1.0, 65536.0, 65536.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])::DOUBLE AS sensitivity FROM (SELECT 'o_totalprice' AS variable)")
+def describe_plan(spark, sf):
+    return spark.createDataFrame(PLANNED.plan(ORDERS, 1.0), "variable string, coord int, epsilon double, sensitivity double")
 
 
 @query("SELECT l_orderkey // 100 AS segment, sum(l_quantity) AS total FROM lineitem GROUP BY 1")
@@ -485,7 +676,8 @@ def count_noised(spark, sf):
 @query()
 def frequency_noised(spark, sf):
     blocks = frequency(spark, sf).select(F.lit("frequency").alias("block"), "coord", F.col("n").alias("value"))
-    return release.noised(blocks, "frequency-1", SECRET, 1.0, 1.0, mechanism="convolution")
+    mechanism, _ = noise.frequency_backend(len(SEGMENTS), 1.0, 1e-6, "add_remove")
+    return release.noised(blocks, "frequency-1", SECRET, 1.0, 1.0, mechanism=mechanism, sigma=noise.plan_gaussian(len(SEGMENTS), 1.0, 1e-6, 1.0).sigma2 ** 0.5)
 
 
 @query()
@@ -494,10 +686,26 @@ def vector_noised(spark, sf):
     return release.noised(blocks, "vector-1", SECRET, 1.0, 1.0, mechanism="gaussian", sigma=noise.gaussian_sigma(1.0, 1.0, 1e-6))
 
 
-@query("SELECT 0::BIGINT AS different")
+@query(f"SELECT block, coord, floor(abs(ln(0.05 / n)) + 0.5)::BIGINT AS radius_all, floor(abs(ln(0.05)) + 0.5)::BIGINT AS radius FROM ({PAIRS}), (SELECT count(*) AS n FROM ({PAIRS}))")
+def release_radii(spark, sf):
+    return release.noised(categorical_pairs_same_owner(spark, sf), "radii", SECRET, 1.0, 1.0).select("block", "coord", "radius_all", "radius")
+
+
+@query("SELECT 0::BIGINT AS different, 6::BIGINT AS kept")
 def release_replay(spark, sf):
-    a, b = count_noised(spark, sf), count_noised(spark, sf)
-    return a.join(b, ["block", "coord", "value"], "full_outer").agg((F.count(F.lit(1)) - 1).alias("different"))
+    """A release stored once: a second caller with another secret gets the first one's values."""
+    folder = tables.shared_folder(spark, "releases")
+    ledger, blocks = release.Ledger(folder), categorical_pairs_same_owner(spark, sf)
+    first = ledger.release("pairs", lambda: release.noised(blocks, "pairs-1", SECRET, 1.0, 0.01))
+    again = ledger.release("pairs", lambda: release.noised(blocks, "pairs-1", b"another", 1.0, 0.01))
+    same = first.join(again, ["block", "coord", "value"])
+    return first.agg(F.count(F.lit(1)).alias("n")).crossJoin(same.agg(F.count(F.lit(1)).alias("kept"))).select((F.col("n") - F.col("kept")).alias("different"), "kept")  # one row each
+
+
+@query()
+def mechanism_gaussian(spark, sf):
+    rows = [(*noise.capsule_mechanism([("count", 1), ("moments", 3), ("pair", 6), ("histogram", n)], 65536, 1, 1.0, 1e-6), n) for n in (6, 100, 10_000)]
+    return spark.createDataFrame([(m, int(r), float(a), float(b), n) for m, r, a, b, n in rows], "mechanism string, radius long, l1 double, l2 double, bins int")
 
 
 @query("SELECT 'laplace' AS mechanism, floor(abs(ln(0.05 / n)) * 6.0 / eps + 0.5)::BIGINT AS radius, n::INTEGER AS n, eps FROM (VALUES (1, 1.0::DOUBLE), (10, 0.5::DOUBLE), (100, 2.0::DOUBLE)) t(n, eps)")
@@ -510,14 +718,39 @@ def mechanism_choice(spark, sf):
 
 CONTINGENCY = """WITH d AS (SELECT lang AS a, toxic::VARCHAR AS b FROM labels JOIN documents USING (doc_id)), c AS (SELECT a, b, count(*) AS n FROM d GROUP BY 1, 2),
 r AS (SELECT a, count(*) AS na FROM d GROUP BY 1), k AS (SELECT b, count(*) AS nb FROM d GROUP BY 1),
-x AS (SELECT r.a, k.b, coalesce(c.n, 0) AS n, coalesce(c.n, 0) BETWEEN 1 AND 2 OR na < 3 OR nb < 3 AS suppressed FROM r CROSS JOIN k LEFT JOIN c ON c.a = r.a AND c.b = k.b)
-SELECT a, b, CASE WHEN suppressed THEN 0 ELSE n END AS n, suppressed FROM x"""
+x AS (SELECT r.a, k.b, coalesce(c.n, 0) AS n, na, nb, coalesce(c.n, 0) BETWEEN 1 AND 2 OR na < 3 OR nb < 3 AS suppressed FROM r CROSS JOIN k LEFT JOIN c ON c.a = r.a AND c.b = k.b),
+y AS (SELECT *, bool_or(suppressed) OVER (PARTITION BY a) AS ra, bool_or(suppressed) OVER (PARTITION BY b) AS cb FROM x)
+SELECT CASE WHEN na < 3 THEN '<suppressed>' ELSE a END AS a, CASE WHEN nb < 3 THEN '<suppressed>' ELSE b END AS b, CASE WHEN suppressed THEN 0 ELSE n END AS n, CASE WHEN NOT ra THEN na END::BIGINT AS row_total, CASE WHEN NOT cb THEN nb END::BIGINT AS col_total, suppressed FROM y"""
+
+
+def language_table(spark, sf):
+    return scan(spark, sf, "labels").join(scan(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("toxic", F.col("toxic").cast("string"))
 
 
 @query(CONTINGENCY)
 def contingency_exact(spark, sf):
-    d = scan(spark, sf, "labels").join(scan(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("toxic", F.col("toxic").cast("string"))
-    return exact.contingency(d, "lang", "toxic", GUARD)
+    return exact.contingency(language_table(spark, sf), "lang", "toxic", GUARD, suppress=True)
+
+
+@query("SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_returnflag)::BIGINT AS row_total, sum(count(*)) OVER (PARTITION BY l_linestatus)::BIGINT AS col_total, false AS suppressed FROM lineitem GROUP BY 1, 2")
+def contingency_open(spark, sf):
+    return exact.contingency(scan(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", GUARD)
+
+
+@query(f"SELECT count(*) FILTER (WHERE value IS NOT NULL AND event_type IS NOT NULL) AS n, count(*) FILTER (WHERE value IS NULL OR event_type IS NULL) AS n_na FROM ({GAPS})")
+def contingency_totals(spark, sf):
+    return exact.contingency_totals(with_gaps(spark, sf), "event_type", "value", GUARD)
+
+
+@query("SELECT 0 AS item, l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 1, o_orderstatus, o_orderpriority, count(*) FROM orders GROUP BY 2, 3")
+def joint_release(spark, sf):
+    return exact.joint_release([(scan(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"), (scan(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")], GUARD)
+
+
+@query("WITH c AS (SELECT l_returnflag AS a, o_orderpriority AS b, count(*)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), e AS (SELECT n, sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e FROM c) SELECT round(sum((n - e) * (n - e) / e), 6) AS chi2, ((SELECT count(DISTINCT a) - 1 FROM c) * (SELECT count(DISTINCT b) - 1 FROM c))::BIGINT AS df FROM e")
+def cross_chi_square(spark, sf):
+    d = scan(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").join(scan(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+    return rounded(exact.chi_square(exact.crosstab(d, "l_returnflag", "o_orderpriority")), 6, "chi2")
 
 
 EDGES = [0.0, 0.02, 0.05, 0.08]
@@ -543,29 +776,33 @@ def nb_profile_sums(spark, sf):
     return rounded(exact.nb_profile(scan(spark, sf, "lineitem"), "l_quantity", 2.5), 4, "sum_psi", "sum_psi1")
 
 
-LARGE = "(SELECT l.* FROM lineitem l WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 5))"
-
-
-def large(spark, sf):
-    return exact.with_large_clusters(scan(spark, sf, "lineitem"), "l_orderkey", 5)
-
-
-@query(f"SELECT l_orderkey AS cluster, count(*) AS n FROM {LARGE} GROUP BY 1")
+@query("SELECT l_suppkey AS cluster, count(*) AS n FROM lineitem GROUP BY 1")
 def cluster_sizes(spark, sf):
-    return exact.cluster_sizes(large(spark, sf), "l_orderkey", GUARD)
+    return exact.cluster_sizes(scan(spark, sf, "lineitem"), "l_suppkey", GUARD)
 
 
 RES = f"(l_quantity - {ETA})"
 
 
-@query(f"SELECT l_orderkey AS cluster, round(sum({RES}), 6) AS sum_r, round(sum({RES} * {RES}), 8) AS sum_r2, count(*) AS n FROM {LARGE} GROUP BY 1")
+@query(f"SELECT l_suppkey AS cluster, round(sum({RES}), 4) AS sum_r, round(sum({RES} * {RES}), 3) AS sum_r2, count(*) AS n FROM lineitem GROUP BY 1")
 def cluster_residuals(spark, sf):
-    return rounded(rounded(exact.cluster_residuals(large(spark, sf), "l_orderkey", F.col("l_quantity") - lines_eta()), 6, "sum_r"), 8, "sum_r2")
+    return rounded(rounded(exact.cluster_residuals(scan(spark, sf, "lineitem"), "l_suppkey", F.col("l_quantity") - lines_eta(), GUARD), 4, "sum_r"), 3, "sum_r2")
 
 
-@query(f"SELECT l_orderkey AS cluster, count(*)::DOUBLE AS z00, round(sum(l_discount), 8) AS z01, round(sum(l_discount * l_discount), 8) AS z11 FROM {LARGE} GROUP BY 1")
+@query("SELECT l_suppkey AS cluster, count(*)::DOUBLE AS z00, round(sum(l_discount), 6) AS z01, round(sum(l_discount * l_discount), 6) AS z11 FROM lineitem GROUP BY 1")
 def cluster_ztz(spark, sf):
-    return rounded(exact.cluster_ztz(large(spark, sf), "l_orderkey", [F.col("l_discount")]), 8, "z01", "z11")
+    return rounded(exact.cluster_ztz(scan(spark, sf, "lineitem"), "l_suppkey", [F.col("l_discount")], GUARD), 6, "z01", "z11")
+
+
+@query("SELECT round(sum(l_quantity), 2) AS total FROM lineitem")
+def guarded_sum(spark, sf):
+    return rounded(exact.guarded_sum(scan(spark, sf, "lineitem"), F.col("l_quantity"), GUARD), 2, "total")
+
+
+@query("SELECT 'quantity' AS key, 0 AS position, round(sum(l_quantity), 2) AS total FROM lineitem UNION ALL SELECT 'quantity', 1, round(sum(l_tax), 2) FROM lineitem UNION ALL SELECT 'price', 0, round(sum(o_totalprice), 2) FROM orders")
+def stored_sums(spark, sf):
+    lines, orders = scan(spark, sf, "lineitem"), scan(spark, sf, "orders")
+    return rounded(exact.stored_sums([("quantity", lines, F.col("l_quantity")), ("quantity", lines, F.col("l_tax")), ("price", orders, F.col("o_totalprice"))], GUARD), 2, "total")
 
 
 @query("SELECT count(*) AS k, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 8) AS mean, round(sum(w), 3) AS ssw, round(sum(s * s / n) - sum(s) * sum(s) / sum(n), 3) AS ssb FROM (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS s, var_pop(l_quantity) * count(*) AS w FROM lineitem GROUP BY 1)")
@@ -581,15 +818,35 @@ def lmm_within_cov(spark, sf):
     return rounded(exact.within_covariance(scan(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_orderkey"), 3, "value")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity - 0.4 * avg(l_quantity) OVER (PARTITION BY l_orderkey), 8) AS l_quantity_t, 0.6::DOUBLE AS intercept_t FROM lineitem")
+SHARES = "(SELECT DISTINCT l_suppkey AS cluster, (l_suppkey % 10) / 10.0::DOUBLE AS share FROM lineitem)"
+GLS = f"(SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - share * avg(l_quantity) OVER w AS q, l_discount - share * avg(l_discount) OVER w AS d, 1 - share AS i FROM lineitem JOIN {SHARES} ON l_suppkey = cluster WINDOW w AS (PARTITION BY l_suppkey))"
+
+
+def shares(spark, sf):
+    return scan(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cluster")).distinct().withColumn("share", (F.col("cluster") % 10) / 10.0)
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, round(q, 8) AS l_quantity_t, round(i, 8) AS intercept_t FROM {GLS}")
 def gls_transform(spark, sf):
-    d = exact.gls_transform(scan(spark, sf, "lineitem"), ["l_quantity"], "l_orderkey", 0.4)
-    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity_t", "intercept_t"), 8, "l_quantity_t")
+    d = exact.gls_transform(scan(spark, sf, "lineitem"), ["l_quantity"], "l_suppkey", shares(spark, sf))
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity_t", "intercept_t"), 8, "l_quantity_t", "intercept_t")
 
 
-@query("SELECT unnest([0, 0, 1, 0, 1, -1]) AS i, unnest([0, 1, 1, -1, -1, -1]) AS j, unnest([count(*)::DOUBLE, round(sum(l_discount), 4), round(sum(l_discount * l_discount), 4), round(sum(l_quantity), 4), round(sum(l_discount * l_quantity), 4), round(sum(l_quantity * l_quantity), 4)]) AS value FROM lineitem")
+@query(f"SELECT unnest([0, 0, 1, 0, 1, -1]) AS i, unnest([0, 1, 1, -1, -1, -1]) AS j, unnest([round(sum(d * d), 1), round(sum(d * i), 1), round(sum(i * i), 1), round(sum(d * q), 1), round(sum(i * q), 1), round(sum(q * q), 1)]) AS value FROM {GLS}")
 def lmm_gram(spark, sf):
-    return rounded(exact.gram(scan(spark, sf, "lineitem"), [F.lit(1.0), F.col("l_discount")], F.col("l_quantity")), 4, "value")
+    got = exact.gls_gram(scan(spark, sf, "lineitem"), ["l_discount"], "l_quantity", "l_suppkey", shares(spark, sf), GUARD)
+    return rounded(got, 1, "value")
+
+
+@query(f"SELECT unnest([0, 0, 1, -2, -2]) AS i, unnest([0, 1, 1, 0, 1]) AS j, unnest([round(sum(d * d) / (a * a), 6), round(sum(d * i) / (a * b), 6), round(sum(i * i) / (b * b), 6), round(a, 4), round(b, 4)]) AS value FROM {GLS}, (SELECT sqrt(sum(d * d)) AS a, sqrt(sum(i * i)) AS b FROM {GLS}) GROUP BY a, b")
+def lmm_gram_unit_length(spark, sf):
+    got = exact.gls_gram(scan(spark, sf, "lineitem"), ["l_discount"], None, "l_suppkey", shares(spark, sf), GUARD, unit_length=True)
+    return got.withColumn("value", F.when(F.col("i") == -2, F.round("value", 4)).otherwise(F.round("value", 6)))
+
+
+@query("SELECT unnest([0, 0, 1, 0, 1, -1]) AS i, unnest([0, 1, 1, -1, -1, -1]) AS j, unnest([count(*)::DOUBLE, round(sum(l_discount), 4), round(sum(l_discount * l_discount), 4), round(sum(l_quantity), 4), round(sum(l_discount * l_quantity), 4), round(sum(l_quantity * l_quantity), 4)]) AS value FROM lineitem")
+def single_cluster_gram(spark, sf):
+    return rounded(exact.gram(scan(spark, sf, "lineitem"), [F.lit(1.0), F.col("l_discount")], F.col("l_quantity"), GUARD), 4, "value")
 
 
 # ---- models --------------------------------------------------------------------------------------
@@ -620,6 +877,57 @@ for _family in MEANS:
     _gradient(_family)
 
 
+@query(f"SELECT unnest([0, 1, 2]) AS j, unnest([round(sum(w * (m - y)), 4), round(sum(w * q * (m - y)), 4), round(sum(w * k * (m - y)), 4)]) AS value FROM (SELECT q, k, y, (1 + k) AS w, exp(least(8.0, greatest(-3.0, {LETA} + 0.01 * k))) AS m FROM {LABELLED})")
+def glm_gradient_weighted(spark, sf):
+    d = labelled(spark, sf).withColumn("w", F.lit(1.0) + F.col("k")).withColumn("o", F.lit(0.01) * F.least(F.col("k"), F.lit(1e6)))
+    d = models.with_offset(models.with_weights(d, "w"), "o")
+    return rounded(models.gradient(d, [F.col("q"), F.col("k")], F.col("y"), "poisson", [0.2, 0.01], -1.0, F.col("weight"), F.col("offset"), GUARD), 4, "value")
+
+
+@query(f"SELECT unnest([0, 1, 2]) AS j, unnest([round(sum({MEANS['binomial']} - y), 5), round(sum(q * ({MEANS['binomial']} - y)), 5), round(sum(k * ({MEANS['binomial']} - y)), 5)]) AS value FROM {LABELLED}")
+def glm_gradient_guarded(spark, sf):
+    d = models.without_offset(models.with_offset(labelled(spark, sf).withColumn("o", F.lit(0.0)), "o"))
+    return rounded(models.gradient(d, [F.col("q"), F.col("k")], F.col("y"), "binomial", [0.2, 0.01], -1.0, guard=GUARD), 5, "value")
+
+
+@query("SELECT o_orderkey, round((CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) - exp(0.1 + 0.2 * o_totalprice / 500000.0) / (1 + exp(0.1 + 0.2 * o_totalprice / 500000.0) + exp(-0.3 + 0.1 * o_totalprice / 500000.0)), 10) AS r FROM orders")
+def indicator_residuals(spark, sf):
+    d = scan(spark, sf, "orders").withColumn("x", F.col("o_totalprice") / 500000.0)
+    e = {k: F.exp(v) for k, v in models.multiple_eta([F.col("x")], {"F": [0.1, 0.2], "O": [-0.3, 0.1]}).items()}
+    r = models.indicator_residual(F.col("o_orderstatus"), "F", e["F"] / (1 + e["F"] + e["O"]))
+    return rounded(d.select("o_orderkey", r.alias("r")), 10, "r")
+
+
+@query(f"SELECT event_id, round(least(5.0, greatest(-5.0, user_id / 100.0 - 3)) + least(5.0, greatest(-5.0, value / 50 - 2)), 8) AS eta, round(value + 2.5, 8) AS shifted FROM ({GAPS}) WHERE value IS NOT NULL")
+def nb_predictor(spark, sf):
+    d = models.nb_eta(with_gaps(spark, sf).select("event_id", "user_id", "value"), "value", F.col("user_id") / 100.0 - 3, F.col("value") / 50 - 2, GUARD)
+    return rounded(d.select("event_id", "eta", models.nb_shifted(F.col("value"), 2.5).alias("shifted")), 8, "eta", "shifted")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(l_quantity, 0) - 0.5 * l_discount - (1.0 + 0.2 * l_tax), 8) AS r, 1.0::DOUBLE AS intercept FROM lineitem")
+def lmm_residuals(spark, sf):
+    d = models.gee_intercept(scan(spark, sf, "lineitem"))
+    r = models.lmm_residual(F.col("l_quantity"), 0.5 * F.col("l_discount"), F.col("intercept") + 0.2 * F.col("l_tax"))
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", r.alias("r"), "intercept"), 8, "r")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount, 8) AS own, round(l_quantity + l_tax, 8) AS peer FROM lineitem")
+def shaped_design(spark, sf):
+    d = scan(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array("l_discount", "l_quantity", "l_tax").alias("x"))
+    d = models.shaped(d, 1, 2)
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_partkey", models.column("own", 0).alias("own"), (models.column("peer", 0) + models.column("peer", 1)).alias("peer")), 8, "own", "peer")
+
+
+GLM = GlmSpec("poisson", "l_quantity", ("l_tax", "l_discount"), {"l_quantity": (0.0, 50.0), "l_tax": (0.0, 0.05), "l_discount": (0.0, 1.0)}, grid_bits=16, block_rows=1000)
+
+
+@query("SELECT position // 1000 AS block, position, 65536::BIGINT AS weight, 65536 + round_even(l_discount * 65536.0, 0)::BIGINT + 3 * round_even(least(l_tax, 0.05) * 65536.0, 0)::BIGINT AS x, round_even(l_quantity * 65536.0, 0)::BIGINT AS y, 0::BIGINT AS offset FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) - 1 AS position FROM lineitem)")
+def glm_source_rows(spark, sf):
+    rows = align.row_positions(scan(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "position")
+    d = models.glm_block(rows, GLM, "position")
+    return d.withColumn("x", models.column("x", 0) + models.column("x", 1) + 3 * models.column("x", 2))
+
+
 @query(f"SELECT round(sum(pow(y - {LETA}, 2)), 6) AS rss, round(sum(greatest({LETA}, 0.0) + ln(1 + exp(-abs({LETA})))), 6) AS sum_softplus, round(sum(y * {LETA}), 6) AS sum_y_eta, round(sum({MEANS['poisson']}), 6) AS sum_mu, round(sum(CASE WHEN y > 0 THEN y * ln(y) ELSE 0 END - y), 6) AS null_term FROM {LABELLED}")
 def glm_deviance(spark, sf):
     d, y, eta = labelled(spark, sf), F.col("y"), scalar.linear([F.col("q"), F.col("k")], [0.2, 0.01], -1.0)
@@ -637,7 +945,7 @@ def weighted_residual(spark, sf):
 RISK_ROWS = f"SELECT t AS stop, outcome = 'error' AS died, (user_id % 2)::DOUBLE AS x FROM ({SURVIVAL})"
 GRID_SQL = f"(SELECT unnest({[float(g) for g in DAYS]}) AS tick)"
 LAST = "tick = (CASE " + " ".join(f"WHEN stop >= {g} THEN {g}" for g in reversed(DAYS)) + " END)"
-RISK = f"SELECT tick::DOUBLE AS tick, count(*) AS at_risk, count(*) FILTER (WHERE died AND {LAST}) AS events, sum(CASE WHEN died AND {LAST} THEN x ELSE 0 END) AS sum_x, round(sum(exp(0.3 * x)), 8) AS s0, round(sum(exp(0.3 * x) * x), 8) AS s1, round(sum(exp(0.3 * x) * x * x), 8) AS s2 FROM {GRID_SQL} JOIN ({RISK_ROWS}) ON stop >= tick GROUP BY 1"
+RISK = f"SELECT tick::DOUBLE AS tick, count(stop) AS at_risk, count(*) FILTER (WHERE died AND {LAST}) AS events, coalesce(sum(CASE WHEN died AND {LAST} THEN x ELSE 0 END), 0) AS sum_x, coalesce(round(sum(exp(0.3 * x)), 8), 0) AS s0, coalesce(round(sum(exp(0.3 * x) * x), 8), 0) AS s1, coalesce(round(sum(exp(0.3 * x) * x * x), 8), 0) AS s2 FROM {GRID_SQL} LEFT JOIN ({RISK_ROWS}) ON stop >= tick GROUP BY 1"
 
 
 def risk(spark, sf):
@@ -650,36 +958,101 @@ def cox_risk_sets(spark, sf):
     return rounded(risk(spark, sf), 8, "s0", "s1", "s2")
 
 
-@query(f"SELECT round(sum(0.3 * sum_x - events * ln(s0)), 5) AS loglik, round(sum(sum_x - events * s1 / s0), 5) AS score, round(sum(events * (s2 / s0 - (s1 / s0) * (s1 / s0))), 5) AS information FROM ({RISK})")
+@query(f"SELECT round(sum(0.3 * sum_x - events * ln(s0)), 5) AS loglik, round(sum(sum_x - events * s1 / s0), 5) AS score, round(sum(events * (s2 / s0 - (s1 / s0) * (s1 / s0))), 5) AS information FROM ({RISK}) WHERE events > 0")
 def cox_score(spark, sf):
     got = models.cox_parts(risk(spark, sf), 0.3)
     return rounded(spark.createDataFrame([tuple(map(float, got))], "loglik double, score double, information double"), 5, "loglik", "score", "information")
 
 
+COX = CoxSpec((1.0, 2.0, 3.0, 4.0, 5.0, 6.0), {"x1": (0.0, 1.0), "x2": (-1.0, 1.0)}, 1 << 20, 2.0, 3.0, ridge=1e-6)
+
+
+def cox_table(spark, sf):
+    """Users on the grid of their days: entry, stop, status and two covariates; every thirteenth is out of bounds."""
+    u = survival_units(spark, sf).where("valid")
+    stop = scalar.bin_right_closed(F.col("time"), DAYS[:-1])
+    x2 = F.when(F.col("unit") % 13 == 0, F.lit(5.0)).otherwise((F.col("unit") % 5) / 4.0 - 0.5)
+    rows = u.select("unit", F.lit(True).alias("valid"), F.lit(0).alias("entry_index"), stop.alias("stop_index"), (F.col("outcome") == "error").cast("int").alias("status"), (F.col("unit") % 2).cast("double").alias("x1"), x2.cast("double").alias("x2"))
+    return models.cox_rows(rows, ["x1", "x2"], COX)
+
+
+COX_ROWS = f"SELECT user_id AS unit, user_id % 13 <> 0 AS valid, CASE WHEN user_id % 13 <> 0 THEN {bins('t', DAYS)} ELSE 1 END AS stop_index, CASE WHEN user_id % 13 <> 0 AND outcome = 'error' THEN 1 ELSE 0 END AS status, CASE WHEN user_id % 13 <> 0 THEN (user_id % 2)::DOUBLE ELSE 0 END AS x1, CASE WHEN user_id % 13 <> 0 THEN (user_id % 5) / 4.0::DOUBLE - 0.5 ELSE 0 END AS x2 FROM ({SURVIVAL})"
+
+
+@query(f"SELECT unit, valid, stop_index::INTEGER AS stop_index, status, x1, x2 FROM ({COX_ROWS})")
+def cox_source_rows(spark, sf):
+    return cox_table(spark, sf).select("unit", "valid", "stop_index", "status", "x1", "x2")
+
+
+COX_SUMS = f"SELECT tick, count(*) FILTER (WHERE status = 1 AND stop_index = tick) AS d, sum(x1) FILTER (WHERE status = 1 AND stop_index = tick) AS e1, sum(x2) FILTER (WHERE status = 1 AND stop_index = tick) AS e2, sum(w) AS s0, sum(w * x1) AS a, sum(w * x2) AS b, sum(w * x1 * x1) AS aa, sum(w * x1 * x2) AS ab, sum(w * x2 * x2) AS bb FROM (SELECT unnest(range(1, 7)) AS tick) JOIN (SELECT *, exp(0.2 * x1 - 0.1 * x2) AS w FROM ({COX_ROWS}) WHERE valid) ON stop_index >= tick GROUP BY 1"
+
+
+@query(f"SELECT round(sum(0.2 * e1 - 0.1 * e2 - d * ln(s0)) - 1048576 * 1e-6 * 0.025, 4) AS loglik, round(sum(e1 - d * a / s0) - 1048576 * 1e-6 * 0.2, 4) AS score1, round(sum(e2 - d * b / s0) + 1048576 * 1e-6 * 0.1, 4) AS score2, round(sum(d * (aa / s0 - a * a / s0 / s0)) + 1048576 * 1e-6, 4) AS i11, round(sum(d * (ab / s0 - a * b / s0 / s0)), 4) AS i12, round(sum(d * (bb / s0 - b * b / s0 / s0)) + 1048576 * 1e-6, 4) AS i22 FROM ({COX_SUMS}) WHERE d > 0")
+def cox_vector_score(spark, sf):
+    value, score, info = models.cox_at(cox_table(spark, sf), ["x1", "x2"], [0.2, -0.1], COX)
+    row = (value, *score, info[0, 0], info[0, 1], info[1, 1])
+    d = spark.createDataFrame([tuple(map(float, row))], "loglik double, score1 double, score2 double, i11 double, i12 double, i22 double")
+    return rounded(d, 4, *d.columns)
+
+
+@query("SELECT true AS stationary, false AS on_boundary, true AS curved")
+def cox_bounded_fit(spark, sf):
+    """Whether the fit is where the penalised score vanishes, within the bound, and identified."""
+    d = cox_table(spark, sf)
+    got = models.fit_cox_bounded(d, ["x1", "x2"], COX)
+    score = models.cox_at(d, ["x1", "x2"], got["beta"].tolist(), COX)[1]
+    return spark.createDataFrame([(bool(abs(score).max() < 1e-6), bool(got["on_boundary"]), bool(got["least_curvature"] > 1e-9))], "stationary boolean, on_boundary boolean, curved boolean")
+
+
+@query()
+def cox_private_fit(spark, sf):
+    draws = [[noise.normal(noise.Stream(SECRET, "cox-1", 2 * i + j)) for j in range(2)] for i in range(COX.iterations)]
+    beta = models.fit_cox_private(cox_table(spark, sf), ["x1", "x2"], COX, np.array(draws))
+    return spark.createDataFrame([tuple(map(float, beta))], "b1 double, b2 double")
+
+
+@query("SELECT unnest([false, true]) AS delayed, unnest([round(4 * 2.0 / n + exp(12.0) * 8.0 * ln(n + 1) / n, 8), round(4 * 2.0 / n + exp(12.0) * 8.0, 6)]) AS sensitivity FROM (SELECT 1048576.0::DOUBLE AS n)")
+def cox_sensitivity(spark, sf):
+    rows = [(delayed, round(models.cox_sensitivity(replace(COX, delayed=delayed))[0], 6 if delayed else 8)) for delayed in (False, True)]
+    return spark.createDataFrame(rows, "delayed boolean, sensitivity double")
+
+
+@query(f"SELECT unit, tick, (t = tick AND outcome = 'error')::INTEGER AS event FROM (SELECT user_id AS unit, outcome, floor(t) AS t FROM ({SURVIVAL})) JOIN (SELECT DISTINCT floor(t) AS tick FROM ({SURVIVAL}) WHERE outcome = 'error') ON t >= tick")
+def event_time_mask(spark, sf):
+    u = survival_units(spark, sf).where("valid").withColumn("time", F.floor("time").cast("double"))
+    return windows.event_time_mask(u, "time", F.col("outcome") == "error").select("unit", "tick", "event")
+
+
 @query(f"SELECT user_id AS unit, bin::INTEGER AS bin, (bin <= b)::INTEGER AS at_risk, (died AND bin = b)::INTEGER AS event FROM (SELECT user_id, outcome = 'error' AS died, {bins('t', DAYS)} AS b FROM ({SURVIVAL})), (SELECT unnest(range(1, 7)) AS bin)")
 def person_period(spark, sf):
     d = windows.person_periods(survival_units(spark, sf).where("valid"), "time", F.col("outcome") == "error", DAYS)
+    windows.check_risk_sets(d, GUARD)
     return d.select("unit", "bin", "at_risk", "event")
 
 
 ORDERED = "l_shipdate, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
 
 
-def _running(name: str, strata: str, reverse: bool):
+def _running(name: str, strata: str, reverse: bool, mask: str | None = None):
     frame = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING" if reverse else "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    sql = f"SELECT l_orderkey, l_partkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY {strata} ORDER BY {ORDERED}, l_orderkey {frame}) AS running FROM lineitem"
+    within = f"PARTITION BY {strata} " if strata else ""
+    term = f"CASE WHEN {mask} THEN l_quantity ELSE 0 END" if mask else "l_quantity"
+    sql = f"SELECT l_orderkey, l_partkey, l_linenumber, sum({term}) OVER ({within}ORDER BY {ORDERED}, l_orderkey {frame}) AS running FROM lineitem"
 
     def run(spark, sf):
-        d = windows.running_sum(scan(spark, sf, "lineitem"), F.col("l_quantity"), [*ORDERED.split(", "), "l_orderkey"], strata.split(", "), reverse)
+        own = F.expr(f"CAST({mask} AS INT)") if mask else None
+        d = windows.running_sum(scan(spark, sf, "lineitem"), F.col("l_quantity"), [*ORDERED.split(", "), "l_orderkey"], strata.split(", ") if strata else None, reverse, mask=own)
         return d.select("l_orderkey", "l_partkey", "l_linenumber", "running")
 
     run.__name__ = name
     query(sql)(run)
 
 
-_running("cumsum_forward", "l_orderkey", False)
-_running("cumsum_reverse", "l_orderkey", True)
-_running("cumsum_stratified", "l_suppkey, l_returnflag", False)
+_running("cumsum_forward", "", False)
+_running("cumsum_reverse", "", True)
+_running("cumsum_stratified", "l_returnflag", False)
+_running("cumsum_stratified_reverse", "l_returnflag, l_linestatus", True)
+_running("cumsum_masked", "l_suppkey", False, "l_returnflag = 'R'")
 
 
 @query("SELECT l_shipdate AS key, sum(sum(l_quantity)) OVER (ORDER BY l_shipdate DESC) AS quantity FROM lineitem GROUP BY 1")
@@ -693,6 +1066,7 @@ W = f"(PARTITION BY l_orderkey ORDER BY {ORDERED})"
 @query(f"SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, coalesce(lag(l_quantity) OVER {W}, 0) AS lag, coalesce(lead(l_quantity) OVER {W}, 0) AS lead, CASE WHEN lag(1) OVER {W} IS NOT NULL THEN l_quantity ELSE 0 END AS nonfirst, CASE WHEN lead(1) OVER {W} IS NOT NULL THEN l_quantity ELSE 0 END AS nonlast, CASE WHEN lag(1) OVER {W} IS NOT NULL AND lead(1) OVER {W} IS NOT NULL THEN l_quantity ELSE 0 END AS interior FROM lineitem")
 def ar1_lead_lag(spark, sf):
     d = scan(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", *[c for c in ORDERED.split(", ") if c != "l_linenumber"])
+    windows.check_strict_order(d, "l_orderkey", ORDERED.split(", "))
     return windows.neighbours(d, "l_orderkey", ORDERED.split(", "), "l_quantity").drop("l_shipdate", "l_suppkey", "l_extendedprice")
 
 
@@ -733,6 +1107,27 @@ def impute_ridge(spark, sf):
     return models.impute_ridge(d, "l_quantity", ["l_extendedprice", "l_discount"], "id", "filled").select("l_orderkey", "l_partkey", "l_linenumber", "filled")
 
 
+HOLES = "(SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice / 1000 AS x, CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS y FROM lineitem)"
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, round(coalesce(y, b0 + b1 * x), 5) AS filled FROM {HOLES}, (SELECT (sy * (sxx + 1) - sx * sxy) / (n * (sxx + 1) - sx * sx) AS b0, (n * sxy - sx * sy) / (n * (sxx + 1) - sx * sx) AS b1 FROM (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM {HOLES} WHERE y IS NOT NULL))")
+def impute_ridge_mean(spark, sf):
+    d = scan(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("x"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_quantity")).alias("y"))
+    return rounded(models.impute_ridge(d, "y", ["x"], "l_orderkey", "filled", sigma=0.0).select("l_orderkey", "l_partkey", "l_linenumber", "filled"), 5, "filled")
+
+
+@query()
+def impute_classes(spark, sf):
+    d = scan(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("x"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("level"))
+    return models.impute_class(d, "level", ["x"], "o_orderkey", "filled").select("o_orderkey", "filled")
+
+
+@query()
+def impute_binary(spark, sf):
+    d = scan(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 4 != 0, F.col("l_linestatus")).alias("level"))
+    return models.impute_class(d, "level", ["l_quantity"], "l_orderkey", "filled").select("l_orderkey", "l_partkey", "l_linenumber", "filled")
+
+
 @query("SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS b0, round(regr_slope(l_extendedprice, l_quantity), 6) AS b1 FROM lineitem")
 def glm_fit_gaussian(spark, sf):
     b = models.fit_glm(scan(spark, sf, "lineitem"), [F.col("l_quantity")], F.col("l_extendedprice"))

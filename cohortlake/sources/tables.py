@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.policy import NAME, Policy
+from ..plans.policy import NAME, DatasetDescriptor, Policy, Refused
 
 ALLOWED = (T.BooleanType, T.NumericType, T.StringType, T.DateType, T.TimestampType, T.DayTimeIntervalType)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below the session's checkpoint folder, or, where none is set and all runs on one machine, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="shared-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder of Parquet files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,9 +34,10 @@ class Session:
     """Named tables of one user; a standardised copy is preferred to the table itself."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables, self.standardised = spark, {}, {}
+        self.spark, self.tables, self.standardised, self.frozen = spark, {}, {}, {}
 
     def assign(self, name: str, df: DataFrame) -> None:
+        """The sink of aligned tables: a table under a new name, which SQL sees too."""
         if not NAME.match(name):
             raise ValueError(f"{name!r} is no table name")
         self.tables[name] = df
@@ -32,6 +47,25 @@ class Session:
         found = self.standardised.get(name, self.tables.get(name))
         return found if found is not None else self.spark.table(name)
 
+    def snapshot(self, name: str, descriptor: DatasetDescriptor, order: str | None = None, expected: str | None = None) -> DataFrame:
+        """The table as a snapshot of a declared version, kept by its cache key.
+
+        With ``order`` and ``expected`` its digest must be the declared one, which is checked once.
+        """
+        df = self.resolve(name)
+        key = cache_key(descriptor, df)
+        if key not in self.frozen:
+            if expected is not None and digest(df, order).first()["sha256"] != expected:
+                raise Refused("the snapshot is not the declared version")
+            self.frozen[key] = snapshot(df)
+        return self.frozen[key]
+
+
+def cache_key(descriptor: DatasetDescriptor, df: DataFrame) -> str:
+    """A snapshot's key: the declared version, the columns and the plan that reads them."""
+    plan = f"{df.semanticHash():x}"
+    return hashlib.sha256("|".join([descriptor.key, *(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema), plan]).encode()).hexdigest()
+
 
 def snapshot(df: DataFrame) -> DataFrame:
     """All columns in byte order of their names; nested, binary and map columns are refused."""
@@ -43,18 +77,21 @@ def snapshot(df: DataFrame) -> DataFrame:
     return df.select(*sorted(df.columns, key=str.encode))
 
 
-def digest(df: DataFrame, order: str, block: int = 65_536) -> DataFrame:
-    """One row with a SHA-256 over the rows' order, in blocks of ``order // block``: blocks hash apart, then their hashes together.
+def digest(df: DataFrame, order: str, block: int = 65_536, fan: int = 4096, levels: int = 2) -> DataFrame:
+    """One row with a SHA-256 over the rows' order: a tree of hashes, of ``block`` rows and then of ``fan`` hashes each.
 
-    ``order`` is a column of distinct integers from 0 without gaps. Blocks are of a
-    fixed size, so none grows with the table; only their hashes come together.
+    ``order`` is a column of distinct integers from 0. Every node is of a fixed
+    size, so none grows with the table; ``levels`` of them above the blocks hold
+    ``block`` x ``fan`` ^ ``levels`` rows before the last one grows.
     """
     snap = snapshot(df.drop(order))
     cells = [F.coalesce(F.concat(F.lit("v"), F.octet_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("n")) for c in snap.columns]
-    rows = df.select(F.floor(F.col(order) / block).alias("block"), F.struct(F.col(order).alias("at"), F.sha2(F.concat(*cells), 256).alias("h")).alias("row"))
-    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list("row")).alias("rows")).select("block", F.sha2(F.array_join("rows.h", ""), 256).alias("h"))
-    whole = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "h"))).alias("b"), F.count(F.lit(1)).alias("n_blocks"))
-    return whole.select(F.sha2(F.concat(F.lit(",".join(snap.columns)), F.array_join("b.h", "")), 256).alias("sha256"), "n_blocks")
+    nodes = df.select(F.col(order).cast("long").alias("at"), F.sha2(F.concat(*cells), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for size in (block, *[fan] * levels):
+        own = F.array_sort(F.collect_list(F.struct("at", "h"))).alias("own")
+        nodes = nodes.groupBy(F.floor(F.col("at") / size).alias("to")).agg(own, F.sum("n").alias("n")).select(F.col("to").alias("at"), F.sha2(F.array_join("own.h", ""), 256).alias("h"), "n")
+    whole = nodes.agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("own"), F.sum("n").alias("n_rows"))
+    return whole.select(F.sha2(F.concat(F.lit(",".join(snap.columns)), F.array_join("own.h", "")), 256).alias("sha256"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def catalogue(spark: SparkSession, policy: Policy) -> DataFrame:
