@@ -113,10 +113,10 @@ def outcome_levels(spark, sf):
 
 DIGEST_COLUMNS = ("c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey")
 DIGEST = f"""WITH r AS (SELECT c_custkey AS p, sha256({' || '.join(f"coalesce('v' || strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in DIGEST_COLUMNS)}) AS h FROM customer),
-b AS (SELECT p // 256 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, count(*) AS n FROM r GROUP BY 1),
-c AS (SELECT p // 4 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM b GROUP BY 1),
-d AS (SELECT p // 4 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM c GROUP BY 1)
-SELECT sha256('{','.join(DIGEST_COLUMNS)}' || string_agg(h, '' ORDER BY p)) AS sha256, sum(n)::BIGINT AS n_rows FROM d"""
+b AS (SELECT p // 256 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, count(*) AS n, 1 AS m FROM r GROUP BY 1),
+c AS (SELECT p // 4 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n, sum(m) AS m FROM b GROUP BY 1),
+d AS (SELECT p // 4 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n, sum(m) AS m FROM c GROUP BY 1)
+SELECT sha256('{','.join(DIGEST_COLUMNS)}' || string_agg(h, '' ORDER BY p)) AS sha256, sum(n)::BIGINT AS n_rows, sum(m)::BIGINT AS n_blocks FROM d"""
 
 
 @query(DIGEST)

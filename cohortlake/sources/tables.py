@@ -86,12 +86,13 @@ def digest(df: DataFrame, order: str, block: int = 65_536, fan: int = 4096, leve
     """
     snap = snapshot(df.drop(order))
     cells = [F.coalesce(F.concat(F.lit("v"), F.octet_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("n")) for c in snap.columns]
-    nodes = df.select(F.col(order).cast("long").alias("at"), F.sha2(F.concat(*cells), 256).alias("h"), F.lit(1).cast("long").alias("n"))
-    for size in (block, *[fan] * levels):
+    nodes = df.select(F.col(order).cast("long").alias("at"), F.sha2(F.concat(*cells), 256).alias("h"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("m"))
+    for k, size in enumerate((block, *[fan] * levels)):
         own = F.array_sort(F.collect_list(F.struct("at", "h"))).alias("own")
-        nodes = nodes.groupBy(F.floor(F.col("at") / size).alias("to")).agg(own, F.sum("n").alias("n")).select(F.col("to").alias("at"), F.sha2(F.array_join("own.h", ""), 256).alias("h"), "n")
-    whole = nodes.agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("own"), F.sum("n").alias("n_rows"))
-    return whole.select(F.sha2(F.concat(F.lit(",".join(snap.columns)), F.array_join("own.h", "")), 256).alias("sha256"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+        blocks = F.sum("m") if k else F.lit(1).cast("long")
+        nodes = nodes.groupBy(F.floor(F.col("at") / size).alias("to")).agg(own, F.sum("n").alias("n"), blocks.alias("m")).select(F.col("to").alias("at"), F.sha2(F.array_join("own.h", ""), 256).alias("h"), "n", "m")
+    whole = nodes.agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("own"), F.sum("n").alias("n_rows"), F.sum("m").alias("n_blocks"))
+    return whole.select(F.sha2(F.concat(F.lit(",".join(snap.columns)), F.array_join("own.h", "")), 256).alias("sha256"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_blocks")])
 
 
 def catalogue(spark: SparkSession, policy: Policy) -> DataFrame:
