@@ -21,10 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     The folder is the session's ``spark.checkpoint.dir``; one in the machine's
-    temporary folder is set only where that is unset (tests, a laptop).
+    temporary folder is set only where that is unset and all runs on one
+    machine (tests, a laptop); elsewhere that is an error.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 

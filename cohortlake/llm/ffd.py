@@ -85,11 +85,14 @@ class _Chunks(dict):
             for word, a, z in zip(own, at, at[1:], strict=False):
                 self[word] = ids[a:z]
 
+    def forget(self) -> None:
+        self.clear()
+        self[""] = b""
+
     def learn(self, new: set[str]) -> None:
         """Encode these chunks."""
         if len(self) + len(new) > self.most:
-            self.clear()
-            self[""] = b""
+            self.forget()
         marked = [c for c in new if c[-1] in self.marks and c[:-1].isalpha()]
         words = {c for c in new if c.isalpha()} | {c[:-1] for c in marked if c[:-1] not in self}
         self._words(list(words))
@@ -118,12 +121,13 @@ def _chunks(path: str, most: int) -> _Chunks:
     return _Chunks(path, most)
 
 
-def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_col: str = "text", key: str = "doc_id", cache: int = 1_200_000) -> DataFrame:
+def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_col: str = "text", key: str = "doc_id", cache: int = 1_200_000, keep: bool = True) -> DataFrame:
     """``key`` and ``ids`` (binary, little-endian unsigned 32-bit, with ``end_id`` at the end).
 
     For tokenizers that cut at white space and drop it: ids of chunks between
     spaces and line breaks are joined, and each new chunk is encoded once.
     A null text is empty. ``tokenizer_path`` must be readable on every executor.
+    A worker holds ``cache`` chunks at most, and unless ``keep`` none when a task ends.
     """
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
@@ -131,8 +135,13 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_co
         ids = [b"".join([*chunks, end]) for chunks in _chunks(tokenizer_path, cache).encode(texts)]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
+    def encoded(batches):
+        yield from by_text("_text", run, 512 << 10)(batches)
+        if not keep:
+            _chunks(tokenizer_path, cache).forget()
+
     source = df.select(key, F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(by_text("_text", run, 512 << 10), schema(source, key, ids="binary"))
+    return source.mapInArrow(encoded, schema(source, key, ids="binary"))
 
 
 def _pieces(key: str, room: int, keep_ids: bool):

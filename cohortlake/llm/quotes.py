@@ -1,9 +1,13 @@
 """Quotation linking: messages, what they quote, and conversations in reply order.
 
 Lines that start with ``>`` marks are quotations, nested as deep as the marks.
-Every quoted line is normalised and hashed; the original is the earliest
-message of the conversation that has this line as its own words. A message
-replies to the message it quotes most at the lowest level found.
+Lines of one level that follow one another are one passage, however they are
+wrapped. A passage is normalised to its words and hashed by shingles of five
+words (a shorter one as a whole); what messages say themselves is hashed alike.
+The original of a passage is the message of the conversation in which most of
+its shingles stand first, if that is half of them at least. A message replies
+to the original of the passage that it quotes most at the lowest level found,
+and deeper passages confirm it if their originals are that message's own parent.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import by_text, cut, schema
+from ..operators import ranges
+from ._common import by_text, cut, schema, sieve, sifted
 
-ADDED = ("body", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth")
+ADDED = ("body", "n_quoted", "n_passages", "n_linked", "n_confirmed", "parent_turn", "root_turn", "depth")
+WIDTH = 5
 _MARKS = re.compile(r"\s{0,3}((?:>\s?)+)")
 _INTRODUCTION = re.compile(r"^(on .{3,200} wrote|.{1,80} (?:wrote|said|writes)|-+ ?original message ?-+)\s*:?\s*$", re.IGNORECASE)
+_WORDS = re.compile(r"\w+")
 
 
 def parse(text: str) -> list[tuple[int, str]]:
@@ -46,60 +53,117 @@ def body(lines: list[tuple[int, str]]) -> str:
     return "\n".join(kept).strip("\n")
 
 
-def normalised(line: str) -> str:
-    return " ".join(re.findall(r"\w+", line.lower()))
+def _hash(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
 
 
-def passages(text: str) -> list[tuple[int, int]]:
-    """Distinct (level, hash) of the lines with words."""
-    found = ((level, normalised(line)) for level, line in parse(text))
-    return sorted({(level, xxhash.xxh3_64_intdigest(n) - (1 << 63)) for level, n in found if n})
+def _words(line: str) -> list[str]:
+    return _WORDS.findall(line.lower())
+
+
+def shingles(words: list[str]) -> set[int]:
+    """Hashes of all runs of ``WIDTH`` words; fewer words are one."""
+    return {_hash(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))} if words else set()
+
+
+def runs(lines: list[tuple[int, str]]) -> list[tuple[int, list[list[str]]]]:
+    """(level, words of each line that has any) of lines of one level that follow one another."""
+    out: list[tuple[int, list[list[str]]]] = []
+    for level, line in lines:
+        if not out or out[-1][0] != level:
+            out.append((level, []))
+        if words := _words(line):
+            out[-1][1].append(words)
+    return [(level, own) for level, own in out if own]
+
+
+def passages(lines: list[tuple[int, str]]) -> list[tuple[int, set[int], set[int]]]:
+    """Level, shingles and lines of every quoted passage."""
+    return [(level, shingles([w for x in own for w in x]), {_hash(x) for x in own}) for level, own in runs(lines) if level]
+
+
+def said(lines: list[tuple[int, str]]) -> set[int]:
+    """Hashes of a message's own words: of their shingles, and of lines shorter than one, which may be quoted alone."""
+    out: set[int] = set()
+    for level, own in runs(lines):
+        if not level:
+            out |= shingles([w for x in own for w in x]) | {_hash(x) for x in own if len(x) < WIDTH}
+    return out
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text_col: str = "text") -> DataFrame:
     """Messages with their place in the conversation, in reply order, without quotations.
 
-    Adds ``body``, ``n_quoted`` (distinct quoted lines), ``n_linked`` (those with
-    an original), ``parent_turn`` (the message replied to; null if none is
-    quoted), ``root_turn`` (the first message of the thread) and ``depth``.
-    Ordering a conversation by ``root_turn, turn`` gives every message after
-    the one it answers. Ties between originals go to the later message.
-
-    Input columns of the added names are replaced. Null texts are empty. Rows of a null conversation or turn are kept without
-    links. Rows that repeat a turn count as one message when linking, and each
-    gets the links. Lines are pre-aggregated to their first message, so a line
-    that a third of all messages share is one row on that side of the join.
+    Adds ``body``, ``n_quoted`` (distinct quoted lines), ``n_passages`` (quoted
+    passages), ``n_linked`` (quoted lines of passages with an original),
+    ``n_confirmed`` (deeper passages whose original is the parent's parent),
+    ``parent_turn`` (the message replied to; null if none is quoted),
+    ``root_turn`` (the first message of the thread) and ``depth``. Ordering a
+    conversation by ``root_turn, turn`` gives every message after the one it
+    answers. Ties between originals go to the later message.
+
+    Input columns of the added names are replaced, others stay, whatever their
+    names. Null and empty texts say and quote nothing; very long ones are read
+    whole. Rows of a null conversation or turn are kept without links. Rows
+    that repeat a turn count as one message when linking, and each gets the
+    links. An empty table gives no rows. Shingles are pre-aggregated to their
+    first message, so words that a third of all messages share are one row on
+    that side of the join; only conversations with quotations are hashed.
     """
     extra = [c for c in messages.columns if c not in (conv, turn, text_col, *ADDED)]
+    names = {c: f"_x{i}" for i, c in enumerate(extra)}
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("hashes", pa.list_(pa.int64())), ("lines", pa.list_(pa.int64()))]))
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lines = [passages(t) for t in texts]
-        own = [[h for level, h in x if not level] for x in lines]
-        quoted = [[{"level": level, "hash": h} for level, h in x if level] for x in lines]
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
-        bodies = pa.array([body(parse(t)) for t in texts])
-        yield pa.RecordBatch.from_arrays([*part.columns[:-1], bodies, pa.array(own, pa.list_(pa.int64())), pa.array(quoted, kind)], [*part.schema.names[:-1], "body", "_own", "_quoted"])
-
-    source = messages.select(conv, turn, *extra, F.col(text_col).cast("string").alias("_text"))
-    parsed = cut(source.mapInArrow(by_text("_text", run), schema(source, *source.columns[:-1], body="string", _own="array<bigint>", _quoted="array<struct<level:int,hash:bigint>>")))
-
-    known = parsed.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
-    quotes = known.where(F.size("_quoted") > 0).select(conv, turn, F.explode("_quoted").alias("q")).select(conv, turn, F.col("q.level").alias("level"), F.col("q.hash").alias("hash")).distinct()
-    first = known.select(conv, turn, F.explode("_own").alias("hash")).groupBy(conv, "hash").agg(F.min(turn).alias("_from"))
-    linked = quotes.join(first, [conv, "hash"]).where(F.col("_from") < F.col(turn))
-    votes = linked.groupBy(conv, turn, "level", F.col("_from").alias("parent_turn")).agg(F.countDistinct("hash").alias("n"))
-    chosen = votes.groupBy(conv, turn).agg(F.max(F.struct(-F.col("level"), "n", "parent_turn")).getField("parent_turn").alias("parent_turn"), F.sum("n").alias("n_linked"))
-    place = _roots(cut(chosen), conv, turn)
-    out = parsed.join(place, [conv, turn], "left")
-    return out.select(conv, turn, *extra, "body", F.size(F.array_distinct("_quoted.hash")).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_turn", F.coalesce("root_turn", turn).alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
-
-
-def _roots(replies: DataFrame, conv: str, turn: str) -> DataFrame:
+        parsed = [parse(t) for t in texts]
+        quoted = [[{"level": level, "hashes": sorted(own), "lines": sorted(each)} for level, own, each in passages(p)] for p in parsed]
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([body(p) for p in parsed], pa.string()), pa.array(quoted, kind)], [*part.schema.names[:-1], "_body", "_quoted"])
+
+    def own(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([sorted(said(parse(t))) for t in texts], pa.list_(pa.int64()))], ["_conv", "_turn", "_said"])
+
+    source = messages.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), *[F.col(c).alias(n) for c, n in names.items()], F.col(text_col).cast("string").alias("_text"))
+    shape = schema(source, *source.columns[:-1], _body="string", _quoted="array<struct<level:int,hashes:array<bigint>,lines:array<bigint>>>")
+    parsed = cut(source.mapInArrow(by_text("_text", run, 2 << 20), shape))
+    known = F.col("_conv").isNotNull() & F.col("_turn").isNotNull()
+    quotes = parsed.where(known & (F.size("_quoted") > 0)).select("_conv", "_turn", F.posexplode("_quoted").alias("_at", "q"))
+    quotes = cut(quotes.select("_conv", "_turn", "_at", "q.level", "q.hashes", "q.lines").dropDuplicates(["_conv", "_turn", "level", "hashes"]))
+
+    spoken = sifted(source.where(known).select("_conv", "_turn", "_text"), "_conv", sieve(quotes.select("_conv").distinct(), "_conv", 1 << 22))
+    hashed = spoken.mapInArrow(by_text("_text", own, 2 << 20), schema(spoken, "_conv", "_turn", _said="array<bigint>"))
+    first = hashed.select("_conv", "_turn", F.explode("_said").alias("hash")).groupBy("_conv", "hash").agg(F.min("_turn").alias("_from"))
+    found = quotes.select("_conv", "_turn", "_at", "level", F.size("hashes").alias("n"), F.explode("hashes").alias("hash")).join(first, ["_conv", "hash"]).where("_from < _turn")
+    votes = found.groupBy("_conv", "_turn", "_at", "level", "n", "_from").agg(F.count(F.lit(1)).alias("held"))
+    best = votes.groupBy("_conv", "_turn", "_at", "level", "n").agg(F.max(F.struct("held", "_from")).alias("best")).where(F.col("best.held") * 2 >= F.col("n"))
+    linked = cut(best.join(quotes.select("_conv", "_turn", "_at", "lines"), ["_conv", "_turn", "_at"]).select("_conv", "_turn", "level", F.col("best.held").alias("held"), F.col("best._from").alias("_from"), "lines"))
+    chosen = linked.groupBy("_conv", "_turn").agg(F.max(F.struct(-F.col("level"), "held", "_from")).getField("_from").alias("parent_turn"), F.min("level").alias("_least"), F.size(F.array_distinct(F.flatten(F.collect_list("lines")))).cast("long").alias("n_linked"))
+    place = _roots(cut(chosen))
+    above = place.select("_conv", F.col("_turn").alias("parent_turn"), F.col("parent_turn").alias("_above"))
+    deeper = linked.join(place.select("_conv", "_turn", "parent_turn", "_least").join(above, ["_conv", "parent_turn"]), ["_conv", "_turn"]).where((F.col("level") == F.col("_least") + 1) & (F.col("_from") == F.col("_above")))
+    place = place.join(deeper.groupBy("_conv", "_turn").agg(F.count(F.lit(1)).alias("n_confirmed")), ["_conv", "_turn"], "left")
+    out = parsed.join(place, ["_conv", "_turn"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        F.col("_conv").alias(conv),
+        F.col("_turn").alias(turn),
+        *[F.col(n).alias(c) for c, n in names.items()],
+        F.col("_body").alias("body"),
+        F.size(F.array_distinct(F.flatten("_quoted.lines"))).cast("long").alias("n_quoted"),
+        F.size("_quoted").cast("long").alias("n_passages"),
+        F.coalesce("n_linked", zero).alias("n_linked"),
+        F.coalesce("n_confirmed", zero).alias("n_confirmed"),
+        "parent_turn",
+        F.coalesce("root_turn", "_turn").alias("root_turn"),
+        F.coalesce("depth", zero).alias("depth"),
+    )
+
+
+def _roots(replies: DataFrame) -> DataFrame:
     """``root_turn`` and ``depth`` of every reply by pointer doubling: as many rounds as the logarithm of the longest chain."""
     d = replies.withColumn("root_turn", F.col("parent_turn")).withColumn("depth", F.lit(1).cast("long"))
     while True:
-        up = d.select(conv, F.col(turn).alias("root_turn"), F.col("root_turn").alias("_next"), F.col("depth").alias("_more"))
-        d = cut(d.join(up, [conv, "root_turn"], "left").select(*replies.columns, F.coalesce("_next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("_moved")))
+        up = d.select("_conv", F.col("_turn").alias("root_turn"), F.col("root_turn").alias("_next"), F.col("depth").alias("_more"))
+        d = cut(d.join(up, ["_conv", "root_turn"], "left").select(*replies.columns, F.coalesce("_next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_next").isNotNull().alias("_moved")))
         if d.where("_moved").isEmpty():
             return d.drop("_moved")
         d = d.drop("_moved")
@@ -108,17 +172,18 @@ def _roots(replies: DataFrame, conv: str, turn: str) -> DataFrame:
 def conversations(linked: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: int = 64) -> DataFrame:
     """Number the messages of :func:`link` in reply order: adds ``position``, from 0 without gaps in each conversation.
 
-    Conversations are cut into ``parts`` ranges of threads (by root turn), which
-    are numbered apart and start where the range before ends, so a conversation
-    of any length is spread over tasks; ``parts`` bounds the counts of one.
+    All messages are numbered over ranges of conversation, thread and turn, and
+    a conversation's first number is taken off, so a conversation or thread of
+    any length, and all rows without a conversation, are spread over tasks.
+    ``role`` orders rows that repeat a turn, if there is such a column.
     """
-    ends = linked.groupBy(conv).agg(F.min("root_turn").alias("_lo"), F.max("root_turn").alias("_hi"))
-    joined = linked.join(ends, linked[conv].eqNullSafe(ends[conv])).drop(ends[conv])
-    d = joined.withColumn("_part", F.coalesce(F.least(F.lit(parts - 1), F.floor((F.col("root_turn") - F.col("_lo")) * parts / (F.col("_hi") - F.col("_lo") + 1))).cast("int"), F.lit(-1)))
-    counts = d.groupBy(conv, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(conv).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(conv).alias("_conv"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(conv, "_part").orderBy("root_turn", turn, role, "body")
-    d = d.withColumn("_at", F.row_number().over(within) - 1)
-    d = d.join(starts, F.col(conv).eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_of")))
-    return d.select(*linked.columns, (F.col("_start") + F.col("_at")).cast("long").alias("position"))
+    renamed = linked.withColumnsRenamed({c: f"_y{i}" for i, c in enumerate(linked.columns)})
+    at = {c: f"_y{i}" for i, c in enumerate(linked.columns)}
+    order = [at[conv], at["root_turn"], at[turn]]
+    d, _ = ranges.ranged(cut(renamed), order, parts)
+    ties = [at[c] for c in (role, "body") if c in at]
+    d = d.withColumn("_at", F.row_number().over(Window.partitionBy(ranges.PART).orderBy(*order, *ties)))
+    d = d.join(ranges.starts(d, F.count(F.lit(1)), "_start"), ranges.PART).withColumn("_no", F.col("_start") + F.col("_at"))
+    firsts = d.groupBy(F.col(at[conv]).alias("_of")).agg(F.min("_no").alias("_first"))
+    d = d.join(firsts, F.col(at[conv]).eqNullSafe(F.col("_of")))
+    return d.select(*[F.col(n).alias(c) for c, n in at.items() if c != "position"], (F.col("_no") - F.col("_first")).cast("long").alias("position"))
