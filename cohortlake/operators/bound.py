@@ -60,13 +60,24 @@ def admit(df: DataFrame, policy: Policy) -> int:
     return got["units"]
 
 
-def _mean(x: Column, digits: int | None) -> Column:
-    """Mean of finite values; with ``digits`` summed as decimals, so that no order of rows can change it."""
+def _mean(x: Column, digits: int | None, most: float = float("inf")) -> Column:
+    """Mean of finite values; with ``digits`` summed in whole numbers of the last digit, so that no order of rows can change it.
+
+    ``most`` bounds the sum's absolute value: what doubles hold exactly is
+    summed as longs, anything larger as decimals.
+    """
     if digits is None:
         return F.avg(x)
+    if most * 10.0**digits < 2**53:
+        return F.sum(F.rint(x * F.lit(10.0**digits)).cast("long")) / F.lit(10.0**digits) / F.count(x)
     return F.sum(x.cast(f"decimal(28,{digits})")).cast("double") / F.count(x)
 
 
+def _most(policy: Policy, column: str) -> float:
+    """The largest sum of a unit's clipped values."""
+    return max(map(abs, policy.bounds[column])) * policy.max_records
+
+
 def _per_unit(df: DataFrame, policy: Policy, *aggregates: Column) -> DataFrame:
     return df.groupBy(F.col(policy.unit).alias("unit")).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
 
@@ -76,7 +87,7 @@ def bounded_numeric(df: DataFrame, policy: Policy, column: str, digits: int | No
     lo, hi = policy.bounds[column]
     x = F.col(column).cast("double")
     clipped = F.when(finite(x), clip(x, lo, hi))
-    per = _per_unit(df, policy, clip(_mean(clipped, digits), lo, hi).alias("_m"), F.count(clipped).alias("_n"))
+    per = _per_unit(df, policy, clip(_mean(clipped, digits, _most(policy, column)), lo, hi).alias("_m"), F.count(clipped).alias("_n"))
     return gated(per.select("unit", F.when(F.col("_n") > 0, F.col("_m")).alias(name), "_rows"), policy)
 
 
@@ -87,7 +98,7 @@ def bounded_numerics(df: DataFrame, policy: Policy, columns: dict[str, str], dig
         lo, hi = policy.bounds[column]
         x = F.col(column).cast("double")
         clipped = F.when(finite(x), clip(x, lo, hi))
-        out[name] = F.when(F.count(clipped) > 0, clip(_mean(clipped, digits), lo, hi)).alias(name)
+        out[name] = F.when(F.count(clipped) > 0, clip(_mean(clipped, digits, _most(policy, column)), lo, hi)).alias(name)
     return gated(_per_unit(df, policy, *out.values()).select("unit", *out, "_rows"), policy)
 
 
@@ -96,7 +107,7 @@ def bounded_normalised(df: DataFrame, policy: Policy, column: str, digits: int |
     lo, hi = policy.bounds[column]
     x = F.col(column).cast("double")
     z = F.when(finite(x), (clip(x, lo, hi) - lo) / (hi - lo))
-    return gated(_per_unit(df, policy, _mean(z, digits).alias(name)), policy)
+    return gated(_per_unit(df, policy, _mean(z, digits, float(policy.max_records)).alias(name)), policy)
 
 
 def bounded_category(df: DataFrame, policy: Policy, column: str, name: str = "level") -> DataFrame:

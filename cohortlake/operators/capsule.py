@@ -31,7 +31,7 @@ class Owner:
         lo, hi = self.policy.bounds[column]
         x = F.col(column).cast("double")
         clipped = F.when(bound.finite(x), bound.clip(x, lo, hi))
-        self.aggregates |= {f"_m_{name}": bound.clip(bound._mean(clipped, digits), lo, hi), f"_n_{name}": F.count(clipped)}
+        self.aggregates |= {f"_m_{name}": bound.clip(bound._mean(clipped, digits, bound._most(self.policy, column)), lo, hi), f"_n_{name}": F.count(clipped)}
         self.columns[name] = F.when(F.col(f"_n_{name}") > 0, F.col(f"_m_{name}"))
         return self
 
