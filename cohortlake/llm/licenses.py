@@ -1,11 +1,15 @@
 """License scans by an exact set-similarity join (DataFrame functions only).
 
-Text blocks (lines) are compared with license templates as sets of words. The
-words of all templates are ordered by how many documents hold them, rarest
-first. A block that holds at least ``need`` words of a template must share one
-of the template's rarest ``size - need + 1`` words (prefix filter), must hold
-``need`` words (length filter), and the words after the first shared ones must
-suffice (positional filter); what is left is counted exactly.
+Text blocks are compared with license templates as sets of words. A block is a
+window of consecutive words, whatever line breaks or paragraphs lie in it: twice
+as wide as a template is long (rounded up to a power of two), and the next one
+starts half a window on, so a notice that is not longer than its template lies
+in one block as a whole. The words of all templates are ordered by how many
+documents hold them, rarest first. A block that holds at least ``need`` words of
+a template must share one of the template's rarest ``size - need + 1`` words
+(prefix filter), must hold ``need`` words (length filter), and the words after
+the first shared ones must suffice (positional filter); what is left is counted
+exactly, and must hold the words by which the license is named.
 """
 
 from __future__ import annotations
@@ -40,6 +44,18 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+# Words without which a notice does not name its license.
+NAMES = {
+    "apache-2.0-notice": ["apache"],
+    "apache-2.0-header": ["apache"],
+    "cc-by-nc-notice": ["cc", "nc"],
+    "cc-by-notice": ["commons", "creative"],
+    "gpl-3.0-notice": ["gnu"],
+    "gpl-header": ["gnu"],
+    "mit-notice": ["mit"],
+    "mpl-2.0-notice": ["mozilla"],
+}
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,6 +63,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(SEPARATOR, text.lower()) if w]
 
 
+def width(template: str) -> int:
+    """Words of the blocks that a template is compared with: a power of two, at least twice its length."""
+    return max(16, 1 << (2 * len(words_of(template)) - 1).bit_length())
+
+
 def _lower(text: Column) -> Column:
     """A-Z in lower case. Beyond ASCII only the Kelvin sign has an ASCII letter as its lower case; other letters stay letters."""
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0101")))
@@ -82,18 +103,22 @@ def _base(text: Column) -> Column:
     return F.get(F.transform(F.array(F.split(_lower(text), SEPARATOR)), found), F.lit(0))
 
 
-def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, names: dict[str, list[str]] = NAMES) -> DataFrame:
     """License labels of every row of ``docs`` (doc_id, text).
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels,
-    labels and score: the largest share of a template's words that one line
+    labels and score: the largest share of a template's words that one block
     holds where it reaches ``threshold``; 1.0 where a base phrase stands; else 0.
-    Null texts are empty (no words, empty labels). Repeated rows and null
-    doc_ids keep their own rows: findings are joined by doc_id and the text's
-    hash, and equal texts have equal findings. Templates are a given, bounded
-    list; only they are broadcast. Texts are not shuffled.
+    Null and empty texts have no words and empty labels; very long ones are
+    many blocks, each a row of its own. Repeated rows and null doc_ids keep
+    their own rows: findings are joined by doc_id and the text's hash, and
+    equal texts have equal findings. Other columns are not read; an empty table
+    gives no rows. Templates are a given, bounded list; only they are
+    broadcast. Of texts only template words of documents that hold a rare one
+    are exchanged.
     """
     sets = {name: sorted(set(words_of(t))) for name, t in templates.items()}
+    wide = {name: width(t) for name, t in templates.items()}
     vocabulary = sorted({w for s in sets.values() for w in s})
     words = F.split(_lower(F.col("text")), SEPARATOR)
     counts = docs.select(F.explode(F.array_intersect(words, _strings(vocabulary))).alias("word")).groupBy("word").count()
@@ -101,21 +126,34 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
 
     need = {name: max(1, math.ceil(threshold * len(s) - 1e-9)) for name, s in sets.items()}
-    index = [(rank[w], name, i, len(s), need[name], s) for name, s in ((n, sorted(v, key=rank.get)) for n, v in sets.items()) for i, w in enumerate(s) if i <= len(s) - need[name]]
+    index = [(rank[w], wide[name], name, i, len(s), need[name], [rank[x] for x in s], [rank[x] for x in names.get(name, []) if x in rank]) for name, s in ((n, sorted(v, key=rank.get)) for n, v in sets.items()) for i, w in enumerate(s) if i <= len(s) - need[name]]
     spark = docs.sparkSession
-    prefixes = spark.createDataFrame([(r, n, i, size, o, [rank[w] for w in s]) for r, n, i, size, o, s in index], "rank int, label string, at int, size int, need int, template array<int>")
+    prefixes = spark.createDataFrame(index, "rank int, wide int, label string, at int, size int, need int, template array<int>, must array<int>")
     rare = sorted({w for w in vocabulary if rank[w] in {x[0] for x in index}})
     fewest = min(need.values())
 
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text")
-    lines = docs.where(F.arrays_overlap(words, _strings(rare))).select("doc_id", key, F.posexplode(F.split(_lower(F.col("text")), "\n")).alias("_line", "line"))
-    held = F.array_intersect(F.split("line", SEPARATOR), _strings(vocabulary))
-    blocks = lines.select("doc_id", "_text", "_line", F.array_sort(F.transform(held, lambda w: ranks[w])).alias("block")).where(F.size("block") >= fewest)
+
+    def hits(words: Column) -> Column:
+        """Places and ranks of template words, if a rare one is among the words; the words are a lambda's variable, so the text is split once."""
+        lead = (F.get(words, F.lit(0)) == "").cast("int")
+        placed = F.transform(words, lambda w, i: F.struct((i - lead).alias("at"), F.element_at(ranks, w).alias("rank")))
+        return F.when(F.arrays_overlap(words, _strings(rare)), F.filter(placed, lambda h: h.rank.isNotNull()))
+
+    found_words = F.get(F.transform(F.array(words), hits), F.lit(0))
+    placed = docs.select("doc_id", key, found_words.alias("_hits")).where(F.size("_hits") >= fewest).select("doc_id", "_text", F.explode("_hits").alias("h"))
+    halves = F.explode(F.array(*[F.lit(w // 2) for w in sorted(set(wide.values()))])).alias("half")
+    each = placed.select("doc_id", "_text", "h.at", "h.rank", halves).withColumn("to", F.floor(F.col("at") / F.col("half")))
+    each = each.withColumn("block", F.explode(F.when(F.col("to") > 0, F.array("to", F.col("to") - 1)).otherwise(F.array("to"))))
+    blocks = each.groupBy("doc_id", "_text", "half", F.col("block").alias("_block")).agg(F.array_sort(F.collect_set("rank")).alias("block")).where(F.size("block") >= fewest)
     probes = blocks.select("*", F.posexplode(F.slice("block", F.lit(1), F.size("block") - fewest + 1)).alias("_at", "rank"))
-    candidates = probes.join(F.broadcast(prefixes), "rank").where((F.size("block") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("at") - 1, F.size("block") - F.col("_at") - 1) >= F.col("need")))
+    same = (F.col("p.rank") == F.col("t.rank")) & (F.col("half") * 2 == F.col("wide"))
+    candidates = probes.alias("p").join(F.broadcast(prefixes).alias("t"), same)
+    candidates = candidates.where((F.size("block") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("at") - 1, F.size("block") - F.col("_at") - 1) >= F.col("need")))
     overlap = F.size(F.array_intersect("block", "template"))
-    found = candidates.where(overlap >= F.col("need")).groupBy("doc_id", "_text").agg(F.collect_set("label").alias("_labels"), F.max(overlap / F.col("size")).alias("_score"))
+    named = F.size(F.array_except("must", "block")) == 0
+    found = candidates.where((overlap >= F.col("need")) & named).groupBy("doc_id", "_text").agg(F.collect_set("label").alias("_labels"), F.max(overlap / F.col("size")).alias("_score"))
 
     base = docs.select("doc_id", key, _base(F.col("text")).alias("_b"))
     base = base.select(
@@ -142,20 +180,21 @@ def scan(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] = TE
     )
 
 
-def oracle(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES) -> str:
+def oracle(threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, names: dict[str, list[str]] = NAMES) -> str:
     """DuckDB SQL for :func:`scan` on ``documents``, without any filter."""
     upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     tests = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) + f" THEN '{n}'" for p, n in PHRASES.items())
-    values = ", ".join(f"('{n}', {sorted(set(words_of(t)))!r})" for n, t in templates.items())
+    values = ", ".join(f"('{n}', {width(t)}, {sorted(set(words_of(t)))!r}, {names.get(n, [])!r}::VARCHAR[])" for n, t in templates.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, translate(coalesce(text, ''), '{upper}', '{small}') AS t FROM documents),
 w AS (SELECT rn, doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
 p AS (SELECT rn, i, CASE {tests} END AS label FROM (SELECT rn, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
 b AS (SELECT rn, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS labels FROM p WHERE label IS NOT NULL GROUP BY rn),
-t(label, template) AS (VALUES {values}),
-l AS (SELECT DISTINCT rn, list_distinct(regexp_extract_all(line, '{word}')) AS block FROM (SELECT rn, unnest(string_split(t, chr(10))) AS line FROM d)),
-m AS (SELECT rn, label, len(list_intersect(block, template)) / len(template)::DOUBLE AS share FROM l, t WHERE len(list_intersect(block, template)) >= greatest(1, ceil({threshold} * len(template) - 1e-9))),
+t(label, wide, template, must) AS (VALUES {values}),
+s AS (SELECT rn, w, wide, unnest(range(0, len(w), wide // 2)) AS a FROM w, (SELECT DISTINCT wide FROM t)),
+l AS (SELECT DISTINCT rn, wide, list_distinct(w[a + 1 : a + wide]) AS block FROM s),
+m AS (SELECT rn, label, len(list_intersect(block, template)) / len(template)::DOUBLE AS share FROM l JOIN t USING (wide) WHERE len(list_intersect(block, template)) >= greatest(1, ceil({threshold} * len(template) - 1e-9)) AND list_has_all(block, must)),
 f AS (SELECT rn, list(DISTINCT label) AS labels, max(share) AS score FROM m GROUP BY rn)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,

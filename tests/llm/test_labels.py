@@ -1,6 +1,7 @@
 """License scan, toxicity chain and quotation linking."""
 
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -17,11 +18,11 @@ def naive_scan(text, threshold=0.8):
     hits = [(i, name) for i in range(len(words)) for p, name in licenses.PHRASES.items() if words[i : i + len(p.split())] == p.split()]
     base = sorted({n for _, n in hits})
     shares = {}
-    for line in lower.split("\n"):
-        own = set(WORD.findall(line))
-        for name, t in licenses.TEMPLATES.items():
-            whole = set(licenses.words_of(t))
-            if len(own & whole) >= threshold * len(whole) - 1e-9:
+    for name, t in licenses.TEMPLATES.items():
+        whole, wide = set(licenses.words_of(t)), licenses.width(t)
+        for a in range(0, len(words), wide // 2):
+            own = set(words[a : a + wide])
+            if len(own & whole) >= threshold * len(whole) - 1e-9 and own.issuperset(licenses.NAMES.get(name, [])):
                 shares[name] = max(shares.get(name, 0), len(own & whole) / len(whole))
     at = [i for i, _ in hits]
     return (len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *shares})), 1.0 if hits else max(shares.values(), default=0.0))
@@ -40,6 +41,17 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_wrapped_notices_are_found_and_loose_ones_are_not(spark):
+    wrapped = {n: "some words before " + "\n// ".join(textwrap.wrap(t, 30)) + "\n and more behind it" for n, t in licenses.TEMPLATES.items()}
+    loose = ["Released under the BSD License", "Licensed under CC BY 4.0", "Licensed under the Mozilla License, Version 2.0", "permission is given " + "to write more of it " * 9 + "any person may use this software for free and the documentation of it without a copy " + "as before " * 20 + "restriction and associated files"]
+    rows = [(i, x) for i, x in enumerate([*wrapped.values(), *loose])]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(wrapped):
+        assert name in got[i].labels.split(",") and got[i].score == 1.0, name
+    for i, text in enumerate(loose, len(wrapped)):
+        assert set(got[i].labels.split(",")) <= {*got[i].base_labels.split(","), ""}, text
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     folder = "/root/testdata/sf0.01"
