@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,15 @@ def slices(batch: pa.RecordBatch, sizes: list[int], most: int = 8 << 20) -> Iter
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory that was freed to the machine: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def by_text(text_col: str, fn: Callable[[list, pa.RecordBatch], Iterator[pa.RecordBatch]], most: int = 8 << 20):
     """A mapInArrow function that calls ``fn(texts, part)`` on parts of about ``most`` bytes; a null text is empty."""
 
@@ -61,6 +71,7 @@ def by_text(text_col: str, fn: Callable[[list, pa.RecordBatch], Iterator[pa.Reco
             lengths = [n or 0 for n in pa.compute.binary_length(batch.column(i)).to_pylist()]
             for part in slices(batch, lengths, most):
                 yield from fn([t or "" for t in part.column(i).to_pylist()], part)
+        give_back()
 
     return run
 

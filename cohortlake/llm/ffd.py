@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_text, schema
+from ._common import by_text, give_back, schema
 
 
 class FirstFit:
@@ -127,7 +127,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_co
     For tokenizers that cut at white space and drop it: ids of chunks between
     spaces and line breaks are joined, and each new chunk is encoded once.
     A null text is empty. ``tokenizer_path`` must be readable on every executor.
-    A worker holds ``cache`` chunks at most, and unless ``keep`` none when a task ends.
+    A worker holds ``cache`` chunks at most and, unless ``keep``, neither chunks nor tokenizer when a task ends.
     """
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
@@ -138,7 +138,8 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_co
     def encoded(batches):
         yield from by_text("_text", run, 512 << 10)(batches)
         if not keep:
-            _chunks(tokenizer_path, cache).forget()
+            _chunks.cache_clear()
+            give_back()
 
     source = df.select(key, F.col(text_col).cast("string").alias("_text"))
     return source.mapInArrow(encoded, schema(source, key, ids="binary"))

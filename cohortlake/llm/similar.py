@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_text, connected_components, cut, schema, sieve, sifted
+from ._common import by_text, connected_components, cut, give_back, schema, sieve, sifted
 from .simhash import near_links
 
 PERCENT = 80  # least similarity, in whole numbers
@@ -226,6 +226,7 @@ def _compare(unread: bool):
                     most += min(spare[a], spare[b]) + max(n[a] - len(x) - spare[a], n[b] - len(y) - spare[b])
             kept.append((100 + PERCENT) * most >= PERCENT * (n[a] + n[b]))
         whole = [ids[p] == pairs[c].to_numpy() for p, c in zip(place, "ab", strict=True)]
+        give_back()
         return out.filter(pa.array(np.array(kept, bool) & whole[0] & whole[1]))
 
     return run

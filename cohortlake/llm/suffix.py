@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _windows
-from ._common import by_text, cut, schema
+from ._common import by_text, cut, give_back, schema
 from .induced import repeats
 
 #: Distinct surroundings of one gram from which its stretches are dealt by a longer string, so that a common phrase spreads over shards.
@@ -156,6 +156,7 @@ def _match(buckets: int, length: int):
                 (marked if mark else blobs).append(blob)
         if shard is not None:
             yield of(marked, blobs)
+        give_back()
 
     return run
 
@@ -292,6 +293,7 @@ def _sorted_shard(length: int, buckets: int, queue_tuples: int):
             ranges = _merged(u, at, at)
             rows = list(_by_bucket(ranges, ranges[0] % buckets))
         columns = list(zip(*rows, strict=True)) if rows else [[], []]
+        give_back()
         return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], ["bucket", "blob"])
 
     return run

@@ -85,3 +85,17 @@ def test_stages_keep_columns(spark, folder):
 def test_one_of_repeated_rows_stays(spark, folder):
     docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7)] * 3 + [(None, "e f g h i", "en", "s", 9)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.simhash_dedup(spark, docs, "").count() == 2
+
+
+def test_clashing_columns_nulls_and_very_long_texts(spark, folder):
+    rng = random.Random(10)
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(120_000))
+    rows = [(1, long, "a", 1), (2, long + " more", "b", 2), (3, None, "c", 3), (4, "", "d", 4), (None, "x y z", "e", 5)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), r, h) for i, t, r, h in rows], "doc_id long, text string, lang string, source string, n_chars long, __row string, id long")
+    kept = corpus_pipeline.simhash_dedup(spark, docs, "")
+    assert kept.dtypes == docs.dtypes and sorted(r["__row"] for r in kept.collect()) == ["a", "c", "e"]
+    kept.write.mode("overwrite").parquet(f"{folder[0]}/kept.parquet")
+    cut_out = corpus_pipeline.suffix_dedup(spark, spark.read.parquet(f"{folder[0]}/kept.parquet"), "")
+    assert cut_out.dtypes == docs.dtypes and {r.doc_id: r.n_chars for r in cut_out.collect()}[3] is None
+    packed = corpus_pipeline.packing(spark, cut_out, "").collect()
+    assert {r.doc_id for r in packed} == {1, 3, None} and sum(r.length for r in packed if r.doc_id == 3) == 1
