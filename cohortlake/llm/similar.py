@@ -153,20 +153,28 @@ def _place(h: int, *at: int) -> int:
     return xxhash.xxh3_64_intdigest(np.array([h, *at], np.int64).tobytes()) - (1 << 63)
 
 
-def _stars(batches, block: int = 1024):
-    """Of each shingle's sets, by length: the pair of each with the first id of those it can be similar to."""
+def _stars(batches, hubs: int = 8, block: int = 1024):
+    """Of each shingle's sets, by length: the pairs of each with the ``hubs`` first by hash that it can be similar to.
+
+    A set that is similar to one of them need not be paired with the others, so
+    a large group of near copies becomes one component in pairs that grow with
+    its size, not with its square.
+    """
 
     def make(rows):
         rows = rows[np.argsort(rows[:, 2], kind="stable")]
+        mixed = rows[:, 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         a = 0
         while a < len(rows):
             z = int(np.searchsorted(rows[:, 2], rows[a, 2] * 100 // PERCENT, "right"))
-            first = a + int(np.argmin(rows[a:z, 1]))
-            others = rows[a:z][_possible(rows[first : first + 1], rows[a:z])[0], 1]
-            others = others[others != rows[first, 1]]
-            for at in range(0, len(others), block):
-                own = others[at : at + block]
-                yield np.column_stack([np.full(len(own), rows[first, 1]), own, np.full(len(own), _place(int(rows[0, 0]), a, at))])
+            first = a + np.argsort(mixed[a:z], kind="stable")[:hubs]
+            for at in range(a, z, block):
+                own = np.arange(at, min(z, at + block))
+                ok = _possible(rows[first], rows[own]) & (rows[first, 1][:, None] != rows[own, 1][None])
+                x, y = np.nonzero(ok)
+                if len(x):
+                    x, y = rows[first[x], 1], rows[own[y], 1]
+                    yield np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y), np.full(len(x), _place(int(rows[0, 0]), a, at))]), axis=0)
             a = z
 
     yield from _batched(_groups(batches, make), ["a", "b", "g"])
@@ -261,7 +269,7 @@ def similar_documents(df: DataFrame, row: str, carry: tuple[str, ...] = (), text
 
     ``row`` differs in every row. Rows of equal sets are copies (texts without words too: null, empty) and
     are compared once. Candidates are the SimHash pairs within ``threshold``
-    bits, then a star in each shingle's group, by which most of a large group
+    bits, then stars in each shingle's group, by which most of a large group
     becomes one component, then all pairs of a group that are not in one
     component yet: only groups of many different, unlike documents of much the
     same length that share a rare shingle cost their square.
