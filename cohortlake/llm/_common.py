@@ -76,7 +76,7 @@ def by_text(text_col: str, fn: Callable[[list, pa.RecordBatch], Iterator[pa.Reco
     return run
 
 
-def sieve(ids: DataFrame, column: str, bits: int = 1 << 26, segments: int = 64):
+def sieve(ids: DataFrame, column: str, bits: int = 1 << 24, segments: int = 64):
     """A broadcast bitmap of ``bits`` bits, whatever the number of ``ids``: the hashes of all of them are set.
 
     With few ids for its size it lets little else through; with too many it

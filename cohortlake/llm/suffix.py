@@ -183,7 +183,7 @@ def _dealt(df: DataFrame, text_col: str, buckets: int) -> DataFrame:
             blobs.append(zstandard.compress(sink.getvalue(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    return df.mapInArrow(by_text(text_col, run), "bucket int, blob binary")
+    return df.mapInArrow(by_text(text_col, run, 4 << 20), "bucket int, blob binary")
 
 
 def _rows(t: pa.Table) -> list[pa.Table]:
@@ -219,6 +219,7 @@ def _stretches(length: int, gram: int, shards: int):
                             for column, v in zip(out, (k % shards, uid, doc, a_, z_ - a_ + 1, core - a_, wide, data[a_ : z_ + length]), strict=True):
                                 column.append(v)
         kinds = (pa.int32(), *(pa.int64(),) * 6, pa.binary())
+        give_back()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["shard", "__uid", "doc", "lo", "n", "core", "wide", "data"])
 
     return run
@@ -332,6 +333,7 @@ def _cut_out(length: int, names: list[str], whole: bool):
                 kept.append(b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
                 spans.append([{"start": a, "end": z} for a, z in own])
             done.append(pa.Table.from_arrays([*(part[c] for c in names), pa.array(spans, kind), pa.array(kept, pa.binary())], [*names, "spans", "kept"]))
+        give_back()
         return pa.concat_tables(done)
 
     return run
@@ -366,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     shards = max(1, -(-total // shard_bytes))
 
     common = docs.sparkSession.sparkContext.broadcast(_common(narrow, gram, total, sample_bytes))  # at most 65,536 hashes
-    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards, common)), "shard int, marked boolean, blob binary")
+    occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards, common), 4 << 20), "shard int, marked boolean, blob binary")
     dealt = occurrences.repartition("shard").sortWithinPartitions("shard")
     matched = cut(dealt.mapInArrow(_match(shards, length), "bucket int, marked boolean, blob binary, n_bytes long"))
 
