@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ from .induced import repeats
 #: Distinct surroundings of one gram from which its stretches are dealt by a longer string, so that a common phrase spreads over shards.
 HOT = 1024
 
+#: Shards whose marks are one file of the checkpoint. Where Hadoop has no native library, an executor starts helper processes for every file that it writes there.
+SHARDS_A_FILE = 16
+
 #: Bits of a gram's hash that travel; within a shard they tell grams apart, and two grams taken for one only cost time.
 GRAM_BITS = (1 << 40) - 1
 
@@ -354,7 +358,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     most ``queue_tuples`` tuples of a queue in memory, the rest on disk. Equal
     occurrences are reduced to one within each part before any exchange; a gram
     with many different surroundings is dealt over shards by a longer string.
-    The marks are checkpointed; texts are exchanged twice. Columns of the input
+    What is matched stays on the executors' disks until the marks are
+    checkpointed, in few files; texts are exchanged twice. Columns of the input
     named ``__uid``, ``__text`` or ``_key`` come through as well.
     """
     clash = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c in ("__uid", "__text", "_key")}
@@ -370,24 +375,27 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 44, shard_byt
     common = docs.sparkSession.sparkContext.broadcast(_common(narrow, gram, total, sample_bytes))  # at most 65,536 hashes
     occurrences = narrow.mapInArrow(by_text("__text", _scan(length, gram, shards, common), 4 << 20), "shard int, marked boolean, blob binary")
     dealt = occurrences.repartition("shard").sortWithinPartitions("shard")
-    matched = cut(dealt.mapInArrow(_match(shards, length), "bucket int, marked boolean, blob binary, n_bytes long"))
-
-    todo = matched.where("not marked").select("bucket", "blob")
-    to_sort = matched.agg(F.sum("n_bytes")).first()[0] or 0
-    jobs = max(1, -(-to_sort // sort_bytes))
-    marks = matched.where("marked").select("bucket", "blob")
-    if to_sort:
-        texts = _dealt(narrow, "__text", shards)
-        stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, __uid long, doc long, lo long, n long, core long, wide long, data binary")
-        marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards, queue_tuples), "bucket int, blob binary"))
+    matched = dealt.mapInArrow(_match(shards, length), "bucket int, marked boolean, blob binary, n_bytes long").persist(StorageLevel.DISK_ONLY)
+    try:
+        todo = matched.where("not marked").select("bucket", "blob")
+        to_sort = matched.agg(F.sum("n_bytes")).first()[0] or 0
+        jobs = max(1, -(-to_sort // sort_bytes))
+        marks = matched.where("marked").select("bucket", "blob")
+        if to_sort:
+            texts = _dealt(narrow, "__text", shards)
+            stretches = texts.groupBy("bucket").cogroup(todo.groupBy("bucket")).applyInArrow(_stretches(length, gram, jobs), "shard int, __uid long, doc long, lo long, n long, core long, wide long, data binary")
+            marks = marks.unionByName(stretches.groupBy("shard").applyInArrow(_sorted_shard(length, shards, queue_tuples), "bucket int, blob binary"))
+        repeated = cut(marks.repartition(-(-shards // SHARDS_A_FILE)))
+    finally:
+        matched.unpersist()
     names = [c for c in docs.columns if c not in ("spans", "kept")]
     rows = source.select(*names, "__uid", F.col(text_col).cast("string").cast("binary").alias("__text"))
     out = schema(docs, *names, spans="array<struct<start:bigint,end:bigint>>", kept="binary")
-    repeated = cut(marks)
     return _dealt(rows, "__text", shards).groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_cut_out(length, names, whole), out)
 
 
 def digest(removed: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and checksum for each row of :func:`remove_repeats`."""
+    """Counts and checksum for each row of :func:`remove_repeats`, a table so much smaller than the texts that it is gathered in few partitions."""
     n = F.octet_length(F.coalesce(F.col(text_col), F.lit("")))
-    return removed.select(key, n.cast("long").alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    rows = removed.select(key, n.cast("long").alias("n_bytes"), (n - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.hint("rebalance")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -161,3 +162,20 @@ def test_clashing_columns_and_spilling_queues(spark):
     got = sorted((r.doc_id, tuple(r)[1:]) for r in suffix.digest(removed).collect())
     assert got == sorted((r[0], w) for r, w in zip(rows, naive([r[1] for r in rows]), strict=True))
     assert {(r["__uid"], r["__text"], r["_key"]) for r in removed.collect()} == {("a", "b", "c")}
+
+
+def test_few_files_are_written_and_nothing_stays_on_disk(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, prose(rng, 60)) for i in range(200)] * 2, "doc_id long, text string").repartition(8)
+    folder, cached = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")), spark.sparkContext._jsc.getPersistentRDDs
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before, held = set(folder.rglob("part-*")), cached().size()
+        removed = suffix.remove_repeats(df, shard_bytes=8000, sort_bytes=4000)
+        total = sum(len(t.encode()) for (t,) in df.select("text").collect())
+        assert 1 <= len(set(folder.rglob("part-*")) - before) <= -(-(-(-total // 8000)) // suffix.SHARDS_A_FILE)
+        assert cached().size() == held
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert suffix.digest(removed).where("n_removed > 0").count() == 200
+    assert suffix.digest(removed).rdd.getNumPartitions() == 1
