@@ -129,6 +129,16 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_co
     A null text is empty. ``tokenizer_path`` must be readable on every executor.
     A worker holds ``cache`` chunks at most and, unless ``keep``, neither chunks nor tokenizer when a task ends.
     """
+    source = _source(df, key, text_col)
+    return source.mapInArrow(_encoded(key, tokenizer_path, end_id, cache, keep), schema(source, key, ids="binary"))
+
+
+def _source(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    return df.select(key, F.col(text_col).cast("string").alias("_text"))
+
+
+def _encoded(key: str, tokenizer_path: str, end_id: int | None, cache: int, keep: bool):
+    """mapInArrow: the ids of each text."""
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -141,8 +151,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, text_co
             _chunks.cache_clear()
             give_back()
 
-    source = df.select(key, F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(encoded, schema(source, key, ids="binary"))
+    return encoded
 
 
 def _pieces(key: str, room: int, keep_ids: bool):
@@ -181,8 +190,25 @@ def pack(tokens: DataFrame, room: int = 4096, group_docs: int = 65_536, key: str
     """
     if keep_ids:
         group_docs = min(group_docs, (256 << 20) // (4 * room))
-    kinds = dict.fromkeys(("start", "length", "ids_crc32", "doc_tokens", "_salt"), "long")
-    pieces = tokens.select(key, "ids").mapInArrow(_pieces(key, room, keep_ids), schema(tokens, key, **kinds, ids="binary"))
+    pieces = tokens.select(key, "ids").mapInArrow(_pieces(key, room, keep_ids), _kinds(tokens, key))
+    return _packed(pieces, room, group_docs, key, keep_ids, seed)
+
+
+def pack_texts(df: DataFrame, tokenizer_path: str, room: int = 4096, group_docs: int = 65_536, end_id: int | None = 2, text_col: str = "text", key: str = "doc_id", cache: int = 1_200_000, keep: bool = True, seed: int = 1) -> DataFrame:
+    """The rows of :func:`pack` without ``ids`` for :func:`tokenize`.
+
+    A task has one Python worker where the two take two: ids go from step to step within it, not through Spark.
+    """
+    source = _source(df, key, text_col)
+    encoded, pieces = _encoded(key, tokenizer_path, end_id, cache, keep), _pieces(key, room, False)
+    return _packed(source.mapInArrow(lambda batches: pieces(encoded(batches)), _kinds(source, key)), room, group_docs, key, False, seed)
+
+
+def _kinds(df: DataFrame, key: str):
+    return schema(df, key, **dict.fromkeys(("start", "length", "ids_crc32", "doc_tokens", "_salt"), "long"), ids="binary")
+
+
+def _packed(pieces: DataFrame, room: int, group_docs: int, key: str, keep_ids: bool, seed: int) -> DataFrame:
     order = F.xxhash64(key, "length", "ids_crc32", "_salt", F.lit(seed))
     dealt = pieces.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order", key, "start", "length", "ids_crc32")
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]

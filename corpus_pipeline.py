@@ -46,9 +46,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens.
 
     A null text is empty and still a piece, the end mark alone. Workers that
-    other stages use as well keep fewer chunks, and nothing beyond a task.
+    other stages use as well keep fewer chunks, and nothing beyond a task; a
+    task has one of them.
     """
-    return ffd.pack(ffd.tokenize(docs, WORDS, cache=300_000, keep=False), keep_ids=False)
+    return ffd.pack_texts(docs, WORDS, cache=300_000, keep=False)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash_dedup", simhash_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]

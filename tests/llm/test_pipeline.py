@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cohortlake.llm import simhash
+from cohortlake.llm import ffd, simhash
 from cohortlake.llm.queries import WORDS
 
 
@@ -99,3 +99,11 @@ def test_clashing_columns_nulls_and_very_long_texts(spark, folder):
     assert cut_out.dtypes == docs.dtypes and {r.doc_id: r.n_chars for r in cut_out.collect()}[3] is None
     packed = corpus_pipeline.packing(spark, cut_out, "").collect()
     assert {r.doc_id for r in packed} == {1, 3, None} and sum(r.length for r in packed if r.doc_id == 3) == 1
+
+
+def test_packing_has_one_worker_a_task_and_the_rows_of_its_two_steps(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    packed = corpus_pipeline.packing(spark, docs, "")
+    assert packed._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # on either side of the exchange
+    two = ffd.pack(ffd.tokenize(docs, WORDS), keep_ids=False)
+    assert packed.dtypes == two.dtypes and sorted(packed.collect(), key=str) == sorted(two.collect(), key=str)
