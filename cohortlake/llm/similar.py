@@ -6,7 +6,10 @@ code reach so far only with thousands of copies of every fingerprint. So they
 give the closest pairs, and the others come from a prefix filter: of a set of n
 shingles, ordered the same way for all, the first n - ceil(0.8 n) + 1 must hold
 one of those of every similar set, and lengths and places in the order bound
-what two sets can share. Every candidate is counted exactly, so no pair is
+what two sets can share. The parities of 1,024 classes of a set's hashes
+bound from below by how many shingles two sets differ, which parts the sets of
+a large family of near copies that have nothing but the family's common
+shingles in their prefixes. Every candidate is counted exactly, so no pair is
 missed and none is linked wrongly.
 """
 
@@ -81,8 +84,16 @@ def _brief(prefix: np.ndarray) -> np.ndarray:
     return np.unique(prefix.astype(np.int16))
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of 1,024 classes of hashes: whether the set holds an odd number of them.
+
+    Every shingle that is in one of two sets alone turns one bit, so sets differ in at least as many shingles as these in bits.
+    """
+    return np.packbits(np.bincount((hashes.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).tobytes()
+
+
 def _rows(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int, frequent: np.ndarray) -> DataFrame:
-    """The ``keep`` columns, the set's hash ``id``, its size ``n``, fingerprint ``fp``, ``prefix``, and that in ``brief`` of every row."""
+    """The ``keep`` columns, the set's hash ``id``, its size ``n``, fingerprint ``fp``, parities ``odd``, ``prefix``, and that in ``brief`` of every row."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(texts: list[str], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -90,19 +101,27 @@ def _rows(df: DataFrame, text_col: str, keep: tuple[str, ...], width: int, frequ
         ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         sizes, fps = np.array([len(s) for s in sets], np.int64), np.array([_fingerprint(s) for s in sets], np.int64)
         prefixes = [_prefix(s, shared.value) for s in sets]
-        yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, (ids, sizes, fps)), _lists(prefixes), _lists([_brief(p) for p in prefixes], np.int16)], [*keep, "id", "n", "fp", "prefix", "brief"])
+        odd = pa.array([_parities(s) for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, (ids, sizes, fps)), odd, _lists(prefixes), _lists([_brief(p) for p in prefixes], np.int16)], [*keep, "id", "n", "fp", "odd", "prefix", "brief"])
 
     source = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return cut(source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, id="long", n="long", fp="long", prefix="array<long>", brief="array<short>")))
+    return cut(source.mapInArrow(by_text("_text", run, 2 << 20), schema(source, *keep, id="long", n="long", fp="long", odd="binary", prefix="array<long>", brief="array<short>")))
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Whole numbers; of binary values one for every eight bytes."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), -1)
+    return column.to_numpy()
 
 
 def _groups(batches, make):
     """``make(rows)`` of each run of equal first columns, rows as one array of whole numbers; sorted by that column."""
     held: list[np.ndarray] = []
     for b in batches:
-        rows = np.column_stack([c.to_numpy() for c in b.columns])
-        if not len(rows):
+        if not b.num_rows:
             continue
+        rows = np.column_stack([_numbers(c) for c in b.columns])
         edges = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
         for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if held and held[0][0, 0] != rows[a, 0]:
@@ -153,12 +172,14 @@ def _place(h: int, *at: int) -> int:
     return xxhash.xxh3_64_intdigest(np.array([h, *at], np.int64).tobytes()) - (1 << 63)
 
 
-def _stars(batches, hubs: int = 8, block: int = 1024):
-    """Of each shingle's sets, by length: the pairs of each with the ``hubs`` first by hash that it can be similar to.
+def _stars(batches, hubs: int = 4, block: int = 1024):
+    """Of each shingle's sets, by length: the pairs of each with the ``hubs`` at which it stands first, if it can be similar to them.
 
-    A set that is similar to one of them need not be paired with the others, so
-    a large group of near copies becomes one component in pairs that grow with
-    its size, not with its square.
+    What stands before a shingle is mostly what few sets have, so the hubs are
+    the least changed of a large group of near copies, and similar to most of
+    it. A set that is similar to one of them need not be paired with the
+    others, so the group becomes one component in pairs that grow with its
+    size, not with its square.
     """
 
     def make(rows):
@@ -167,7 +188,7 @@ def _stars(batches, hubs: int = 8, block: int = 1024):
         a = 0
         while a < len(rows):
             z = int(np.searchsorted(rows[:, 2], rows[a, 2] * 100 // PERCENT, "right"))
-            first = a + np.argsort(mixed[a:z], kind="stable")[:hubs]
+            first = a + np.lexsort((mixed[a:z], rows[a:z, 3]))[:hubs]
             for at in range(a, z, block):
                 own = np.arange(at, min(z, at + block))
                 ok = _possible(rows[first], rows[own]) & (rows[first, 1][:, None] != rows[own, 1][None])
@@ -180,8 +201,18 @@ def _stars(batches, hubs: int = 8, block: int = 1024):
     yield from _batched(_groups(batches, make), ["a", "b", "g"])
 
 
+def _close(rows: np.ndarray, x: np.ndarray, y: np.ndarray, part: int = 1 << 14) -> np.ndarray:
+    """Whether the parities (``rows`` from column 5) let the sets at ``x`` and ``y`` be similar; ``part`` pairs at once, so memory is bounded."""
+    kept = [np.empty(0, bool)]
+    for at in range(0, len(x), part):
+        i, j = x[at : at + part], y[at : at + part]
+        apart = np.bitwise_count((rows[i, 5:] ^ rows[j, 5:]).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it counts the absolute values
+        kept.append((100 + PERCENT) * apart <= (100 - PERCENT) * (rows[i, 2] + rows[j, 2]))
+    return np.concatenate(kept)
+
+
 def _remaining(batches, block: int = 1024):
-    """All pairs of each shingle's sets that are not in one component yet and whose lengths and places allow the similarity."""
+    """All pairs of each shingle's sets that are not in one component yet and whose lengths, places and parities allow the similarity."""
 
     def make(rows):
         if (rows[:, 4] == rows[0, 4]).all():
@@ -195,8 +226,10 @@ def _remaining(batches, block: int = 1024):
                 j = slice(b, b + block)
                 ok = _possible(rows[i], rows[j]) & (component[i][:, None] != component[j][None])
                 x, y = np.nonzero(np.triu(ok, 1) if a == b else ok)
-                if len(x):
-                    x, y = id_[i][x], id_[j][y]
+                x, y = x + a, y + b
+                near = _close(rows, x, y)
+                if near.any():
+                    x, y = id_[x[near]], id_[y[near]]
                     yield np.column_stack([np.minimum(x, y), np.maximum(x, y), np.full(len(x), _place(int(rows[0, 0]), a, b))])
 
     yield from _batched(_groups(batches, make), ["a", "b", "g"])
@@ -271,8 +304,10 @@ def similar_documents(df: DataFrame, row: str, carry: tuple[str, ...] = (), text
     are compared once. Candidates are the SimHash pairs within ``threshold``
     bits, then stars in each shingle's group, by which most of a large group
     becomes one component, then all pairs of a group that are not in one
-    component yet: only groups of many different, unlike documents of much the
-    same length that share a rare shingle cost their square.
+    component yet and whose parities do not rule the similarity out. Within a
+    group these are looked up for every such pair, which costs its square in
+    array operations; rows are made only for pairs that pass. Sets of several
+    thousand shingles turn too many bits to be ruled out.
     Sets are kept only for candidates. An empty table gives no rows.
     """
     rows = _rows(df, text_col, (row, *carry), width, _frequent(df, text_col, width, sample))
@@ -296,7 +331,7 @@ def similar_documents(df: DataFrame, row: str, carry: tuple[str, ...] = (), text
         return _counted(likely, whole, False)
 
     links = similar(closest.unionByName(shared.mapInArrow(_stars, "a long, b long, g long")))
-    known = shared.join(_labelled(links), "id", "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("component"))
+    known = shared.join(_labelled(links), "id", "left").join(rows.select("id", "odd").dropDuplicates(["id"]), "id").select("h", "id", "n", "at", F.coalesce("component", "id").alias("component"), "odd")
     rest = similar(known.repartition("h").sortWithinPartitions("h").mapInArrow(_remaining, "a long, b long, g long"))
     found = _labelled(links.unionByName(rest))
     return rows.select(row, *carry, "id").join(found, "id", "left").select(row, *carry, F.coalesce("component", "id").alias("component"))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from cohortlake.llm import similar, simhash
 
@@ -53,3 +55,47 @@ def test_stage_finds_all_pairs_of_the_similarity(spark):
     found = {r.doc_id: r.component for r in similar.similar_documents(df, "doc_id").collect()}
     assert len({(found[i], g) for i, g in enumerate(group)}) == len(set(group)) == len(set(found.values()))
     assert similar.similar_documents(df.where("false"), "doc_id").count() == 0
+
+
+def family(size, seed=5):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    out = []
+    for _ in range(size):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(1, 4)):
+            copy[at] = rng.choice(words)
+        out.append(" ".join(copy))
+    return out
+
+
+def test_pairs_of_a_family_of_near_copies_do_not_grow_with_its_square(spark, monkeypatch):
+    counted, seen = similar._counted, []
+
+    def watched(pairs, *rest):
+        seen.append(pairs.count())
+        return counted(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_counted", watched)
+    rows = family(800)
+    group, _ = classes(rows)
+    assert len(set(group)) < len(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.component for r in similar.similar_documents(df, "doc_id").collect()}
+    assert len({(found[i], g) for i, g in enumerate(group)}) == len(set(group)) == len(set(found.values()))
+    assert sum(seen) < 12 * len(rows), seen
+
+
+def test_parities_never_rule_out_similar_sets():
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 2, 9, 10, 100, 900, 3000):
+        base = rng.integers(-(1 << 63), (1 << 63) - 1, 2 * n)
+        sets += [np.unique(np.r_[base[k : k + n - n // 20], rng.integers(-(1 << 63), (1 << 63) - 1, n // 20)]) for k in range(0, n // 5 + 1, max(1, n // 60))]
+    rows = np.array([[0, i, len(s), 0, i, *np.frombuffer(similar._parities(s), np.int64)] for i, s in enumerate(sets)], np.int64)
+    x, y = np.triu_indices(len(sets), 1)
+    held = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    alike = (100 + similar.PERCENT) * held >= similar.PERCENT * (rows[x, 2] + rows[y, 2])
+    close = similar._close(rows, x, y, 100)
+    assert close[alike].all() and alike.sum() > 50 and not close.all()
