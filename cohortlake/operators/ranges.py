@@ -1,13 +1,14 @@
 """Whole-table orders without a whole-table window: rows are dealt to ranges, each range is ordered by itself.
 
-The ranges' bounds are fixed first, from a bounded sample, so a row's range is
-a plain expression of its columns and the same wherever it is evaluated.
+The ranges' bounds are fixed first, from a bounded sample, so a row's range
+depends on its columns alone and is the same wherever it is evaluated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 PART = "_part"
@@ -22,24 +23,25 @@ def bounds(df: DataFrame, order: list[str], parts: int, sample: int = 20_000) ->
     return rows[step::step]
 
 
-def part_of(df: DataFrame, order: list[str], cuts: list[Row]) -> Column:
-    """The number of a row's range: a binary search written as nested conditions."""
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    at = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(f"k{i}") for i, (c, v) in enumerate(zip(order, cut, strict=True))]) for cut in cuts]
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < at[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(cuts))
-
-
 def ranged(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, list[Row]]:
-    """``df`` with the number of each row's range, and the bounds."""
+    """``df`` with the number of each row's range, and the bounds.
+
+    The number is that of the bounds at or below the row's key: a binary search
+    in a constant array, one projection a step, so the code that runs for each
+    row stays small enough to be compiled however many ranges there are.
+    """
     cuts = bounds(df, order, parts)
-    return df.withColumn(PART, part_of(df, order, cuts)), cuts
+    if not cuts:
+        return df.withColumn(PART, F.lit(0)), cuts
+    kind = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(order)])
+    table = df.sparkSession.createDataFrame([([tuple(c) for c in cuts],)], T.StructType([T.StructField("cuts", T.ArrayType(kind))])).scalar()
+    d = df.withColumns({PART: F.lit(0), "_key": F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])})
+    step = 1 << (len(cuts).bit_length() - 1)
+    while step:
+        at = F.col(PART) + step
+        d = d.withColumn(PART, F.when(F.col("_key") >= F.get(table, at - 1), at).otherwise(F.col(PART)))  # null beyond the last bound
+        step //= 2
+    return d.drop("_key"), cuts
 
 
 def starts(d: DataFrame, total: Column, name: str) -> DataFrame:

@@ -22,9 +22,9 @@ def running_sum(df: DataFrame, value: Column, order: list[str], strata: list[str
     strata = list(strata or [])
     term = value if mask is None else F.when(mask == 1, value).otherwise(F.lit(0))
     d, cuts = ranges.ranged(df.withColumn("_term", term), [*strata, *order], parts)
-    w = Window.partitionBy(ranges.PART, *strata).orderBy(*order)
-    w = w.rowsBetween(0, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_own", F.sum("_term").over(w))
+    # a frame to the end is summed anew for each row, so in reverse the rows are sorted from the last one
+    w = Window.partitionBy(ranges.PART, *strata).orderBy(*[F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in order])
+    d = d.withColumn("_own", F.sum("_term").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     divided = _divided(d, strata, cuts)
     if divided is None:
         return d.withColumn(name, F.col("_own")).drop("_term", "_own", ranges.PART)
@@ -34,7 +34,7 @@ def running_sum(df: DataFrame, value: Column, order: list[str], strata: list[str
     for i, c in enumerate(strata):
         same = same & d[c].eqNullSafe(offsets[f"_s{i}"])
     kept = [d[c] for c in df.columns if c != name]
-    return d.join(F.broadcast(offsets), same, "left").select(*kept, (F.col("_own") + F.coalesce("_add", F.lit(0))).alias(name))
+    return d.join(F.broadcast(offsets), same, "left").select(*kept, F.coalesce(F.col("_own") + F.col("_add"), "_own", "_add").alias(name))
 
 
 def _divided(d: DataFrame, strata: list[str], cuts: list) -> DataFrame | None:

@@ -46,6 +46,29 @@ def test_running_sums_over_ranges(spark, parts, reverse):
     assert {i: (got[i], by[i], some[i]) for i in want} == want and len(got) == len(by) == 600
 
 
+@pytest.mark.parametrize("strata", [None, ["s"]])
+def test_reverse_sums_are_not_summed_anew_for_each_row(spark, strata):
+    rows = [(i, "ab"[i % 2], i // 2, None if i < 20 or i >= 80 else i) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, s string, t int, v int").repartition(3)
+    for reverse in (False, True):
+        d = windows.running_sum(df, F.col("v"), ["t", "id"], strata, reverse, parts=9)
+        assert "unboundedfollowing" not in d._jdf.queryExecution().toString().lower()
+        want = {}
+        for i, s, _, _ in rows:
+            known = [r[3] for r in rows if r[3] is not None and (r[0] >= i if reverse else r[0] <= i) and (strata is None or r[1] == s)]
+            want[i] = sum(known) if known else None
+        assert {r.id: r.running for r in d.collect()} == want
+
+
+def test_ranges_are_found_in_an_array_of_bounds(spark):
+    rows = rows_of(600, 3)
+    df = spark.createDataFrame(rows, "id int, s string, t int, v int").repartition(5)
+    for parts in (1, 2, 9, 200):
+        d, cuts = ranges.ranged(df, ["t", "id"], parts)
+        assert {r.id: r[ranges.PART] for r in d.collect()} == {r[0]: sum(key((c.id, None, c.t)) <= key(r) for c in cuts) for r in rows}
+        assert d.columns == [*df.columns, ranges.PART]
+
+
 def test_numbers_quantiles_and_dense_ids(spark):
     rows = rows_of(500, 2)
     df = spark.createDataFrame(rows, "id int, s string, t int, v int").repartition(3)
