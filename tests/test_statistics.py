@@ -60,6 +60,15 @@ def test_reverse_sums_are_not_summed_anew_for_each_row(spark, strata):
         assert {r.id: r.running for r in d.collect()} == want
 
 
+def test_reverse_sums_within_two_strata(spark):
+    rows = [(i, "ab"[i % 20 == 0], None if i % 3 == 0 else i % 3, None if i >= 150 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, s string, u int, v int").repartition(3)
+    d = windows.running_sum(df, F.col("v"), ["id"], ["s", "u"], True, parts=12)
+    assert "unboundedfollowing" not in d._jdf.queryExecution().toString().lower()
+    known = {r[0]: [x[3] for x in rows if x[1:3] == r[1:3] and x[0] >= r[0] and x[3] is not None] for r in rows}
+    assert {r.id: r.running for r in d.collect()} == {i: sum(v) if v else None for i, v in known.items()}
+
+
 def test_ranges_are_found_in_an_array_of_bounds(spark):
     rows = rows_of(600, 3)
     df = spark.createDataFrame(rows, "id int, s string, t int, v int").repartition(5)
