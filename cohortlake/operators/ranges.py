@@ -23,12 +23,34 @@ def bounds(df: DataFrame, order: list[str], parts: int, sample: int = 20_000) ->
     return rows[step::step]
 
 
+def part_of(df: DataFrame, order: list[str], cuts: list[Row]) -> Column:
+    """The number of a row's range: a binary search written as nested conditions."""
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    at = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(f"k{i}") for i, (c, v) in enumerate(zip(order, cut, strict=True))]) for cut in cuts]
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < at[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(cuts))
+
+
 def ranged(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, list[Row]]:
+    """``df`` with the number of each row's range, and the bounds."""
+    cuts = bounds(df, order, parts)
+    return df.withColumn(PART, part_of(df, order, cuts)), cuts
+
+
+def searched(df: DataFrame, order: list[str], parts: int) -> tuple[DataFrame, list[Row]]:
     """``df`` with the number of each row's range, and the bounds.
 
     The number is that of the bounds at or below the row's key: a binary search
     in a constant array, one projection a step, so the code that runs for each
-    row stays small enough to be compiled however many ranges there are.
+    row stays small enough to be compiled however many ranges there are. A
+    condition on the number must not be pushed below it: it would grow
+    threefold at each step. So only running sums use this form.
     """
     cuts = bounds(df, order, parts)
     if not cuts:

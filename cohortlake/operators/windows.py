@@ -21,7 +21,7 @@ def running_sum(df: DataFrame, value: Column, order: list[str], strata: list[str
     """
     strata = list(strata or [])
     term = value if mask is None else F.when(mask == 1, value).otherwise(F.lit(0))
-    d, cuts = ranges.ranged(df.withColumn("_term", term), [*strata, *order], parts)
+    d, cuts = ranges.searched(df.withColumn("_term", term), [*strata, *order], parts)
     # a frame to the end is summed anew for each row, so in reverse the rows are sorted from the last one
     w = Window.partitionBy(ranges.PART, *strata).orderBy(*[F.col(c).desc_nulls_last() if reverse else F.col(c).asc_nulls_first() for c in order])
     d = d.withColumn("_own", F.sum("_term").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -73,7 +73,7 @@ def test_ranges_are_found_in_an_array_of_bounds(spark):
     rows = rows_of(600, 3)
     df = spark.createDataFrame(rows, "id int, s string, t int, v int").repartition(5)
     for parts in (1, 2, 9, 200):
-        d, cuts = ranges.ranged(df, ["t", "id"], parts)
+        d, cuts = ranges.searched(df, ["t", "id"], parts)
         assert {r.id: r[ranges.PART] for r in d.collect()} == {r[0]: sum(key((c.id, None, c.t)) <= key(r) for c in cuts) for r in rows}
         assert d.columns == [*df.columns, ranges.PART]
 
